@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import simhash
+from tessera.llm import packing, simhash, sketch, tokenfile
+from tessera.plans.session import checkpoint_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash_near_dedup,)}
+def op9_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    path = f"{checkpoint_dir(spark)}/token-file-{uuid.uuid4().hex}"
+    tokenfile.write(_read(spark, sf_dir, "documents"), path, tokenizer)
+    return tokenfile.read(spark, path)
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op5_fingerprints, op8_simhash_near_dedup, op9_token_file)}
 
 ORACLES: dict[str, str] = {}
