@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, simhash, sketch, tokenfile
+from tessera.llm import decontaminate, packing, simhash, sketch, tokenfile
 from tessera.plans.session import checkpoint_dir
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op9_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return tokenfile.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_fingerprints, op8_simhash_near_dedup, op9_token_file)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op5_fingerprints, op8_simhash_near_dedup, op9_token_file)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_decontamination": decontaminate.ORACLE}
