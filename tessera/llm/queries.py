@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, packing, simhash, sketch, tokenfile
+from tessera.llm import decontaminate, packing, simhash, sketch, tokenfile, toxicity
 from tessera.plans.session import checkpoint_dir
 
 
@@ -26,6 +26,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -40,6 +45,6 @@ def op9_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return tokenfile.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op5_fingerprints, op8_simhash_near_dedup, op9_token_file)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op5_fingerprints, op6_toxicity, op8_simhash_near_dedup, op9_token_file)}
 
 ORACLES = {"op3_decontamination": decontaminate.ORACLE}
