@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, packing, simhash, sketch, tokenfile, toxicity
+from tessera.llm import decontaminate, linededup, packing, simhash, sketch, tokenfile, toxicity
 from tessera.plans.session import checkpoint_dir
 
 
@@ -45,6 +45,10 @@ def op9_token_file(spark: SparkSession, sf_dir: str, tokenizer: str | None = Non
     return tokenfile.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op5_fingerprints, op6_toxicity, op8_simhash_near_dedup, op9_token_file)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op5_fingerprints, op6_toxicity, op8_simhash_near_dedup, op9_token_file, op10_line_dedup)}
 
 ORACLES = {"op3_decontamination": decontaminate.ORACLE}
