@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, linededup, packing, simhash, sketch, tokenfile, toxicity
+from tessera.llm import decontaminate, linededup, packing, pii, simhash, sketch, tokenfile, toxicity
 from tessera.plans.session import checkpoint_dir
 
 
@@ -14,6 +14,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_decontamination, op5_fingerprints, op6_toxicity, op8_simhash_near_dedup, op9_token_file, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_packing, op3_decontamination, op5_fingerprints, op6_toxicity, op8_simhash_near_dedup, op9_token_file, op10_line_dedup)}
 
 ORACLES = {"op3_decontamination": decontaminate.ORACLE}
