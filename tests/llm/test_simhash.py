@@ -71,7 +71,7 @@ def test_every_pair_in_radius_collides():
 def test_blocks_do_not_change_links(spark):
     rng = random.Random(5)
     values = [rng.getrandbits(12) for _ in range(300)]
-    rows = spark.createDataFrame([(v,) for v in set(values)], "fp long")
+    rows = spark.createDataFrame([(v, v, 0) for v in set(values)], "node long, fp long, seg int")
     from tessera.llm.components import connected_components
 
     got = [sorted(tuple(r) for r in connected_components(simhash.links(rows, block=b)).collect()) for b in (7, 4096)]
