@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.session import cut
+
 #: Labelled rows that the fit reads, about; chosen by a hash of their id.
 FIT_ROWS = 20_000
 FOLDS = 5
@@ -131,8 +133,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     marks = marks.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     share = min(1.0, fit_rows / max(1, marks.count()))
-    marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(marks, "id").select("y", "t")
+    marks = cut(marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))))
+    held = F.broadcast(marks) if marks.count() <= 4 * fit_rows else marks  # about fit_rows ids by the hash
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(held, "id").select("y", "t"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -154,11 +157,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model()
     share_terms = docs.sparkSession.sparkContext.broadcast(frozenset(seen))  # of the bounded sample
 
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             yield pd.DataFrame({"terms": [sorted(_terms(_words(t)) & share_terms.value) for t in part["t"]]})
 
-    left = [set(r.terms) for r in rows.where("y = 1").mapInPandas(held, "terms array<string>").collect()]
+    left = [set(r.terms) for r in rows.where("y = 1").mapInPandas(listed, "terms array<string>").collect()]
     weights: dict[str, float] = {}
     while left:  # the term that explains most texts is next; a word before a stem that explains no more
         cover = Counter(t for s in left for t in s)
