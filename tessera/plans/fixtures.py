@@ -36,7 +36,7 @@ FIXTURES = {
         || CASE WHEN conv_id % 7 = 0 THEN ',{{"type":"audio","audio":"' || CASE WHEN turn % 2 = 0 THEN 'https://a/' ELSE '/a/' END || CAST(({_MEDIA}) % na AS VARCHAR(20)) || '.wav"}}' ELSE '' END
         || ']' END AS content
         FROM (SELECT c.*, nv, na, CASE (conv_id + turn) % 6 WHEN 0 THEN 'http://i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg' WHEN 1 THEN 'https://i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg'
-            WHEN 2 THEN 'file:///i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg' WHEN 3 THEN 'data:image/png;base64,aW1nbase64,' WHEN 4 THEN '/i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg' ELSE 'data:image/png,raw' END AS uri
+            WHEN 2 THEN 'file:///i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg' WHEN 3 THEN 'data:image/png;base64,aW1nYmFz' WHEN 4 THEN '/i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg' ELSE 'data:image/png,raw' END AS uri
             FROM conversations c CROSS JOIN (SELECT count(*) AS ni FROM part) i CROSS JOIN (SELECT count(*) AS nv FROM orders) v CROSS JOIN (SELECT count(*) AS na FROM documents) a) x""",
     "remote": "SELECT 'http://i/' || CAST(p_partkey AS VARCHAR(20)) || '.jpg' AS url, p_name AS payload FROM part WHERE p_partkey % 3 <> 0",
     "frame_lists": "SELECT p_partkey AS video_id, s.n AS frame_no, CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE (p_partkey + s.n) % np END AS image_id FROM (SELECT p_partkey, np FROM part CROSS JOIN (SELECT count(*) AS np FROM part) c) v @SERIES(1 + p_partkey % 5)@",

@@ -1 +1,179 @@
-ORACLES = {}
+"""The queries' results in plain SQL for DuckDB, worked out apart from the DataFrame forms."""
+
+from __future__ import annotations
+
+from tessera.plans.fixtures import duckdb_sql
+
+
+def _resize(h: str, w: str, low: str, high: str) -> dict[str, str]:
+    """SQL for the resize rule's height, width and error."""
+    def near(x):
+        return f"greatest(28, CAST(round_even(({x}) / 28.0, 0) * 28 AS BIGINT))"
+
+    h0, w0 = near(h), near(w)
+    area = f"({h0}) * ({w0})"
+
+    def side(x, x0):
+        down = f"CAST(floor(({x}) / sqrt(CAST({h} AS DOUBLE) * ({w}) / CAST({high} AS DOUBLE)) / 28.0) * 28 AS BIGINT)"
+        up = f"CAST(ceil(({x}) * sqrt(CAST({low} AS DOUBLE) / (CAST({h} AS DOUBLE) * ({w}))) / 28.0) * 28 AS BIGINT)"
+        return f"CASE WHEN {area} > {high} THEN {down} WHEN {area} < {low} THEN {up} ELSE {x0} END"
+
+    bad = f"(least({h}, {w}) <= 0 OR greatest({h}, {w}) > 200 * least({h}, {w}))"
+    hh, ww = side(h, h0), side(w, w0)
+    return {"h": f"CASE WHEN NOT {bad} THEN {hh} END", "w": f"CASE WHEN NOT {bad} THEN {ww} END", "error": f"CASE WHEN {bad} THEN 'ratio' WHEN ({hh}) = 0 OR ({ww}) = 0 THEN 'zero_side' END"}
+
+
+def _count(fps: str, nframes: str, max_frames: str) -> tuple[str, str]:
+    """SQL for a video's frame count (before errors) and its error."""
+    bound = f"least(least(greatest(total_frames / video_fps * coalesce({fps}, 2.0), 2.0), floor(coalesce({max_frames}, least(768, total_frames)) / 2.0) * 2), total_frames)"
+    n = f"CASE WHEN {nframes} IS NOT NULL THEN CAST(round_even({nframes} / 2.0, 0) * 2 AS BIGINT) ELSE CAST(floor({bound} / 2.0) * 2 AS BIGINT) END"
+    return n, f"CASE WHEN {fps} IS NOT NULL AND {nframes} IS NOT NULL THEN 'fps_and_nframes' WHEN ({n}) < 2 OR ({n}) > total_frames THEN 'nframes_range' END"
+
+
+_EL = """el0 AS (SELECT conv_id, turn, from_json(content, '["JSON"]') AS l FROM messages WHERE starts_with(content, '[')),
+el AS (SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS elem_pos, l[i] AS e FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM el0) x),
+parts AS (SELECT conv_id, turn, elem_pos, e, json_keys(e) AS k, e->>'type' AS type, e->>'text' AS txt, e->>'image' AS image, e->>'image_url' AS image_url, e->>'video' AS video, e->>'audio' AS audio,
+    CAST(e->>'resized_height' AS BIGINT) AS rh, CAST(e->>'resized_width' AS BIGINT) AS rw, CAST(e->>'fps' AS DOUBLE) AS fps FROM el)"""
+_VIS = f"""{_EL},
+vis0 AS (SELECT *, CASE WHEN list_contains(k, 'image') OR list_contains(k, 'image_url') THEN 'image' WHEN list_contains(k, 'video') THEN 'video' END AS modality FROM parts
+    WHERE list_contains(k, 'image') OR list_contains(k, 'image_url') OR list_contains(k, 'video') OR type IN ('image', 'image_url', 'video')),
+vis1 AS (SELECT *, CASE modality WHEN 'image' THEN CASE WHEN list_contains(k, 'image') THEN image ELSE image_url END WHEN 'video' THEN video END AS uri FROM vis0),
+vis AS (SELECT *, CASE WHEN modality IS NULL THEN 'no_media_key' WHEN modality = 'image' AND starts_with(uri, 'data:image') AND NOT contains(uri, 'base64,') THEN 'image_unrecognised' END AS error,
+    TRY_CAST(regexp_extract(uri, '([0-9]+)\\.[a-z0-9]+$', 1) AS BIGINT) AS media_id FROM vis1)"""
+_GIVEN = "(rh IS NOT NULL AND rw IS NOT NULL)"
+_IMG = _resize(f"(CASE WHEN {_GIVEN} THEN rh ELSE m.height END)", f"(CASE WHEN {_GIVEN} THEN rw ELSE m.width END)", "50176", "1254400")
+_N, _NERR = _count("fps", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
+_VID = _resize("height", "width", "12544", "budget")
+_BUDGET = "least(coalesce(mp, greatest(least(100352.0, 90316800.0 / n * 2), 13171.0)), greatest(least(100352.0, 90316800.0 / n * 2), 13171.0))"
+_PLANNED = f"""{_VIS},
+imgs AS (SELECT vis.conv_id, vis.turn, vis.elem_pos, m.height, m.width, {_IMG['h']} AS h, {_IMG['w']} AS w, {_IMG['error']} AS error FROM vis JOIN image_meta m ON media_id = image_id WHERE modality = 'image' AND error IS NULL),
+vids0 AS (SELECT conv_id, turn, elem_pos, v.height, v.width, v.total_frames, v.video_fps, vis.fps, CAST(NULL AS DOUBLE) AS mp FROM vis JOIN video_meta v ON media_id = video_id WHERE modality = 'video' AND error IS NULL),
+vids1 AS (SELECT *, {_NERR} AS nerr, CASE WHEN ({_NERR}) IS NULL THEN {_N} END AS n FROM vids0),
+vids2 AS (SELECT *, {_BUDGET} AS budget FROM vids1),
+vids AS (SELECT *, CASE WHEN n IS NOT NULL THEN {_VID['h']} END AS h, CASE WHEN n IS NOT NULL THEN {_VID['w']} END AS w, coalesce(nerr, {_VID['error']}) AS error FROM vids2)"""
+_AUD = """aref AS (SELECT conv_id, turn, elem_pos, type AS source, CASE WHEN type = 'audio' THEN audio ELSE video END AS uri, k FROM parts WHERE type IN ('audio', 'video')),
+arefs AS (SELECT a.*, CASE WHEN source = 'audio' AND NOT list_contains(k, 'audio') THEN 'audio_unknown' WHEN source = 'video' AND NOT list_contains(k, 'video') THEN 'video_unknown' WHEN source = 'video' AND NOT coalesce(v.has_audio, false) THEN 'no_audio_track' END AS error
+    FROM aref a LEFT JOIN video_meta v ON a.uri = 'file:///v/' || CAST(v.video_id AS VARCHAR) || '.mp4')"""
+_N2, _N2ERR = _count("fps", "nframes", "max_frames")
+_VM = f"""vm0 AS (SELECT *, max_pixels AS mp, {_N2ERR} AS nerr, CASE WHEN ({_N2ERR}) IS NULL THEN {_N2} END AS n FROM video_meta),
+vm1 AS (SELECT *, {_BUDGET} AS budget FROM vm0),
+vm AS (SELECT *, CASE WHEN n IS NOT NULL THEN {_VID['h']} END AS h, CASE WHEN n IS NOT NULL THEN {_VID['w']} END AS w, coalesce(nerr, {_VID['error']}) AS error FROM vm1)"""
+_IM = _resize("height", "width", "50176", "1254400")
+_FR = _resize("m.height", "m.width", "12544", "100352")
+_ALEN = "CAST(floor((mel_len - 1) / 2.0) + 1 AS BIGINT)"
+_ATOK = "CAST(floor((floor((mel_len - 1) / 2.0) - 1) / 2.0) + 1 AS BIGINT)"
+_CHUNKS = "ch AS (SELECT audio_id, c AS chunk, least(200, mel_len - c * 200) AS len FROM audio_meta CROSS JOIN LATERAL unnest(range(0, CAST(ceil(mel_len / 200.0) AS BIGINT))) AS u(c))"
+_GRIDS = "gr AS (SELECT sample_id * 1000 + seg_no AS media_id, grid_t, grid_h, grid_w FROM segments WHERE kind IN ('image', 'video'))"
+_TILES = """cells AS (SELECT media_id, c AS cell, c // ((grid_h // 2) * (grid_w // 2)) AS t, (c % ((grid_h // 2) * (grid_w // 2))) // (grid_w // 2) AS y, c % (grid_w // 2) AS x FROM gr CROSS JOIN LATERAL unnest(range(0, grid_t * (grid_h // 2) * (grid_w // 2))) AS u(c)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY t, y // 4, x // 4, y, x) - 1 AS idx FROM cells),
+tiles AS (SELECT media_id, t, y // 4 AS ty, x // 4 AS tx, min(idx) AS first, count(*) AS n FROM placed GROUP BY ALL)"""
+_STARTS = """sp AS (SELECT *, CASE WHEN kind IN ('image', 'video') THEN greatest(CAST(trunc((grid_t - 1) * sec * 25) AS BIGINT), grid_h // 2 - 1, grid_w // 2 - 1) + 1 ELSE len END AS span FROM segments),
+st AS (SELECT a.*, CAST(coalesce((SELECT sum(b.span) FROM sp b WHERE b.sample_id = a.sample_id AND b.seg_no < a.seg_no), 0) AS BIGINT) AS start, CAST(coalesce((SELECT sum(b.len) FROM sp b WHERE b.sample_id = a.sample_id AND b.seg_no < a.seg_no), 0) AS BIGINT) AS off FROM sp a)"""
+
+
+def _cuts(source: str, name: str, width: int) -> str:
+    """Chunks by stepping row by row: at most one cut before a row."""
+    return f"""{name} AS (SELECT item, i, t, t AS t0, CAST(0 AS BIGINT) AS chunk FROM {source} WHERE i = 0
+    UNION ALL SELECT s.item, s.i, s.t, p.t0, p.chunk + CASE WHEN s.t - p.t0 >= (p.chunk + 1) * {width} THEN 1 ELSE 0 END FROM {name} p JOIN {source} s ON s.item = p.item AND s.i = p.i + 1)"""
+
+
+_IDS = "il AS (SELECT item, list(code ORDER BY pos) AS ids FROM codes GROUP BY item)"
+_VEC = "ev AS (SELECT vec_id, CAST(i - 1 AS BIGINT) AS dim, CAST(embedding[i] AS DOUBLE) * 10 AS x FROM embeddings CROSS JOIN LATERAL unnest(range(1, len(embedding) + 1)) AS u(i))"
+_FEAT = "fl AS (SELECT item, pos, vec_id, CAST(i - 1 AS BIGINT) AS dim, CAST(vec[i] AS DOUBLE) AS x, CAST(vec[1] AS DOUBLE) AS s FROM features CROSS JOIN LATERAL unnest(range(1, len(vec) + 1)) AS u(i))"
+
+_BODIES = {
+    "conversations_assembled": "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles, sha256(string_agg(content, '|' ORDER BY turn)) AS content_sha FROM messages GROUP BY conv_id",
+    "inline_payload": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, CASE WHEN contains(uri, 'base64,') THEN hex(from_base64(substr(uri, strpos(uri, 'base64,') + 7))) END AS payload, CASE WHEN NOT contains(uri, 'base64,') THEN modality || '_unrecognised' END AS error FROM vis WHERE starts_with(uri, 'data:')",
+    "remote_payload": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, uri, payload, CASE WHEN payload IS NULL THEN 'not_fetched' END AS error FROM vis LEFT JOIN remote ON uri = url WHERE starts_with(uri, 'http://') OR starts_with(uri, 'https://')",
+    "content_elements": f"WITH {_EL} SELECT conv_id, turn, elem_pos, type, array_to_string(k, ',') AS keys FROM parts",
+    "vision_elements": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, type, uri FROM vis",
+    "audio_elements": f"WITH {_EL} SELECT conv_id, turn, elem_pos, audio AS uri, CASE WHEN NOT list_contains(k, 'audio') THEN 'audio_unknown' END AS error FROM parts WHERE type = 'audio'",
+    "audio_refs_with_video": f"WITH {_EL}, {_AUD} SELECT conv_id, turn, elem_pos, source, uri, error FROM arefs",
+    "uri_scheme_counts": f"""WITH {_VIS} SELECT modality, CASE WHEN uri IS NULL THEN 'null' WHEN starts_with(uri, 'http://') THEN 'http' WHEN starts_with(uri, 'https://') THEN 'https' WHEN starts_with(uri, 'file://') THEN 'file' WHEN starts_with(uri, 'data:image') THEN 'data_image' ELSE 'path' END AS scheme, count(*) AS n FROM vis GROUP BY ALL""",
+    "media_by_modality": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, modality, error FROM vis",
+    "masked_features": "SELECT sample_id, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id FROM tokens WHERE mask = 1",
+    "right_padding_check": "SELECT sample_id, mask = 0 AS right_padded FROM tokens QUALIFY pos = max(pos) OVER (PARTITION BY sample_id)",
+    "quarantine_counts": f"""WITH {_PLANNED}, {_AUD} SELECT error, count(*) AS n FROM (SELECT error FROM vis UNION ALL SELECT error FROM arefs UNION ALL SELECT error FROM imgs UNION ALL SELECT error FROM vids
+        UNION ALL SELECT CASE WHEN mask = 0 THEN 'right_padding' END FROM (SELECT mask FROM tokens QUALIFY pos = max(pos) OVER (PARTITION BY sample_id)) p
+        UNION ALL SELECT 'unknown_speaker' FROM requests WHERE speaker NOT IN (SELECT name FROM speakers)) x WHERE error IS NOT NULL GROUP BY error""",
+    "image_resize_plan": f"SELECT image_id, {_IM['h']} AS h, {_IM['w']} AS w, {_IM['error']} AS error FROM image_meta",
+    "video_frame_count": f"WITH {_VM} SELECT video_id, n, round(n / greatest(CAST(total_frames AS DOUBLE), 1e-6) * video_fps, 6) AS sample_fps FROM vm",
+    "video_frame_samples": f"WITH {_VM} SELECT video_id, k, CAST(round_even(k * ((total_frames - 1) / (n - 1)), 0) AS BIGINT) AS frame FROM vm CROSS JOIN LATERAL unnest(range(0, n)) AS u(k) WHERE n IS NOT NULL",
+    "video_resize_plan": f"WITH {_VM} SELECT video_id, round(budget, 6) AS budget, h, w, error FROM vm",
+    "video_trim": "SELECT video_id, count(*) AS total_frames, min(frame_no) AS first_frame FROM frame_pts WHERE pts >= CASE WHEN video_id % 3 <> 0 THEN video_id % 5 ELSE 0 END AND (video_id % 4 = 0 OR pts <= video_id % 5 + 2.5) GROUP BY video_id",
+    "frame_list_videos": f"""WITH fr AS (SELECT video_id, frame_no, f.image_id, {_FR['h']} AS h, {_FR['w']} AS w, {_FR['error']} AS error FROM frame_lists f LEFT JOIN image_meta m ON f.image_id = m.image_id)
+        SELECT video_id, CAST(ceil(count(*) / 2.0) * 2 AS BIGINT) AS n, string_agg(CAST(image_id AS VARCHAR), ',' ORDER BY frame_no) || CASE WHEN count(*) % 2 = 1 THEN ',' || CAST(arg_max(image_id, frame_no) AS VARCHAR) ELSE '' END AS frames,
+        first(h ORDER BY frame_no) AS h, first(w ORDER BY frame_no) AS w, CAST(2.0 AS DOUBLE) AS fps, coalesce((list(error ORDER BY frame_no) FILTER (WHERE error IS NOT NULL))[1], CASE WHEN count(DISTINCT (coalesce(h, -1), coalesce(w, -1))) > 1 THEN 'frame_sizes_differ' END) AS error FROM fr GROUP BY video_id""",
+    "vision_token_counts": f"WITH {_VM} SELECT video_id, CAST(floor(ceil(n / 2.0) * floor(h / 14.0) * floor(w / 14.0) / 4.0) AS BIGINT) AS tokens FROM vm WHERE error IS NULL",
+    "audio_token_counts": f"SELECT audio_id, {_ALEN} AS frames, {_ATOK} AS tokens FROM audio_meta",
+    "token_budget": f"""WITH {_PLANNED}, {_AUD}, tok AS (
+        SELECT conv_id, 't' AS m, CAST(ceil(length(txt) / 4.0) AS BIGINT) AS n FROM parts WHERE type = 'text'
+        UNION ALL SELECT conv_id, 't', CAST(ceil(length(content) / 4.0) AS BIGINT) FROM messages WHERE NOT starts_with(content, '[')
+        UNION ALL SELECT conv_id, 'i', CAST(floor(1 * floor(h / 14.0) * floor(w / 14.0) / 4.0) AS BIGINT) FROM imgs WHERE error IS NULL
+        UNION ALL SELECT conv_id, 'v', CAST(floor(ceil(n / 2.0) * floor(h / 14.0) * floor(w / 14.0) / 4.0) AS BIGINT) FROM vids WHERE error IS NULL
+        UNION ALL SELECT conv_id, 'a', {_ATOK} FROM arefs JOIN audio_meta ON TRY_CAST(regexp_extract(uri, '([0-9]+)\\.[a-z0-9]+$', 1) AS BIGINT) = audio_id WHERE source = 'audio' AND error IS NULL),
+        s AS (SELECT conv_id, CAST(coalesce(sum(n) FILTER (WHERE m = 't'), 0) AS BIGINT) AS text_tokens, CAST(coalesce(sum(n) FILTER (WHERE m = 'i'), 0) AS BIGINT) AS image_tokens, CAST(coalesce(sum(n) FILTER (WHERE m = 'v'), 0) AS BIGINT) AS video_tokens, CAST(coalesce(sum(n) FILTER (WHERE m = 'a'), 0) AS BIGINT) AS audio_tokens FROM tok GROUP BY conv_id)
+        SELECT *, text_tokens + image_tokens + video_tokens + audio_tokens AS total_tokens, text_tokens + image_tokens + video_tokens + audio_tokens <= 4096 AS fits FROM s""",
+    "vision_result": f"""WITH {_PLANNED}, al AS (SELECT conv_id, turn, elem_pos, 'image' AS m, height, width, h, w, n FROM (SELECT *, CAST(NULL AS BIGINT) AS n FROM imgs) i WHERE error IS NULL UNION ALL SELECT conv_id, turn, elem_pos, 'video', height, width, h, w, n FROM vids WHERE error IS NULL)
+        SELECT conv_id, string_agg(h || 'x' || w, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'image') AS img_resized_hw, string_agg(height || 'x' || width, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'image') AS img_ori_hw,
+        string_agg(h || 'x' || w, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'video') AS video_resized_hw, string_agg(height || 'x' || width, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'video') AS video_ori_hw, count(*) FILTER (WHERE m = 'video') AS n_fps FROM al GROUP BY conv_id""",
+    "audio_chunks": f"WITH {_CHUNKS} SELECT audio_id, chunk, len, CAST(floor((len - 1) / 2.0) + 1 AS BIGINT) AS half FROM ch",
+    "chunk_offsets": f"WITH {_CHUNKS}, hv AS (SELECT *, CAST(floor((len - 1) / 2.0) + 1 AS BIGINT) AS half FROM ch) SELECT audio_id, chunk, CAST(sum(half) OVER w - half AS BIGINT) AS start, CAST(sum(half) OVER w AS BIGINT) AS stop FROM hv WINDOW w AS (PARTITION BY audio_id ORDER BY chunk)",
+    "frame_offsets": f"WITH {_GRIDS} SELECT media_id, f AS frame, f * grid_h * grid_w AS start, (f + 1) * grid_h * grid_w AS stop FROM gr CROSS JOIN LATERAL unnest(range(0, grid_t)) AS u(f)",
+    "spatial_tiles": f"WITH {_GRIDS}, {_TILES} SELECT p.media_id, p.idx, p.cell, CAST((SELECT count(*) FROM tiles b WHERE b.media_id = p.media_id AND b.first < a.first) AS BIGINT) AS tile, a.first * 4 AS tile_start, a.n * 4 AS tile_cells FROM placed p JOIN tiles a ON a.media_id = p.media_id AND a.t = p.t AND a.ty = p.y // 4 AND a.tx = p.x // 4",
+    "grid_coords": f"WITH {_GRIDS}, c AS (SELECT media_id, i // (grid_h * grid_w) AS t, (i % (grid_h * grid_w)) // grid_w AS h, i % grid_w AS w FROM gr CROSS JOIN LATERAL unnest(range(0, grid_t * grid_h * grid_w)) AS u(i)) SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY t, h // 2, w // 2, h % 2, w % 2) - 1 AS idx, h, w FROM c",
+    "permutation_roundtrip": f"WITH {_GRIDS} SELECT media_id, c AS cell, c * 7 + media_id AS value FROM gr CROSS JOIN LATERAL unnest(range(0, grid_t * (grid_h // 2) * (grid_w // 2))) AS u(c)",
+    "positions_text": """WITH p AS (SELECT sample_id, pos, mask, CASE WHEN mask = 0 THEN 1 ELSE (SELECT sum(b.mask) FROM tokens b WHERE b.sample_id = a.sample_id AND b.pos <= a.pos) - 1 END AS position FROM tokens a)
+        SELECT sample_id, CAST(pos AS BIGINT) AS pos, CAST(position AS BIGINT) AS position, CAST(max(position) OVER (PARTITION BY sample_id) + 1 - sum(mask) OVER (PARTITION BY sample_id) AS BIGINT) AS delta FROM p""",
+    "positions_multimodal": f"""WITH {_STARTS}, tk AS (SELECT sample_id, off + i AS idx, start, i, kind, grid_h // 2 AS gh, grid_w // 2 AS gw, sec, start + span AS stop FROM st CROSS JOIN LATERAL unnest(range(0, len)) AS u(i)),
+        tot AS (SELECT sample_id, CAST(max(start + span) - sum(len) AS BIGINT) AS delta FROM st GROUP BY sample_id)
+        SELECT sample_id, idx, start + CASE WHEN kind IN ('image', 'video') THEN CAST(trunc((i // (gh * gw)) * sec * 25) AS BIGINT) ELSE i END AS t, start + CASE WHEN kind IN ('image', 'video') THEN (i % (gh * gw)) // gw ELSE i END AS h, start + CASE WHEN kind IN ('image', 'video') THEN i % gw ELSE i END AS w, delta FROM tk JOIN tot USING (sample_id)""",
+    "time_chunks": f"WITH RECURSIVE {_cuts('timed', 'walk', 10)} SELECT item, CAST(i AS BIGINT) AS i, t, chunk FROM walk",
+    "av_interleave": f"""WITH RECURSIVE vs AS (SELECT item, i // 2 AS i, t FROM timed WHERE i % 2 = 0), au AS (SELECT item, i // 2 AS i, t FROM timed WHERE i % 2 = 1), {_cuts('vs', 'vw', 50)}, {_cuts('au', 'aw', 50)},
+        al AS (SELECT item, chunk, 0 AS r, i, t, t + 3 AS m FROM vw UNION ALL SELECT item, chunk, 1, i, t, t FROM aw),
+        fin AS (SELECT item, m AS top FROM (SELECT item, chunk, r, max(m) AS m FROM al GROUP BY ALL) g QUALIFY row_number() OVER (PARTITION BY item ORDER BY chunk DESC, r DESC) = 1)
+        SELECT item, row_number() OVER (PARTITION BY item ORDER BY chunk, r, i) - 1 AS idx, CASE r WHEN 0 THEN 'video' ELSE 'audio' END AS kind, CAST(i AS BIGINT) AS i, t, chunk, top + 1 AS next_start FROM al JOIN fin USING (item)""",
+    "media_counts": """WITH b AS (SELECT a.sample_id, a.token_id, coalesce(p.token_id, l.token_id) AS before FROM tokens a LEFT JOIN tokens p ON p.sample_id = a.sample_id AND p.pos = a.pos - 1 JOIN (SELECT sample_id, arg_max(token_id, pos) AS token_id FROM tokens GROUP BY sample_id) l ON l.sample_id = a.sample_id)
+        SELECT sample_id, count(*) FILTER (WHERE before = 90001 AND token_id = 90003) AS images, count(*) FILTER (WHERE before = 90001 AND token_id = 90004) AS videos FROM b GROUP BY sample_id""",
+    "visible_context": "SELECT q.sample_id, CAST(q.pos AS BIGINT) AS pos, CAST(sum(k.mask) AS BIGINT) AS visible, CAST(sum(CASE WHEN k.pos > q.pos - 16 THEN k.mask ELSE 0 END) AS BIGINT) AS visible_16 FROM tokens q JOIN tokens k ON k.sample_id = q.sample_id AND k.pos <= q.pos GROUP BY ALL",
+    "continuation_positions": "WITH c AS (SELECT conv, batch, len, sum(len) OVER (PARTITION BY conv ORDER BY batch) - len AS seen FROM steps) SELECT conv, CAST(batch AS BIGINT) AS batch, i, CAST(seen + i AS BIGINT) AS position FROM c CROSS JOIN LATERAL unnest(range(0, len)) AS u(i)",
+    "placeholder_join": """WITH t AS (SELECT sample_id, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id, CASE token_id WHEN 90003 THEN 'image' WHEN 90004 THEN 'video' WHEN 90005 THEN 'audio' END AS modality FROM tokens),
+        r AS (SELECT *, CASE WHEN modality IS NOT NULL THEN count(*) OVER (PARTITION BY sample_id, modality ORDER BY pos) - 1 END AS k0 FROM t),
+        v AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM embeddings)
+        SELECT r.sample_id, pos, token_id, modality, k0 AS k, v.vec_id, x0 FROM r LEFT JOIN v ON v.vec_id = (r.sample_id * 13 + k0) % 500 AND k0 < CASE WHEN modality = 'audio' THEN 40 ELSE 70 END""",
+    "speaker_lookup": "SELECT req_id, speaker, bos_token FROM requests JOIN speakers ON name = speaker",
+    "unknown_speakers": "SELECT req_id, speaker FROM requests WHERE speaker NOT IN (SELECT name FROM speakers)",
+    "segment_lookup": f"WITH {_STARTS}, e AS (SELECT sample_id, seg_no, start, lead(start) OVER (PARTITION BY sample_id ORDER BY seg_no) AS stop FROM st) SELECT t.sample_id, CAST(t.pos AS BIGINT) AS pos, e.seg_no FROM tokens t JOIN e ON e.sample_id = t.sample_id AND t.pos >= e.start AND (e.stop IS NULL OR t.pos < e.stop)",
+    "block_band_join": "SELECT a.item, CAST(a.pos AS BIGINT) AS pos_a, CAST(b.pos AS BIGINT) AS pos_b FROM codes a JOIN codes b ON a.item = b.item AND a.pos // 2 - b.pos // 2 BETWEEN 0 AND 1",
+    "clamped_zip": "WITH r AS (SELECT conv, batch, event_id FROM steps WHERE batch < 5 + conv % 7), n AS (SELECT conv, count(*) AS n FROM r GROUP BY conv) SELECT s.conv, CAST(s.batch AS BIGINT) AS step, CAST(r.batch AS BIGINT) AS idx, r.event_id AS reply FROM steps s JOIN n ON n.conv = s.conv JOIN r ON r.conv = s.conv AND r.batch = least(s.batch, n.n - 1)",
+    "valid_lengths": "SELECT sample_id, CAST(sum(mask) AS BIGINT) AS length FROM tokens GROUP BY sample_id",
+    "pair_pooling": f"WITH {_FEAT} SELECT a.item, CAST(a.pos // 2 AS BIGINT) AS pair, a.dim, round((a.x + b.x) / 2, 6) AS value FROM fl a JOIN fl b ON a.item = b.item AND a.dim = b.dim AND a.pos % 2 = 0 AND b.pos = a.pos + 1",
+    "stats_pooling": f"""WITH {_FEAT}, e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY item)) AS w FROM fl), m AS (SELECT item, dim, avg(x) AS mu, sum(w * x) / sum(w) AS sm FROM e GROUP BY item, dim)
+        SELECT e.item, e.dim, round(any_value(mu), 6) AS mean, round(sqrt(greatest(avg((x - mu) * (x - mu)), 1e-12)), 6) AS std, round(any_value(sm), 6) AS soft_mean, round(sqrt(greatest(sum(w * (x - sm) * (x - sm)) / sum(w), 1e-12)), 6) AS soft_std FROM e JOIN m ON m.item = e.item AND m.dim = e.dim GROUP BY e.item, e.dim""",
+    "masked_nll": """WITH q AS (SELECT a.vec, CASE WHEN b.vec_id % 9 = 0 THEN -100 ELSE b.vec_id % 64 END AS label FROM features a JOIN features b ON b.item = a.item AND b.pos = a.pos + 1 WHERE b.vec_id % 11 <> 0)
+        SELECT round(avg(ln(list_sum(list_transform(vec, lambda x: exp(CAST(x AS DOUBLE))))) - CAST(vec[label + 1] AS DOUBLE)), 6) AS loss, count(*) AS n FROM q WHERE label >= 0""",
+    "padding_plan": f"WITH {_CHUNKS} SELECT audio_id, max(len) AS width, count(*) AS chunks, CAST(sum(len) AS BIGINT) AS kept, CAST(sum(floor((len - 1) / 2.0) + 1) AS BIGINT) AS kept_half, round(1 - sum(len) / (count(*) * max(len)), 6) AS waste FROM ch GROUP BY audio_id",
+    "completion_slice": f"WITH {_IDS} SELECT item, array_to_string(ids[item % 4 + 1:], ',') AS text, array_to_string(ids[item % 4 + 1:len(ids) - 1], ',') AS codec FROM il",
+    "talker_inputs": f"WITH {_IDS} SELECT item AS sample_id, array_to_string(ids, ',') || ',1007,' || item * 3 AS ids, repeat('8292,', len(ids)) || '8293,8294' AS codes, repeat('1,', len(ids)) || '1,1' AS mask FROM il",
+    "offsets_dedup": "SELECT a.item, CAST(a.i AS BIGINT) AS i, a.t FROM timed a LEFT JOIN timed b ON b.item = a.item AND b.i = a.i - 1 WHERE b.t IS NULL OR b.t <> a.t",
+    "rollout_fanout": "SELECT conv_id, g FROM (SELECT DISTINCT conv_id FROM conversations) c CROSS JOIN (SELECT unnest(range(0, 8)) AS g) r",
+    "rollout_media_fanout": "WITH m AS (SELECT sample_id, seg_no, kind FROM segments WHERE kind IN ('image', 'video', 'audio')) SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY g, seg_no) - 1 AS idx, g, kind FROM m CROSS JOIN (SELECT unnest(range(0, 4)) AS g) r",
+    "codec_repeat": "SELECT item, CAST(pos * 2 + k AS BIGINT) AS pos, code FROM codes CROSS JOIN (SELECT unnest(range(0, 2)) AS k) r",
+    "mel_to_db": f"WITH {_VEC} SELECT vec_id, dim, round(greatest(-1.0, least(1.0, 2 * ((20 * log10(greatest(pow(10, -115 / 20.0), exp(x))) - 20 + 115) / 115) - 1)), 6) AS db FROM ev",
+    "clamp_unit": f"WITH {_VEC} SELECT vec_id, dim, round(greatest(-1.0, least(1.0, x)), 6) AS x FROM ev",
+    "sinusoid_features": "SELECT p_partkey, i AS dim, round(CASE WHEN i < 8 THEN sin(p_size * exp(-ln(10000.0) / 7 * i)) ELSE cos(p_size * exp(-ln(10000.0) / 7 * (i - 8))) END, 6) AS x FROM part CROSS JOIN (SELECT unnest(range(0, 16)) AS i) r",
+    "param_routing": """SELECT c_custkey,
+        concat_ws(',', CASE WHEN c_custkey % 4 = 0 THEN 'attention_mask=' || c_custkey % 94 END, 'max_new_tokens=1024', CASE WHEN c_custkey % 2 = 0 THEN 'top_k=' || c_custkey % 92 END) AS thinker,
+        concat_ws(',', 'max_new_tokens=4096', 'top_k=' || CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey % 93 AS VARCHAR) ELSE '40' END) AS talker,
+        concat_ws(',', CASE WHEN c_custkey % 7 = 0 THEN 'max_new_tokens=' || c_custkey % 97 END, CASE WHEN c_custkey % 5 = 0 THEN 'steps=' || c_custkey % 95 END) AS token2wav FROM customer""",
+    "strip_special": f"WITH {_IDS} SELECT item, array_to_string(list_filter(list_transform(ids, lambda x: x % 10), lambda x: x NOT IN (0, 3, 7)), ',') AS ids FROM il",
+    "linear_resample": """WITH p AS (SELECT item, ts, value, lead(ts) OVER w AS t1, lead(value) OVER w AS v1 FROM series WINDOW w AS (PARTITION BY item ORDER BY ts, event_id)),
+        g AS (SELECT item, unnest(range(CAST(ceil(min(ts) / 21600) AS BIGINT), CAST(floor(max(ts) / 21600) AS BIGINT) + 1)) AS grid FROM series GROUP BY item)
+        SELECT g.item, g.grid, round(value + (v1 - value) * (grid * 21600.0 - ts) / (t1 - ts), 6) AS value FROM g JOIN p ON p.item = g.item AND p.ts <= grid * 21600.0 AND p.t1 > grid * 21600.0""",
+    "training_mix": "SELECT doc_id, lang AS dataset FROM documents QUALIFY lang <> 'en' OR row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 100",
+    "length_limits": "SELECT doc_id, n_chars AS prompt_tokens, least(n_chars * 3, 2048) AS completion_tokens FROM documents WHERE n_chars <= 2000",
+    "reward_sum": "SELECT event_id, round(k + k_ratio + a, 6) AS reward FROM rollouts",
+    "group_advantage": "WITH r AS (SELECT event_id, prompt, grp, k + k_ratio + a AS reward FROM rollouts), s AS (SELECT prompt, grp, avg(reward) AS mu, coalesce(stddev_samp(reward), 0) AS sd FROM r GROUP BY ALL) SELECT event_id, round((reward - mu) / (sd + 1e-4), 4) AS advantage FROM r JOIN s USING (prompt, grp)",
+}
+
+ORACLES = {name: duckdb_sql(body) for name, body in _BODIES.items()}
