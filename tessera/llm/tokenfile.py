@@ -9,8 +9,10 @@ Spark's committer: any store that Spark can write serves, and a lost executor le
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -87,26 +89,70 @@ def unpack(words: bytes, escapes: list[int], n: int) -> np.ndarray:
     return out[:n]
 
 
+#: Latin letters, and signs that the tokenizer splits from letters before them; it lowers all such words alike.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+")
+_SIGNS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~\\"
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never joins across white space; a bounded cache holds words seen before."""
+    """Ids of whole texts by a tokenizer that never joins across white space; bounded caches hold what was seen before.
+
+    ``known`` has words as they stand; ``plain`` has lower-cased Latin words without the signs after them, so that
+    a word that is new only by its capitals or signs needs no encoding.
+    """
 
     def __init__(self, path: str, words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.known = Tokenizer.from_file(path), words, {}
+        self.tokenizer, self.words, self.known, self.plain = Tokenizer.from_file(path), words, {}, {}
 
     def __call__(self, text: str) -> np.ndarray:
         parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            joined = b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            if len(self.known) > self.words:
-                self.known = {}
-            new = list({p for p in parts if p not in self.known})
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
-            joined = b"".join(map(self.known.__getitem__, parts))
-        return np.frombuffer(joined, dtype="<u4")
+        if len(self.known) > self.words:
+            self.known = {}
+        if len(self.plain) > 3 * self.words:
+            self.plain = {}
+        known, plain = self.known, self.plain
+        unique = list(set(parts))
+        here = dict(zip(unique, map(known.get, unique)))
+        new, late = {}, []
+        for word in [w for w, ids in here.items() if ids is None]:
+            core = word.rstrip(_SIGNS)
+            low, tail = core.lower(), word[len(core) :]
+            ids = plain.get(low)
+            if ids is not None and (not tail or tail in known):
+                here[word] = known[word] = ids + known[tail] if tail else ids
+                continue
+            late.append((word, low, tail))
+            if ids is None and not _PLAIN.fullmatch(low):
+                new[word] = None
+                continue
+            if ids is None:
+                new[low] = None
+            if tail and tail not in known:
+                new[tail] = None
+        if late:
+            self._learn(list(new))
+            for word, low, tail in late:
+                if word not in new or word == low:
+                    known[word] = plain[low] + known[tail] if tail else plain.get(low, known.get(word))
+                here[word] = known[word]
+        return np.frombuffer(b"".join(map(here.__getitem__, parts)), dtype="<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new words as one text; a token belongs to the word in which it starts."""
+        got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids = np.array(got.ids, dtype="<u4").tobytes()
+        starts = np.cumsum([0, *(len(w) + 1 for w in new)])
+        cuts = (4 * np.searchsorted([a for a, _ in got.offsets], starts)).tolist()
+        for word, a, b in zip(new, cuts, cuts[1:]):
+            (self.plain if _PLAIN.fullmatch(word) else self.known)[word] = ids[a:b]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for a Python worker, so that later tasks find its words."""
+    return WordEncoder(path)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS, shards: int | None = None) -> None:
@@ -121,7 +167,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, shard = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(tokenizer), TaskContext.get().partitionId()
         block, before, held, owners, lens = 0, 0, [], [], []
 
         def close() -> pd.DataFrame:
