@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, linededup, packing, pii, simhash, sketch, tokenfile, toxicity
+from tessera.llm import decontaminate, langid, licences, linededup, packing, pii, simhash, sketch, tokenfile, toxicity
 from tessera.plans.session import checkpoint_dir
 
 
@@ -26,6 +26,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(docs))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(_read(spark, sf_dir, "documents"))
 
@@ -35,6 +40,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -53,6 +62,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_packing, op3_decontamination, op5_fingerprints, op6_toxicity, op8_simhash_near_dedup, op9_token_file, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_packing, op3_decontamination, op4_licence_scan, op5_fingerprints, op6_toxicity, op7_language_id, op8_simhash_near_dedup, op9_token_file, op10_line_dedup)}
 
 ORACLES = {"op3_decontamination": decontaminate.ORACLE}
