@@ -27,6 +27,8 @@ RADIUS = 3
 SEGMENTS, ACCEPT = 8, 14
 #: Rows of a bucket that one task compares at once; larger buckets are dealt out as pairs of blocks.
 BLOCK = 2048
+#: Ids (8 bytes each) up to which a list of documents is broadcast; a longer one is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _SLICE = 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,7 +106,9 @@ def links(fps: DataFrame, radius: int = RADIUS, accept: int | None = None, block
     accept = radius if accept is None else accept
     covering = masks(radius)
     table = F.explode(F.array(*[F.struct((F.col("seg") * len(covering) + i).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering)]))
-    rows = fps.select("node", "fp", table.alias("x")).select("node", "fp", "x.v", "x.key")
+    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one shuffle serves the counts and the join with them
+    rows = fps.select("node", "fp", table.alias("x")).select("node", "fp", "x.v", "x.key").repartition(width, "v", "key")
     full = rows.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     dealt = rows.join(full, ["v", "key"]).withColumn("nb", blocks).withColumn("me", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
@@ -138,7 +142,6 @@ def links(fps: DataFrame, radius: int = RADIUS, accept: int | None = None, block
         close()
         yield out()
 
-    width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = dealt.repartition(width, "v", "key", "i", "j").sortWithinPartitions("v", "key", "i", "j", F.col("me") != F.col("i"), "node")
     return groups.mapInPandas(compare, "src long, dst long").distinct()
 
@@ -159,6 +162,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(full, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A table of ids, marked for broadcast if it is counted and small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _similar(docs: DataFrame, edges: DataFrame, similarity: float, width: int) -> DataFrame:
     """The ``edges`` between ids of ``docs`` (``id, t``) whose texts share ``similarity`` of their word shingles."""
     asked = cut(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct())
@@ -173,7 +181,7 @@ def _similar(docs: DataFrame, edges: DataFrame, similarity: float, width: int) -
                 out.append(np.array([digest(g) for g in grams], dtype=np.uint64).view(np.int64))
             yield pd.DataFrame({"id": part["id"], "s": out})
 
-    texts = docs.join(asked, "id").groupBy("id").agg(F.min("t").alias("t"))
+    texts = docs.join(_few(asked), "id").groupBy("id").agg(F.min("t").alias("t"))
     held = cut(texts.mapInPandas(sets, "id long, s array<long>"))
     both = edges.join(held.select(F.col("id").alias("src"), F.col("s").alias("a")), "src").join(held.select(F.col("id").alias("dst"), F.col("s").alias("b")), "dst")
     shared = F.size(F.array_intersect("a", "b"))
@@ -196,6 +204,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     segs = reps.select("node", F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), F.col(n).alias("fp")) for k, n in enumerate(names)])).alias("x"))
     near = cut(links(segs.select("node", "x.seg", "x.fp"), RADIUS, accept))
     comp = connected_components(_similar(rows, near, similarity, verify_words)).where("node <> component")
-    kept = reps.join(comp, "node", "left_anti").select(F.col("node").alias(id_col))
-    stay = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return stay.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = reps.join(comp, "node", "left_anti").select(F.col("node").alias("id"))
+    ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    drop = cut(ids.join(kept, "id", "left_anti").select(F.col("id").alias(id_col)))
+    again = cut(ids.where("n > 1").select(F.col("id").alias(id_col)))  # repeated ids: the only rows that move
+    stay = docs.join(_few(drop), id_col, "left_anti")
+    single = stay.join(_few(again), id_col, "left_anti")
+    return single.select(docs.columns).unionByName(stay.join(_few(again), id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns))
