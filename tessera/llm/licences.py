@@ -40,6 +40,8 @@ BUCKETS = 1 << 15
 CONFIDENT, CONFIRM = 0.7, 0.7
 #: Documents whose paragraphs stand for the unknown class, about; chosen by a hash of their id.
 FIT_ROWS = 2_000
+#: Their paragraphs that are trained on, drawn at random.
+FIT_LINES = 4_000
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_row
     other = [list(x) for x in lines if all(confirmed(list(x), f) < 0.5 for f in TEMPLATES)] + [words(d) for d in DECOYS] * 20
     rng = np.random.default_rng(7)
     rng.shuffle(other)
-    other = other[:20_000]
+    other = other[:FIT_LINES]
     filler = [w for x in other[:500] for w in x] or [b"word"]
     families = [*sorted(TEMPLATES), UNKNOWN]
     data = [(x, len(families) - 1) for x in other]
