@@ -96,32 +96,49 @@ def _forest(fps: np.ndarray, nodes: np.ndarray, split: int, radius: int) -> list
     return out
 
 
-def links(fps: DataFrame, radius: int = RADIUS, accept: int | None = None, block: int = BLOCK) -> DataFrame:
+def _pairs(fps: np.ndarray, nodes: np.ndarray, labels: np.ndarray, split: int, radius: int) -> Iterator[np.ndarray]:
+    """Rows ``(src, dst)`` of all pairs within the radius whose labels differ; ``split`` as in :func:`_forest`."""
+    for i in range(split or len(nodes)):
+        at = split or i + 1
+        near = np.flatnonzero((np.bitwise_count(fps[at:] ^ fps[i]) <= radius) & (labels[at:] != labels[i])) + at
+        if len(near):
+            ends = nodes[near]
+            yield np.stack([np.minimum(ends, nodes[i]), np.maximum(ends, nodes[i])], axis=1)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, accept: int | None = None, block: int = BLOCK, every: bool = False) -> DataFrame:
     """``(src, dst)`` links between ``node``s that join all whose ``fp`` (of one segment ``seg``) differ in ``radius`` bits.
 
     With ``accept`` over ``radius``, colliding pairs of up to ``accept`` bits are linked too. A bucket over ``block``
     rows is cut into blocks and each pair of blocks is a group of its own, so no task holds more than two blocks; a
-    group returns a spanning forest. Nodes are distinct in a segment.
+    group returns a spanning forest. Nodes are distinct in a segment. With ``every``, a group returns not a forest but
+    all its pairs whose ``label`` (a column of ``fps`` then) differs.
     """
+    label = "label" if every else "node"
     accept = radius if accept is None else accept
     covering = masks(radius)
     table = F.explode(F.array(*[F.struct((F.col("seg") * len(covering) + i).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering)]))
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one shuffle serves the counts and the join with them
-    rows = fps.select("node", "fp", table.alias("x")).select("node", "fp", "x.v", "x.key").repartition(width, "v", "key")
-    full = rows.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = fps.select("node", "fp", F.col(label).alias("c"), table.alias("x")).select("node", "fp", "c", "x.v", "x.key").repartition(width, "v", "key")
+    full = rows.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1 AND low <> high").drop("low", "high")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     dealt = rows.join(full, ["v", "key"]).withColumn("nb", blocks).withColumn("me", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(k, F.col("me")).alias("i"), F.greatest(k, F.col("me")).alias("j"))))
-    dealt = dealt.select("node", "fp", "v", "key", "me", pairs.alias("p")).select("node", "fp", "v", "key", "me", "p.i", "p.j")
+    dealt = dealt.select("node", "fp", "c", "v", "key", "me", pairs.alias("p")).select("node", "fp", "c", "v", "key", "me", "p.i", "p.j")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, own, found = None, [], []
 
-        def close() -> None:
+        def close() -> Iterator[pd.DataFrame]:
             if held is not None:
                 got = np.concatenate(own)
-                found.extend(_forest(np.ascontiguousarray(got[:, 1]).view(np.uint64), got[:, 0], 0 if held[2] == held[3] else int((got[:, 4] == held[2]).sum()), accept))
+                values, split = np.ascontiguousarray(got[:, 1]).view(np.uint64), 0 if held[2] == held[3] else int((got[:, 5] == held[2]).sum())
+                if every:
+                    for part in _pairs(values, got[:, 0], got[:, 2], split, accept):
+                        yield pd.DataFrame(part, columns=["src", "dst"])
+                else:
+                    found.extend(_forest(values, got[:, 0], split, accept))
 
         def out() -> pd.DataFrame:
             links = pd.DataFrame(np.array(found, dtype=np.int64).reshape(-1, 2), columns=["src", "dst"])
@@ -129,17 +146,17 @@ def links(fps: DataFrame, radius: int = RADIUS, accept: int | None = None, block
             return links
 
         for part in batches:
-            rows = part[["node", "fp", "v", "key", "me", "i", "j"]].to_numpy(dtype=np.int64)
-            cuts = (np.flatnonzero(np.any(rows[1:, [2, 3, 5, 6]] != rows[:-1, [2, 3, 5, 6]], axis=1)) + 1).tolist()
+            rows = part[["node", "fp", "c", "v", "key", "me", "i", "j"]].to_numpy(dtype=np.int64)
+            cuts = (np.flatnonzero(np.any(rows[1:, [3, 4, 6, 7]] != rows[:-1, [3, 4, 6, 7]], axis=1)) + 1).tolist()
             for a, b in zip([0, *cuts], [*cuts, len(rows)]):
                 if b > a:
-                    key = tuple(rows[a, [2, 3, 5, 6]].tolist())
+                    key = tuple(rows[a, [3, 4, 6, 7]].tolist())
                     if key != held:
-                        close()
+                        yield from close()
                         held, own = key, []
-                    own.append(np.ascontiguousarray(rows[a:b, :5]))
+                    own.append(np.ascontiguousarray(rows[a:b, :6]))
             yield out()
-        close()
+        yield from close()
         yield out()
 
     groups = dealt.repartition(width, "v", "key", "i", "j").sortWithinPartitions("v", "key", "i", "j", F.col("me") != F.col("i"), "node")
@@ -192,8 +209,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row for each group of near-duplicates: that with the smallest id.
 
     Candidates collide in a covering table of one of ``segments`` fingerprints and differ there in ``accept`` bits at
-    most; a link stands where the texts share ``similarity`` of their ``verify_words``-word shingles. Texts that
-    agree in all segments are equal, or as good as. Rows without an id are kept as they are. Of repeated rows with
+    most; a link stands where the texts share ``similarity`` of their ``verify_words``-word shingles. Links are taken
+    first from spanning forests of candidates; then all candidates that are still apart are verified. Texts that agree in all segments are equal, or as good as. Rows without an id are kept as they are. Of repeated rows with
     the kept id, one stays.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL")
@@ -202,8 +219,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fps = fingerprints(rows, "id", "t", segments).groupBy("id").agg(F.min(F.struct(*names)).alias("f")).select("id", "f.*")
     reps = cut(fps.groupBy(*names).agg(F.min("id").alias("node")))
     segs = reps.select("node", F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), F.col(n).alias("fp")) for k, n in enumerate(names)])).alias("x"))
-    near = cut(links(segs.select("node", "x.seg", "x.fp"), RADIUS, accept))
-    comp = connected_components(_similar(rows, near, similarity, verify_words)).where("node <> component")
+    segs = cut(segs.select("node", "x.seg", "x.fp"))
+    near = cut(links(segs, RADIUS, accept))
+    sure = cut(_similar(rows, near, similarity, verify_words))
+    # a forest's edge that fails leaves pairs behind it unseen: all colliding pairs of different components follow
+    joined = connected_components(sure)
+    open_ = segs.join(joined, "node", "left").select("node", "seg", "fp", F.coalesce("component", "node").alias("label"))
+    rest = cut(links(open_, RADIUS, accept, every=True).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    comp = connected_components(sure.unionByName(_similar(rows, rest, similarity, verify_words))).where("node <> component")
     kept = reps.join(comp, "node", "left_anti").select(F.col("node").alias("id"))
     ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     drop = cut(ids.join(kept, "id", "left_anti").select(F.col("id").alias(id_col)))

@@ -44,3 +44,25 @@ def test_stages(spark, sf):
             assert not s or len(s & own) < 0.8 * len(s)
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()} <= ids
+
+
+def test_close_pairs_in_a_loose_family(spark, monkeypatch):
+    """One bucket of A, B, C: A is loosely like both, B and C are near-copies; a forest from A alone would lose B-C."""
+    rng = random.Random(2)
+    word = lambda: "w" + str(rng.randrange(10**9))
+    a = [word() for _ in range(200)]
+    b = a[:170] + [word() for _ in range(30)]
+    c = [*b[:-1], word()]
+    rows = [(k, " ".join([*t, f"w{k}"])) for k, t in enumerate((a, b, c), 1)]
+    sets = {k: grams(t) for k, t in rows}
+    like = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    assert like(1, 2) < 0.8 and like(1, 3) < 0.8 and like(2, 3) >= 0.8
+
+    def near_prints(docs, id_col, text_col, segments, **more):
+        # equal but for the last fingerprint, so every bucket that holds B and C holds A too
+        last = f"CASE id WHEN 1 THEN 0L WHEN 2 THEN 4294967295L ELSE -4294967296L END AS fp{segments - 1}"
+        return docs.selectExpr("id", "id AS whole", *[f"0L AS fp{k}" for k in range(segments - 1)], last)
+
+    monkeypatch.setattr(simhash, "fingerprints", near_prints)
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
