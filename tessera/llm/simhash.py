@@ -60,17 +60,26 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS, segments: int = 1)
     return np.packbits(ones * 2 > len(spans), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 1) -> DataFrame:
-    """``(id, fp)``, or ``(id, fp0, fp1, ..)``, as signed longs; a null text counts as empty and gives zeros."""
+def _digest(text: str | None) -> bytes:
+    """A hash of all the words of a text, lowered and split as for :func:`fingerprint`."""
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segments: int = 1, whole: bool = False) -> DataFrame:
+    """``(id, fp)``, or ``(id, fp0, fp1, ..)``, as signed longs; a null text counts as empty and gives zeros.
+
+    With ``whole`` a further column of that name holds a hash of the whole text, up to case and white space.
+    """
     names = ["fp"] if segments == 1 else [f"fp{k}" for k in range(segments)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             values = np.array([fingerprint(t, segments=segments) for t in part["t"]], dtype=np.uint64).reshape(-1, segments)
-            yield pd.DataFrame({"id": part["id"]} | {n: values[:, k].view(np.int64) for k, n in enumerate(names)})
+            own = {"whole": [_digest(t) for t in part["t"]]} if whole else {}
+            yield pd.DataFrame({"id": part["id"]} | {n: values[:, k].view(np.int64) for k, n in enumerate(names)} | own)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInPandas(run, ", ".join(["id long", *(f"{n} long" for n in names)]))
+    return rows.mapInPandas(run, ", ".join(["id long", *(f"{n} long" for n in names), *["whole binary"] * whole]))
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -210,14 +219,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Candidates collide in a covering table of one of ``segments`` fingerprints and differ there in ``accept`` bits at
     most; a link stands where the texts share ``similarity`` of their ``verify_words``-word shingles. Links are taken
-    first from spanning forests of candidates; then all candidates that are still apart are verified. Texts that agree in all segments are equal, or as good as. Rows without an id are kept as they are. Of repeated rows with
+    first from spanning forests of candidates; then all candidates that are still apart are verified. Only texts
+    that are equal up to case and white space are joined without that. Rows without an id are kept as they are. Of repeated rows with
     the kept id, one stays.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL")
     names = [f"fp{k}" for k in range(segments)]
     # an id that stands in rows with different texts has one fingerprint
-    fps = fingerprints(rows, "id", "t", segments).groupBy("id").agg(F.min(F.struct(*names)).alias("f")).select("id", "f.*")
-    reps = cut(fps.groupBy(*names).agg(F.min("id").alias("node")))
+    fps = fingerprints(rows, "id", "t", segments, whole=True).groupBy("id").agg(F.min(F.struct(*names, "whole")).alias("f")).select("id", "f.*")
+    reps = cut(fps.groupBy("whole", *names).agg(F.min("id").alias("node")))
     segs = reps.select("node", F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), F.col(n).alias("fp")) for k, n in enumerate(names)])).alias("x"))
     segs = cut(segs.select("node", "x.seg", "x.fp"))
     near = cut(links(segs, RADIUS, accept))

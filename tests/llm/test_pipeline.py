@@ -66,3 +66,13 @@ def test_close_pairs_in_a_loose_family(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", near_prints)
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_filler_does_not_merge_documents(spark):
+    """One shingle over half of a text sets every fingerprint; what else the text says still counts."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(["x"] * 90 + [f"w{rng.randrange(10**9)}" for _ in range(40)])) for k in range(6)]
+    rows.append((6, rows[0][1].upper().replace(" ", "\n")))
+    assert len({tuple(simhash.fingerprint(t, segments=8)) for _, t in rows}) == 1
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
