@@ -2,7 +2,7 @@
 
 Base findings are emails, IPv4 addresses, payment cards and phone numbers. Beyond them, a term may disclose an entity
 (an email address, a phone number and so on) because it stands near that entity and hardly anywhere else. With
-P(e) the share of texts that hold entity e and P(e|t) the share of texts with term t that hold e near t, knowing t
+P(e) the share of documents that hold entity e and P(e|t) the share of documents with term t that hold e near t, knowing t
 gives PMI(e; t) = log(P(e|t) / P(e)) of e's information IC(e) = -log P(e). A term whose disclosure PMI / IC reaches
 ``GENERALISE`` is replaced by a general word, one that reaches ``REMOVE`` is taken out. Everything is DataFrame
 operations: corpus counts are grouped aggregations, and only terms with enough independent support are looked up.
@@ -94,29 +94,27 @@ def _entity(span: Column) -> Column:
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """``(term, disclosure)`` for terms whose disclosure of some entity reaches ``GENERALISE``.
 
-    ``docs`` has ``d, th, t, base`` (id, hash of the text, text, base spans). Equal texts count once, and a context
-    counts once however often it is copied.
+    ``docs`` has ``d, th, t, base`` (id, hash of the text, text, base spans). All shares are of documents; a term must
+    stand near the entity in ``SUPPORT`` differing contexts, so copies of one text alone never make a term.
     """
-    near = docs.where(F.size("base") > 0).select("th", "t", F.explode("base").alias("s"))
+    near = docs.where(F.size("base") > 0).select("d", "th", "t", F.explode("base").alias("s"))
     left = F.expr(f"substring(t, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT}))")
     right = F.expr(f"substring(t, s.stop + 1, {CONTEXT})")
     around = F.lower(F.concat(left, F.lit(" \n "), right))
-    near = near.select("th", _entity(F.col("s")).alias("e"), around.alias("around"))
-    near = near.select("th", "e", F.xxhash64("around").alias("ctx"), F.array_distinct(F.regexp_extract_all("around", F.lit(_WORD), F.lit(0))).alias("words"))
-    entities = near.groupBy("e").agg(F.count_distinct("th").alias("n_e"), F.count_distinct("ctx").alias("c")).where(F.col("c") >= SUPPORT)
-    pairs = near.join(entities.select("e"), "e", "left_semi").select("e", "ctx", F.explode("words").alias("term"))
-    pairs = pairs.groupBy("e", "term").agg(F.count_distinct("ctx").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    pairs = cut(pairs.join(entities.select("e", "n_e"), "e"))
-    terms = cut(pairs.select("term").distinct())
-    n_terms = terms.count()
-    if not n_terms:
+    near = near.select(F.struct("d", "th").alias("doc"), _entity(F.col("s")).alias("e"), around.alias("around"))
+    near = cut(near.select("doc", "e", F.xxhash64("around").alias("ctx"), F.array_distinct(F.regexp_extract_all("around", F.lit(_WORD), F.lit(0))).alias("words")))
+    entities = near.groupBy("e").agg(F.count_distinct("doc").alias("n_e"), F.count_distinct("ctx").alias("c")).where(F.col("c") >= SUPPORT)
+    entities = cut(entities.select("e", "n_e"))
+    pairs = near.join(entities.select("e"), "e", "left_semi").select("e", "ctx", "doc", F.explode("words").alias("term"))
+    pairs = pairs.groupBy("e", "term").agg(F.count_distinct("ctx").alias("c"), F.count_distinct("doc").alias("n_et")).where(F.col("c") >= SUPPORT)
+    pairs = cut(pairs.join(entities, "e").select("e", "term", "n_e", "n_et"))
+    if pairs.isEmpty():
         return pairs.select("term", F.lit(0.0).alias("disclosure"))
-    words = docs.select("th", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    held = F.broadcast(terms) if n_terms <= BROADCAST_TERMS else terms
-    seen = words.join(held, "term", "left_semi").groupBy("term").agg(F.count_distinct("th").alias("n_t"))
-    total = docs.select("th").distinct().count()
-    p_e = F.col("n_e") / F.lit(max(2, total))
-    p_et = F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))
+    # counted before the join: tasks add up their own words, and the join sees each word of the corpus once
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(0)))).alias("term"))
+    seen = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    p_e = F.col("n_e") / F.lit(max(2, docs.count()))
+    p_et = F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))  # repeated rows are one document near an entity, but count in n_t each
     share = F.when(p_e < 1, F.log(p_et / p_e) / -F.log(p_e)).otherwise(F.lit(0.0))
     found = pairs.join(seen, "term").groupBy("term").agg(F.max(share).alias("disclosure"))
     return found.where(F.col("disclosure") >= GENERALISE)
@@ -135,9 +133,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n_terms = found.count()
     if n_terms:
         held = F.broadcast(found) if n_terms <= BROADCAST_TERMS else found
-        words = rows.select("th", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(0)))).alias("term"))
-        hits = words.join(held, "term").distinct().groupBy("th").agg(F.collect_list(F.struct("term", "disclosure")).alias("terms"))
-        rows = rows.join(hits, "th", "left")
+        words = rows.select("d", "th", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(0)))).alias("term"))
+        hits = words.join(held, "term").groupBy("d", "th").agg(F.collect_set(F.struct("term", "disclosure")).alias("terms"))
+        # by id and text: copies of a text under other ids are dealt over all tasks
+        rows = rows.join(hits.select(F.col("d").alias("hd"), F.col("th").alias("hh"), "terms"), F.col("d").eqNullSafe(F.col("hd")) & (F.col("th") == F.col("hh")), "left")
     else:
         rows = rows.withColumn("terms", F.lit(None).cast("array<struct<term:string,disclosure:double>>"))
     base_at = F.col("base")

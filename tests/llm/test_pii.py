@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -68,5 +69,48 @@ def test_terms_that_give_an_entity_away(spark):
     assert all(got[i].sanitised == t for i, t in rows[:200])
 
 
+def plain_terms(rows):
+    """Disclosure of every term by loops over documents."""
+    docs = list({(i, t or "") for i, t in rows})
+    word = lambda x: set(re.findall(r"[^\W\d_]\w{2,}", x.lower()))
+    near, n_e, n_t = {}, {}, {}
+    for doc in docs:
+        i, t = doc
+        for w in word(t):
+            n_t[w] = n_t.get(w, 0) + 1
+        for span in plain(t):
+            kind, a, b = span.split(":")
+            a, b = int(a), int(b)
+            value = t[a:b].lower() if kind in ("email", "ip") else kind + re.sub("[^0-9]", "", t[a:b])
+            around = (t[max(0, a - pii.CONTEXT) : a] + " \n " + t[b : b + pii.CONTEXT]).lower()
+            n_e.setdefault(value, set()).add(doc)
+            for w in word(around):
+                near.setdefault((value, w), []).append((around, doc))
+    found = {}
+    for (e, w), places in near.items():
+        if len({c for c, _ in places}) < pii.SUPPORT:
+            continue
+        p_e, p_et = len(n_e[e]) / max(2, len(docs)), min(1, len({d for _, d in places}) / n_t.get(w, 1))
+        share = math.log(p_et / p_e) / -math.log(p_e) if p_e < 1 else 0
+        if share >= pii.GENERALISE:
+            found[w] = max(found.get(w, 0), share)
+    return found
+
+
+def test_disclosure_matches_loops(spark):
+    rng = random.Random(12)
+    vocab, names = [f"word{i}" for i in range(80)], [f"name{i}" for i in range(8)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(30))) for i in range(150)]
+    for i in range(200, 260):
+        k = rng.randrange(8)
+        rows.append((i, " ".join([*(rng.choice(vocab) for _ in range(rng.randint(1, 40))), names[k], f"box{k}@b.com", *(rng.choice(vocab) for _ in range(5)), rng.choice(names)])))
+    rows += [(i + 1000, t) for i, t in rows[-20:]]
+    docs = spark.createDataFrame(rows, "d long, t string")
+    docs = docs.selectExpr("d", "xxhash64(t) AS th", "t").withColumn("base", pii.base_spans(docs["t"]))
+    got = {r.term: round(r.disclosure, 9) for r in pii.disclosing_terms(docs).collect()}
+    want = {w: round(x, 9) for w, x in plain_terms(rows).items()}
+    assert got == want and got
+
+
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string, t string")).count() == 0
