@@ -23,8 +23,8 @@ SHINGLE_WORDS = 3
 SEED = 42
 RADIUS = 3
 #: Where links are verified on the texts afterwards: fingerprints of a document, each with its own covering tables,
-#: and the bits in which a colliding pair may differ. Eight find 81 % of pairs at a similarity of 0.8, 99 % at 0.9.
-SEGMENTS, ACCEPT = 8, 14
+#: and the bits in which a colliding pair may differ. Fourteen find nine in ten pairs at a similarity of 0.8.
+SEGMENTS, ACCEPT = 14, 14
 #: Rows of a bucket that one task compares at once; larger buckets are dealt out as pairs of blocks.
 BLOCK = 2048
 #: Ids (8 bytes each) up to which a list of documents is broadcast; a longer one is joined by a shuffle.
@@ -123,13 +123,15 @@ def links(fps: DataFrame, radius: int = RADIUS, accept: int | None = None, block
     group returns a spanning forest. Nodes are distinct in a segment. With ``every``, a group returns not a forest but
     all its pairs whose ``label`` (a column of ``fps`` then) differs.
     """
-    label = "label" if every else "node"
     accept = radius if accept is None else accept
     covering = masks(radius)
-    table = F.explode(F.array(*[F.struct((F.col("seg") * len(covering) + i).alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(covering)]))
+    mask = F.element_at(F.array(*[F.lit(m) for m in covering]), F.pmod(F.col("v"), F.lit(len(covering))) + 1)
+    key, label = F.col("fp").bitwiseAND(mask), "c" if every else "node"
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one shuffle serves the counts and the join with them
-    rows = fps.select("node", "fp", F.col(label).alias("c"), table.alias("x")).select("node", "fp", "c", "x.v", "x.key").repartition(width, "v", "key")
+    # one shuffle serves the counts and the join with them; it carries neither the key nor a label that is the node
+    tables = F.transform(F.sequence(F.lit(0), F.lit(len(covering) - 1)), lambda k: (F.col("seg") * len(covering) + k).cast("int"))
+    rows = fps.select("node", "fp", *[F.col("label").alias("c")] * every, F.explode(tables).alias("v"))
+    rows = rows.repartition(width, F.col("v"), key).select("node", "fp", F.col(label).alias("c"), "v", key.alias("key"))
     full = rows.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1 AND low <> high").drop("low", "high")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     dealt = rows.join(full, ["v", "key"]).withColumn("nb", blocks).withColumn("me", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
@@ -220,13 +222,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Candidates collide in a covering table of one of ``segments`` fingerprints and differ there in ``accept`` bits at
     most; a link stands where the texts share ``similarity`` of their ``verify_words``-word shingles. Links are taken
     first from spanning forests of candidates; then all candidates that are still apart are verified. Only texts
-    that are equal up to case and white space are joined without that. Rows without an id are kept as they are. Of repeated rows with
-    the kept id, one stays.
+    that are equal up to case and white space are joined without that. Rows without an id are kept as they are, and so
+    are rows that share an id and differ in text; of rows that repeat id and text, one stays. An empty table stays empty.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL")
     names = [f"fp{k}" for k in range(segments)]
-    # an id that stands in rows with different texts has one fingerprint
-    fps = fingerprints(rows, "id", "t", segments, whole=True).groupBy("id").agg(F.min(F.struct(*names, "whole")).alias("f")).select("id", "f.*")
+    fps = fingerprints(rows, "id", "t", segments, whole=True).groupBy("id").agg(F.min(F.struct(*names, "whole")).alias("f"), F.min("whole").alias("low"), F.max("whole").alias("high"))
+    fps = cut(fps.where("low = high").select("id", "f.*"))
     reps = cut(fps.groupBy("whole", *names).agg(F.min("id").alias("node")))
     segs = reps.select("node", F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), F.col(n).alias("fp")) for k, n in enumerate(names)])).alias("x"))
     segs = cut(segs.select("node", "x.seg", "x.fp"))
@@ -238,9 +240,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = cut(links(open_, RADIUS, accept, every=True).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     comp = connected_components(sure.unionByName(_similar(rows, rest, similarity, verify_words))).where("node <> component")
     kept = reps.join(comp, "node", "left_anti").select(F.col("node").alias("id"))
-    ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    drop = cut(ids.join(kept, "id", "left_anti").select(F.col("id").alias(id_col)))
-    again = cut(ids.where("n > 1").select(F.col("id").alias(id_col)))  # repeated ids: the only rows that move
+    drop = cut(fps.select("id").join(kept, "id", "left_anti").select(F.col("id").alias(id_col)))
+    again = cut(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias(id_col)))  # the only rows that move
     stay = docs.join(_few(drop), id_col, "left_anti")
     single = stay.join(_few(again), id_col, "left_anti")
-    return single.select(docs.columns).unionByName(stay.join(_few(again), id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns))
+    return single.select(docs.columns).unionByName(stay.join(_few(again), id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns))

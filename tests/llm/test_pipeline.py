@@ -76,3 +76,33 @@ def test_filler_does_not_merge_documents(spark):
     assert len({tuple(simhash.fingerprint(t, segments=8)) for _, t in rows}) == 1
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_rows_that_share_an_id_stay(spark):
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven twelve"), (2, "one two three four five six"), (3, "q r s t u v"), (3, "q r s t u v")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == [rows[0], rows[1], rows[2], rows[3]]
+
+
+def test_recall_of_candidates():
+    """Nine in ten pairs at a similarity of 0.8 collide in a table of one of the fingerprints."""
+    rng = random.Random(3)
+    vocab = [f"{a}{b}{c}" for a in "bcdfghjklmnp" for b in ("a", "en", "ing", "or", "us", "th") for c in "xyzw"]
+    tables = [m & (2**64 - 1) for m in simhash.masks()]
+    found = tried = 0
+    while tried < 150:
+        a = [rng.choice(vocab) for _ in range(rng.choice([60, 120, 300, 800]))]
+        b, like = a, 1.0
+        while True:
+            c = list(b)
+            c[rng.randrange(len(c))] = rng.choice(vocab)
+            x, y = grams(" ".join(a)), grams(" ".join(c))
+            if len(x & y) < 0.8 * len(x | y):
+                break
+            b, like = c, len(x & y) / len(x | y)
+        if like > 0.85:
+            continue
+        tried += 1
+        prints = [simhash.fingerprint(" ".join(t), segments=simhash.SEGMENTS) for t in (a, b)]
+        found += any((p ^ q).bit_count() <= simhash.ACCEPT and any((p ^ q) & m == 0 for m in tables) for p, q in zip(*prints))
+    assert found >= 0.9 * tried
