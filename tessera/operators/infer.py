@@ -18,7 +18,7 @@ Model = Callable[[np.ndarray, np.ndarray], np.ndarray]
 def batch_inference(prompts: DataFrame, model: Model, batch: int = 16, pad_id: int = 0, special: tuple[int, ...] = (), speech: bool = False) -> DataFrame:
     """``(sample_id, completion)`` for ``prompts`` (``sample_id, ids``); the model is sent to the tasks once.
 
-    Rows of an Arrow batch are sorted by length, so a batch pads little. Speech needs batches of one.
+    Ids named in ``special`` are taken out of completions, no others. Rows of an Arrow batch are sorted by length, so a batch pads little. Speech needs batches of one.
     """
     if speech and batch != 1:
         raise ValueError("batch_audio: speech output needs batches of one")
@@ -37,4 +37,4 @@ def batch_inference(prompts: DataFrame, model: Model, batch: int = 16, pad_id: i
                 yield pd.DataFrame({"sample_id": rows["sample_id"].to_numpy(), "out": [r.tolist() for r in out], "width": width})
 
     done = prompts.select("sample_id", "ids").mapInPandas(run, "sample_id long, out array<long>, width long")
-    return done.select("sample_id", strip_special(completion(F.col("out"), F.col("width")), [pad_id, *special]).alias("completion"))
+    return done.select("sample_id", strip_special(completion(F.col("out"), F.col("width")), list(special)).alias("completion"))

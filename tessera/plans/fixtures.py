@@ -21,7 +21,7 @@ FIXTURES = {
         CASE WHEN o_orderkey % 5 = 1 OR o_orderkey % 97 = 0 THEN CAST(0.5 AS DOUBLE) + o_orderkey % 7 END AS fps,
         CAST(CASE WHEN o_orderkey % 5 = 2 THEN 2 + o_orderkey % 40 END AS DOUBLE) AS max_frames,
         CAST(CASE WHEN o_orderkey % 7 = 3 THEN 30000 END AS DOUBLE) AS max_pixels FROM orders""",
-    "frame_pts": "SELECT video_id, s.n AS frame_no, s.n / video_fps AS pts FROM (SELECT * FROM video_meta WHERE video_id < 200) v @SERIES(total_frames)@",
+    "frame_pts": "SELECT video_id, s.n AS frame_no, s.n / video_fps AS pts FROM video_meta v @SERIES(total_frames)@",
     "audio_meta": """SELECT doc_id AS audio_id, n_chars AS mel_len FROM documents UNION ALL SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT -2, 1
         UNION ALL SELECT -3, 2 UNION ALL SELECT -4, 199 UNION ALL SELECT -5, 200 UNION ALL SELECT -6, 201""",
     "messages": f"""SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN text ELSE
@@ -63,7 +63,7 @@ FIXTURES = {
         CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 0 ELSE CAST(floor(value) AS BIGINT) % 60 END AS step FROM events) x""",
     "speakers": "SELECT n_name AS name, CAST(1000 + n_nationkey AS BIGINT) AS bos_token FROM nation",
     "requests": "SELECT c_custkey AS req_id, CASE WHEN c_custkey % 50 = 0 THEN 'nobody' ELSE 'NATION_' || CAST(c_nationkey AS VARCHAR(10)) END AS speaker FROM customer",
-    "codes": "SELECT l_orderkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos, l_partkey % 8192 AS code FROM lineitem WHERE l_orderkey < 300",
+    "codes": "SELECT l_orderkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos, l_partkey % 8192 AS code FROM lineitem",
     "series": "SELECT user_id AS item, @SECONDS(ts)@ AS ts, event_id, value FROM events",
     "rollouts": "SELECT user_id AS prompt, event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 8 AS BIGINT) AS g, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 8.0) AS BIGINT) AS grp, value AS k, value / 10 AS k_ratio, CAST(event_id % 7 AS DOUBLE) AS a, CAST(event_id % 3 AS DOUBLE) AS g_score FROM events",
     "steps": "SELECT user_id AS conv, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS batch, 1 + CAST(floor(value) AS BIGINT) % 20 AS len, event_id FROM events",

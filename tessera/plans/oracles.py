@@ -97,7 +97,7 @@ _BODIES = {
         UNION ALL SELECT CASE WHEN mask = 0 THEN 'right_padding' END FROM (SELECT mask FROM tokens QUALIFY pos = max(pos) OVER (PARTITION BY sample_id)) p
         UNION ALL SELECT 'unknown_speaker' FROM requests WHERE speaker NOT IN (SELECT name FROM speakers)) x WHERE error IS NOT NULL GROUP BY error""",
     "image_resize_plan": f"SELECT image_id, {_IM['h']} AS h, {_IM['w']} AS w, {_IM['error']} AS error FROM image_meta",
-    "video_frame_count": f"WITH {_VM} SELECT video_id, n, round(n / greatest(CAST(total_frames AS DOUBLE), 1e-6) * video_fps, 6) AS sample_fps FROM vm",
+    "video_frame_count": f"WITH {_VM} SELECT video_id, n, n / greatest(CAST(total_frames AS DOUBLE), 1e-6) * video_fps AS sample_fps FROM vm",
     "video_frame_samples": f"WITH {_VM} SELECT video_id, k, CAST(round_even(k * ((total_frames - 1) / (n - 1)), 0) AS BIGINT) AS frame FROM vm CROSS JOIN LATERAL unnest(range(0, n)) AS u(k) WHERE n IS NOT NULL",
     "video_resize_plan": f"WITH {_VM} SELECT video_id, round(budget, 6) AS budget, h, w, error FROM vm",
     "video_trim": "SELECT video_id, count(*) AS total_frames, min(frame_no) AS first_frame FROM frame_pts WHERE pts >= CASE WHEN video_id % 3 <> 0 THEN video_id % 5 ELSE 0 END AND (video_id % 4 = 0 OR pts <= video_id % 5 + 2.5) GROUP BY video_id",
@@ -140,11 +140,15 @@ _BODIES = {
     "placeholder_join": """WITH t AS (SELECT sample_id, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id, CASE token_id WHEN 90003 THEN 'image' WHEN 90004 THEN 'video' WHEN 90005 THEN 'audio' END AS modality FROM tokens),
         r AS (SELECT *, CASE WHEN modality IS NOT NULL THEN count(*) OVER (PARTITION BY sample_id, modality ORDER BY pos) - 1 END AS k0 FROM t),
         v AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM embeddings)
-        SELECT r.sample_id, pos, token_id, modality, k0 AS k, v.vec_id, x0 FROM r LEFT JOIN v ON v.vec_id = (r.sample_id * 13 + k0) % 500 AND k0 < CASE WHEN modality = 'audio' THEN 40 ELSE 70 END""",
+        SELECT r.sample_id, pos, token_id, modality, k0 AS k, v.vec_id, x0 FROM r LEFT JOIN v ON v.vec_id = (r.sample_id * 13 + k0) % (SELECT count(*) FROM embeddings) AND k0 < CASE WHEN modality = 'audio' THEN 40 ELSE 70 END""",
     "speaker_lookup": "SELECT req_id, speaker, bos_token FROM requests JOIN speakers ON name = speaker",
     "unknown_speakers": "SELECT req_id, speaker FROM requests WHERE speaker NOT IN (SELECT name FROM speakers)",
     "segment_lookup": f"WITH {_STARTS}, e AS (SELECT sample_id, seg_no, start, lead(start) OVER (PARTITION BY sample_id ORDER BY seg_no) AS stop FROM st) SELECT t.sample_id, CAST(t.pos AS BIGINT) AS pos, e.seg_no FROM tokens t JOIN e ON e.sample_id = t.sample_id AND t.pos >= e.start AND (e.stop IS NULL OR t.pos < e.stop)",
     "block_band_join": "SELECT a.item, CAST(a.pos AS BIGINT) AS pos_a, CAST(b.pos AS BIGINT) AS pos_b FROM codes a JOIN codes b ON a.item = b.item AND a.pos // 2 - b.pos // 2 BETWEEN 0 AND 1",
+    "stream_positions": "WITH c AS (SELECT user_id AS conv, event_id AS batch, 1 + CAST(floor(value) AS BIGINT) % 20 AS len FROM events), d AS (SELECT *, sum(len) OVER (PARTITION BY conv ORDER BY batch) - len AS seen FROM c) SELECT conv, batch, i, CAST(seen + i AS BIGINT) AS position FROM d CROSS JOIN LATERAL unnest(range(0, len)) AS u(i)",
+    "stream_reply_zip": "WITH s AS (SELECT user_id AS conv, event_id AS batch, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step FROM events) SELECT conv, batch, step, least(step, 4 + conv % 7) AS idx FROM s",
+    "stream_media_plan": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, modality, uri, error FROM vis",
+    "batch_inference": f"WITH {_IDS} SELECT item AS sample_id, CAST(list_sum(ids) % 1000 + 5 AS VARCHAR) || CASE WHEN len(ids) = 1 THEN '' ELSE ',' || CAST(len(ids) + 3 AS VARCHAR) END AS completion FROM il",
     "clamped_zip": "WITH r AS (SELECT conv, batch, event_id FROM steps WHERE batch < 5 + conv % 7), n AS (SELECT conv, count(*) AS n FROM r GROUP BY conv) SELECT s.conv, CAST(s.batch AS BIGINT) AS step, CAST(r.batch AS BIGINT) AS idx, r.event_id AS reply FROM steps s JOIN n ON n.conv = s.conv JOIN r ON r.conv = s.conv AND r.batch = least(s.batch, n.n - 1)",
     "valid_lengths": "SELECT sample_id, CAST(sum(mask) AS BIGINT) AS length FROM tokens GROUP BY sample_id",
     "pair_pooling": f"WITH {_FEAT} SELECT a.item, CAST(a.pos // 2 AS BIGINT) AS pair, a.dim, round((a.x + b.x) / 2, 6) AS value FROM fl a JOIN fl b ON a.item = b.item AND a.dim = b.dim AND a.pos % 2 = 0 AND b.pos = a.pos + 1",

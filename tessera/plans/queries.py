@@ -157,7 +157,7 @@ def _planned_videos(spark, sf):
 
 @query
 def video_frame_count(spark, sf):
-    return _planned_videos(spark, sf).select("video_id", "n", _r("sample_fps"))
+    return _planned_videos(spark, sf).select("video_id", "n", "sample_fps")
 
 
 @query
@@ -302,8 +302,9 @@ def placeholder_join(spark, sf):
     names = F.array(*[F.lit(n) for n in PLACEHOLDERS.values()])
     samples = tokens.select("sample_id").distinct()
     count = F.when(F.col("modality") == "audio", 40).otherwise(70)
+    table_size = table(spark, sf, "embeddings").count()
     features = samples.select("sample_id", F.explode(names).alias("modality"))
-    features = features.select("*", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)).alias("k")).withColumn("vec_id", (F.col("sample_id") * 13 + F.col("k")) % 500)
+    features = features.select("*", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)).alias("k")).withColumn("vec_id", (F.col("sample_id") * 13 + F.col("k")) % F.lit(table_size))
     vectors = table(spark, sf, "embeddings").select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("x0"))
     return joins.placeholder_join(tokens, features.join(vectors, "vec_id"), PLACEHOLDERS)
 
@@ -492,30 +493,37 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return files.select(F.col("user_id").alias("conv"), F.col("event_id").alias("batch"), (1 + F.floor("value") % 20).cast("long").alias("len"), (5 + F.col("user_id") % 7).cast("long").alias("n_replies"))
+SLICES = 3
 
 
-def _stateful(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _slices(spark, sf, processor) -> DataFrame:
+    """Events in SLICES runs by id, each a micro-batch of its own; what a processor keeps is carried from run to run."""
+    rows = table(spark, sf, "events")
+    rows = rows.select(F.col("user_id").alias("conv"), F.col("event_id").alias("batch"), (1 + F.floor("value") % 20).cast("long").alias("len"), (5 + F.col("user_id") % 7).cast("long").alias("n_replies"))
+    low, high = rows.agg(F.min("batch"), F.max("batch")).first()
+    out = _folder(spark, "stream")
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        for k in range(SLICES):
+            at = F.floor((F.col("batch") - F.lit(low)) * SLICES / F.lit((high or 0) - (low or 0) + 1))
+            rows.where(at == k).write.mode("append").parquet(f"{out}/in")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+            state.run_available(processor(stream), f"{out}/data", f"{out}/state")
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(f"{out}/data")
 
 
 @query
 def stream_positions(spark, sf):
-    _stateful(spark)
-    out = _folder(spark, "stream")
-    state.run_available(state.stream_positions(_event_stream(spark, sf)), f"{out}/data", f"{out}/state")
-    return spark.read.parquet(f"{out}/data")
+    return _slices(spark, sf, state.stream_positions)
 
 
 @query
 def stream_reply_zip(spark, sf):
-    _stateful(spark)
-    out = _folder(spark, "stream")
-    state.run_available(state.stream_reply_zip(_event_stream(spark, sf)), f"{out}/data", f"{out}/state")
-    return spark.read.parquet(f"{out}/data")
+    return _slices(spark, sf, state.stream_reply_zip)
 
 
 @query

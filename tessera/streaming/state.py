@@ -4,12 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 
+#: Rows of a result batch.
+CHUNK = 10_000
+
+
+def _in_order(rows: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``batch`` and ``column`` in order of batch, in chunks; two numbers are held for a row of a key's micro-batch."""
+    parts = [part[["batch", column]].to_numpy(np.int64) for part in rows]
+    got = np.concatenate(parts)
+    got = got[np.argsort(got[:, 0], kind="stable")]
+    for at in range(0, len(got), CHUNK):
+        yield got[at : at + CHUNK, 0], got[at : at + CHUNK, 1]
+
+
 class RunningPositions(StatefulProcessor):
     """Keeps how many rows a conversation has had; new rows count on from there."""
 
@@ -18,14 +33,11 @@ class RunningPositions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen = self.seen.get()[0] if self.seen.exists() else 0
-        got = pd.concat(list(rows)).sort_values("batch")
-        out = []
-        for batch, n in zip(got["batch"], got["len"]):
-            out.append(pd.DataFrame({"conv": key[0], "batch": batch, "i": range(n), "position": range(seen, seen + n)}))
-            seen += int(n)
+        for batch, lens in _in_order(rows, "len"):
+            ends = seen + np.cumsum(lens)
+            yield pd.DataFrame({"conv": key[0], "batch": batch, "seen": ends - lens, "len": lens})
+            seen = int(ends[-1])
         self.seen.update((seen,))
-        if out:
-            yield pd.concat(out)
 
     def close(self) -> None:
         pass
@@ -39,19 +51,24 @@ class ReplyZip(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         at = self.step.get()[0] if self.step.exists() else 0
-        got = pd.concat(list(rows)).sort_values("batch")
-        steps = range(at, at + len(got))
-        self.step.update((at + len(got),))
-        last = got["n_replies"].to_numpy() - 1
-        yield pd.DataFrame({"conv": key[0], "batch": got["batch"], "step": steps, "idx": [min(s, int(m)) for s, m in zip(steps, last)]})
+        for batch, replies in _in_order(rows, "n_replies"):
+            steps = at + np.arange(len(batch))
+            yield pd.DataFrame({"conv": key[0], "batch": batch, "step": steps, "idx": np.minimum(steps, replies - 1)})
+            at += len(batch)
+        self.step.update((at,))
 
     def close(self) -> None:
         pass
 
 
 def stream_positions(steps: DataFrame) -> DataFrame:
-    """``(conv, batch, i, position)`` of a stream of ``conv, batch, len`` (R1); batches of a conversation come in order."""
-    return steps.groupBy("conv").transformWithStateInPandas(RunningPositions(), "conv long, batch long, i long, position long", "Append", "None")
+    """``(conv, batch, i, position)`` of a stream of ``conv, batch, len`` (R1); batches of a conversation come in order.
+
+    The state gives the start of each batch; Spark explodes its positions.
+    """
+    starts = steps.groupBy("conv").transformWithStateInPandas(RunningPositions(), "conv long, batch long, seen long, len long", "Append", "None")
+    rows = starts.where("len > 0").select("conv", "batch", "seen", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("i"))
+    return rows.select("conv", "batch", "i", (F.col("seen") + F.col("i")).alias("position"))
 
 
 def stream_reply_zip(steps: DataFrame) -> DataFrame:
