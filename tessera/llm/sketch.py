@@ -2,7 +2,9 @@
 
 The kept share is the same for every text, so sketches of texts of any length compare, and the sketch of a union is
 the union of the sketches. Shingles are ``WIDTH`` code points of the lower-cased text (a shorter text is one
-shingle). A sketch is written as its sorted 40-bit values, ten hex digits each; an empty one is the empty string.
+shingle). A sketch is written as its sorted 40-bit values, ten hex digits each; that of an empty text is the empty string.
+A text of which the threshold keeps nothing has its smallest whole hash, which is above the threshold and so known as
+such, written as ``~`` and 16 hex digits: different short texts stay different.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ _FIRST = -(2**63)
 
 
 def sketch(text: str, width: int = WIDTH, fraction_bits: int = FRACTION_BITS) -> np.ndarray:
-    """Sorted distinct 40-bit values of the kept shingles."""
+    """Sorted distinct 40-bit values of the kept shingles, or else the smallest hash of a text that keeps none."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     if not len(codes):
         return codes
@@ -39,25 +41,33 @@ def sketch(text: str, width: int = WIDTH, fraction_bits: int = FRACTION_BITS) ->
     h *= _MIX_B
     h ^= h >> np.uint64(31)
     kept = h[h >> np.uint64(64 - fraction_bits) == 0]
+    if not len(kept):
+        return h.min(keepdims=True)
     return np.unique((kept >> np.uint64(24 - fraction_bits)) & np.uint64((1 << 40) - 1))
 
 
 def to_text(values: np.ndarray) -> str:
+    if len(values) == 1 and values[0] >> np.uint64(40):
+        return f"~{int(values[0]):016x}"
     return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().hex()
 
 
 def from_text(sketched: str) -> np.ndarray:
+    if sketched.startswith("~"):
+        return np.array([int(sketched[1:], 16)], dtype=np.uint64)
     raw = np.frombuffer(bytes.fromhex(sketched), np.uint8).reshape(-1, 5)
     return np.hstack([np.zeros((len(raw), 3), np.uint8), raw]).view(">u8").ravel().astype(np.uint64)
 
 
 def merge(*sketches: str) -> str:
     """The sketch of texts taken together."""
-    return to_text(np.unique(np.concatenate([from_text(s) for s in sketches])))
+    values = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(from_text, sketches)]))
+    kept = values[values >> np.uint64(40) == 0]
+    return to_text(kept if len(kept) else values[:1])
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller text's shingles that the other text has; two empty sketches are alike."""
+    """Estimated share of the smaller text's shingles that the other text has; two empty texts are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))

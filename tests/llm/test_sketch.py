@@ -47,3 +47,13 @@ def test_merge_and_containment():
     a, b = " ".join(words[:300]), " ".join(words[200:700])
     merged = S.from_text(S.merge(S.to_text(S.sketch(a)), S.to_text(S.sketch(b))))
     assert np.array_equal(merged, np.union1d(S.sketch(a), S.sketch(b)))
+
+
+def test_short_texts_differ():
+    texts = ["abc", "xyz", "hello", "Hello there", "", "a"]
+    prints = {t: S.to_text(S.sketch(t)) for t in texts}
+    assert len(set(prints.values())) == len(texts) and prints[""] == "" and any(p.startswith("~") for p in prints.values())
+    assert all(np.array_equal(S.from_text(p), S.sketch(t)) for t, p in prints.items())
+    assert all(S.likeness(S.sketch(a), S.sketch(b)) == (a == b) for a in texts for b in texts)
+    long = S.to_text(S.sketch("a longer text " * 3 + "with many words in it, all of them kept or not"))
+    assert S.merge(prints["abc"], long) == long and S.merge(prints["abc"], prints["abc"]) == prints["abc"]
