@@ -6,6 +6,7 @@ window spans 2.5 times the partition's lower bound and starts every half of it,
 of the partition lies whole in some window. An item of which 80 % stands in a window resembles it by 0.29 at
 least, and is missed by all of 32 one-row MinHash bands with a chance below 2e-5. Window minima come from
 block minima, which the partitions share by pairwise minima; a partition costs half of the one below it.
+An item of fewer than five words is its own only shingle, looked up among all runs of so many words.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS = 32
-#: Items searched at once: what one index holds. More items are searched in blocks of about this many.
+#: Items and bytes of their texts searched at once: what one index holds. More are searched in blocks of about so many.
 ITEM_BLOCK = 20_000
+ITEM_BYTES = 32 << 20
 _CACHE_WORDS = 300_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -41,6 +43,11 @@ def shingles(tokens: list[bytes], width: int = SHINGLE_WORDS) -> set[bytes]:
     return {b" ".join(tokens[i : i + width]) for i in range(len(tokens) - width + 1)}
 
 
+def own_shingles(tokens: list[bytes], width: int) -> set[bytes]:
+    """An item's shingles: the whole of it where it has fewer words, none where it has no word."""
+    return shingles(tokens, min(width, max(1, len(tokens))))
+
+
 class _Hasher:
     """Hashes of all shingles of a list of words, by vector arithmetic over the words' hashes."""
 
@@ -68,16 +75,24 @@ class _Hasher:
 
 
 class _Index:
-    """Signatures of items by size partition; small enough to send to every task, see ITEM_BLOCK."""
+    """Signatures of items by size partition; small enough to send to every task, see ITEM_BLOCK and ITEM_BYTES.
+
+    Items are known by their place in the list, as several texts may share an id.
+    """
 
     def __init__(self, items: list[tuple[int, str]], width: int, bands: int):
-        hasher = _Hasher(width)
-        self.sets = {i: shingles(words(t), width) for i, t in items}
-        levels = defaultdict(list)
-        for i, t in items:
-            h = hasher(words(t))
-            if len(h):
-                levels[int(len(h)).bit_length() - 1].append((i, h))
+        self.ids = [i for i, _ in items]
+        tokens = [words(t) for _, t in items]
+        self.sets = [own_shingles(w, width) for w in tokens]
+        self.short: dict[int, dict[bytes, list[int]]] = defaultdict(lambda: defaultdict(list))
+        levels, hasher = defaultdict(list), _Hasher(width)
+        for k, w in enumerate(tokens):
+            if 0 < len(w) < width:
+                self.short[len(w)][b" ".join(w)].append(k)
+            elif w:
+                h = hasher(w)
+                levels[int(len(h)).bit_length() - 1].append((k, h))
+        self.short = {n: dict(found) for n, found in self.short.items()}
         self.levels = {}
         for level, held in sorted(levels.items()):
             self.levels[level] = []
@@ -136,32 +151,40 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], width: int, threshold
                         sets[d] = shingles(tokens[d], width)
                     shared, whole = len(found.sets[item] & sets[d]), len(found.sets[item])
                     if shared >= threshold * whole:
-                        out.append((ids[at + d], item, shared, whole))
+                        out.append((ids[at + d], found.ids[item], shared, whole))
+                for size, short in found.short.items():
+                    for d, own in enumerate(tokens):
+                        for held in shingles(own, size) & short.keys():
+                            out.extend((ids[at + d], found.ids[k], 1, 1) for k in short[held])
             yield pd.DataFrame(out, columns=["id", "item", "shared", "whole"]).astype({"id": "Int64"})
 
     return docs.mapInPandas(run, "id long, item long, shared long, whole long")
 
 
-def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = SHINGLE_WORDS, threshold: float = THRESHOLD, bands: int = BANDS, item_block: int = ITEM_BLOCK) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = SHINGLE_WORDS, threshold: float = THRESHOLD, bands: int = BANDS, item_block: int = ITEM_BLOCK, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """``(doc_id, item_id, shared, item_shingles, containment)`` for every item of which a document holds
     ``threshold`` or more of the distinct shingles.
 
-    Items are counted first; more than ``item_block`` of them are searched block by block, so that what is sent to
-    the tasks stays bounded. Texts of fewer than ``width`` words have no shingles: such items and documents match
-    nothing. Null texts are empty. Rows without an id are left out, repeated rows give one result.
+    Items and their bytes are counted first; more than ``item_block`` of them, or than ``item_bytes``, are searched
+    block by block, so that what is sent to the tasks stays bounded. An item of fewer than ``width`` words is one
+    shingle, its whole sequence; an item without words matches nothing. Null texts are empty. Rows without an id are
+    left out. Each row is compared by itself: of several rows with the same two ids the result is the one of the
+    largest containment, then of the most shared shingles. String ids must be numbers.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("id IS NOT NULL")
     asked = items.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    blocks = max(1, -(-asked.count() // item_block))
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("bytes")).first()
+    blocks = max(1, -(-size.n // item_block), -(-(size.bytes or 0) // item_bytes))
     found = []
     for b in range(blocks):
-        held = asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).orderBy("i", "t").collect()
+        held = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).orderBy("i", "t").collect()
         found.append(_search(rows, [(r.i, r.t) for r in held], width, threshold, bands))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    out = out.groupBy("id", "item").agg(F.max("shared").alias("shared"), F.max("whole").alias("whole"))
-    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "shared", F.col("whole").alias("item_shingles"), (F.col("shared") / F.col("whole")).alias("containment"))
+    best = F.max(F.struct((F.col("shared") / F.col("whole")).alias("containment"), "shared", "whole")).alias("best")
+    out = out.groupBy("id", "item").agg(best)
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.shared", F.col("best.whole").alias("item_shingles"), "best.containment")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -174,9 +197,12 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 ORACLE = """
 WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-/:-@\\[-`{-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-/:-@\\[-`{-\\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b),
-n AS (SELECT item_id, count(*) AS whole FROM bs GROUP BY item_id),
-m AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, shared, whole AS item_shingles, shared / whole AS containment FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * whole
+dr AS (SELECT row_number() OVER () AS d, doc_id, w FROM (SELECT DISTINCT doc_id, w FROM d WHERE doc_id IS NOT NULL)),
+br AS (SELECT row_number() OVER () AS b, item_id, w, least(5, len(w)) AS k FROM (SELECT DISTINCT item_id, w FROM b WHERE item_id IS NOT NULL AND len(w) > 0)),
+ds AS (SELECT DISTINCT d, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM dr, (SELECT DISTINCT k FROM br)),
+bs AS (SELECT DISTINCT b, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM br),
+n AS (SELECT b, count(*) AS whole FROM bs GROUP BY b),
+m AS (SELECT d, b, count(*) AS shared FROM ds JOIN bs USING (k, s) GROUP BY d, b),
+r AS (SELECT doc_id, item_id, max({'c': shared / whole, 's': shared, 'w': whole}) AS x FROM m JOIN n USING (b) JOIN dr USING (d) JOIN br USING (b) WHERE shared >= 0.8 * whole GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, x.s AS shared, x.w AS item_shingles, x.c AS containment FROM r
 """

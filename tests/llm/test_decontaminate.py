@@ -6,14 +6,17 @@ from tessera.llm import decontaminate as D
 
 
 def plain(docs, items):
-    out = set()
-    sets = {i: D.shingles(D.words(t)) for i, t in items}
+    best = {}
+    sets = [(i, D.words(t)) for i, t in items]
     for d, t, *_ in docs:
-        own = D.shingles(D.words(t))
-        for i, s in sets.items():
-            if s and d is not None and len(s & own) >= 0.8 * len(s):
-                out.add((d, i, len(s & own), len(s)))
-    return out
+        tokens = D.words(t)
+        for i, w in sets:
+            k = min(5, len(w))
+            s = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+            shared = len(s & {tuple(tokens[j : j + k]) for j in range(len(tokens) - k + 1)}) if s else 0
+            if s and d is not None and shared >= 0.8 * len(s):
+                best[d, i] = max(best.get((d, i), (0, 0, 0)), (shared / len(s), shared, len(s)))
+    return {(d, i, x[1], x[2]) for (d, i), x in best.items()}
 
 
 def run(spark, docs, items, **kw):
@@ -27,7 +30,7 @@ def test_planted_in_long_texts(spark):
     vocab = [f"w{i}" for i in range(900)]
     text = lambda n: [rng.choice(vocab) for _ in range(n)]
     items = [(i, " ".join(text(rng.choice([5, 6, 9, 14, 30, 59, 200, 700])))) for i in range(60)]
-    items += [(70, "too few words"), (71, ""), (72, None), (73, items[0][1])]
+    items += [(70, "too few words"), (71, ""), (72, None), (73, items[0][1]), (74, "w1 w2"), (75, "w7"), (0, items[9][1]), (0, "w3")]
     docs = []
     for d in range(300):
         body = text(rng.choice([0, 3, 50, 400, 3000]))
@@ -39,10 +42,11 @@ def test_planted_in_long_texts(spark):
             at = rng.randint(0, len(body))
             body[at:at] = piece
         docs.append((d, " ".join(body), "x"))
-    docs += [(400, None, None), (401, "", ""), (None, items[3][1], ""), (402, items[4][1], ""), (402, items[4][1], "")]
+    docs += [(400, None, None), (401, "", ""), (None, items[3][1], ""), (402, items[4][1], ""), (402, items[4][1], ""), (402, items[5][1], ""), (403, "So: TOO few, words!", "")]
     want = plain(docs, items)
     assert len(want) > 150 and run(spark, docs, items) == want
     assert run(spark, docs, items, item_block=20) == want
+    assert run(spark, docs, items, item_bytes=4000) == want
 
 
 def test_table_and_sql(spark, sf):
