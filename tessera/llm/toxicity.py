@@ -1,6 +1,8 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding lowers case and maps look-alike letters and digits inside words to the letters they stand for. The lexicon
+Folding lowers case, drops invisible characters, maps look-alike letters and digits inside words to the letters they
+stand for, and closes up words whose letters are set apart by dots or dashes. Accents tell words apart in many
+languages, so they stay, but for words that are a listed one without them. The lexicon
 (whole words, and word beginnings marked ``*``) is learned from labelled rows by grouped counts: terms that stand
 mostly in rejected texts, the one that explains most of them first. A term next to a neighbour with which it
 stands only in accepted texts is an exception phrase and does not count. A logistic curve over the summed weights,
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,11 +42,16 @@ LOOKALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 #: Phrases in which a listed word is harmless, whatever the labels say.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "worthless check")
-_FULLWIDTH = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
-_FOLD = str.maketrans({**LOOKALIKES, **{k: v.lower() for k, v in _FULLWIDTH.items()}, "​": " ", "­": " "})
+_FOLD = str.maketrans(LOOKALIKES)
+#: Marks that make no letter of their own with what they stand on, and characters without width.
+_MARKS = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
+#: Three or more single letters with dots, dashes, stars or low lines between them.
+_SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*·][^\W_]){2,}(?![^\W_])")
+_GAPS = re.compile(r"[.\-_*·]")
 _MIXED = re.compile(r"(?<![\w@$!])[\w@$!]*[0-9@$!][\w@$!]*")
 _DIGIT = str.maketrans(DIGITS)
 _EDGE = re.compile(r"\w+")
+_ACCENTED = re.compile(r"\w*[^\W\x00-\x7f]\w*")
 
 
 def _letters(match: re.Match) -> str:
@@ -55,7 +63,8 @@ def fold(text: str | None) -> str:
     """Folded text. Digits and signs turn into letters only in a run that has a letter; signs that end a run stay."""
     low = (text or "").lower()
     if not low.isascii():
-        low = low.translate(_FOLD)
+        low = _MARKS.sub("", unicodedata.normalize("NFKC", low)).lower().translate(_FOLD)
+    low = _SPELLED.sub(lambda m: _GAPS.sub("", m[0]) if any(c.isalpha() for c in m[0]) else m[0], low)
     if any(d in low for d in DIGITS):
         low = _MIXED.sub(_letters, low)
     return low
@@ -78,6 +87,16 @@ class Model:
         found.make_automaton()
         return found
 
+    def folded(self, text: str | None) -> str:
+        """Folded text in which accented spellings of listed words are plain."""
+
+        def plain(match: re.Match) -> str:
+            bare = _MARKS.sub("", unicodedata.normalize("NFKD", match[0]))
+            return bare if bare in self.weights else match[0]
+
+        low = fold(text)
+        return low if low.isascii() else _ACCENTED.sub(plain, low)
+
     def hits(self, folded: str, matcher) -> list[tuple[str, str, str]]:
         """``(term, previous word + term word, term word + next word)`` for each match at a word's edges, one per word."""
         if not self.weights:
@@ -101,7 +120,7 @@ class Model:
         return out
 
     def features(self, text: str | None, matcher) -> tuple[float, ...]:
-        folded = fold(text)
+        folded = self.folded(text)
         kept = [(t, b.split(" ")[0]) for t, a, b in self.hits(folded, matcher) if a not in self.exceptions and b not in self.exceptions]
         total = sum(self.weights[t] for t, _ in kept)
         n = folded.count(" ") + folded.count("\n") + 1
@@ -189,7 +208,7 @@ def _curve(model: Model, rows: DataFrame) -> Model:
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = model.matcher()
         for part in batches:
-            contexts = [[c for h in model.hits(fold(t), matcher) for c in h[1:]] for t in part["t"]]
+            contexts = [[c for h in model.hits(model.folded(t), matcher) for c in h[1:]] for t in part["t"]]
             features = [model.features(t, matcher) for t in part["t"]]
             yield pd.DataFrame({"y": part["y"], "contexts": contexts, "x": [list(f) for f in features]})
 
@@ -225,7 +244,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model rejects, all columns as they were."""
+    """``docs`` without the rows that the model rejects, all columns as they were.
+
+    Null and empty texts are clean unless the model says otherwise; repeated rows are judged alike.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

@@ -1,5 +1,8 @@
+import math
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tessera.llm import toxicity as T
 
@@ -10,6 +13,31 @@ def test_fold():
     assert T.fold(None) == ""
 
 
+def test_fold_hidden_and_spelled_out():
+    for text in ("id\u200biot", "id\u200diot", "id\u00adiot", "id\u0301iot", "i.d.i.o.t", "I-D-1-O-T", "i_d_i_o_t", "\ufb01", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d"):
+        assert T.fold(text) in ("idiot", "fi"), text
+    m = T.Model({"idiot": 1.0, "f\u00fcr": 1.0})
+    assert m.folded("\u00efdiot \u00efd\u00ef\u00f6t f\u00fcr \u00fcber") == "idiot idiot f\u00fcr \u00fcber"
+    assert T.fold("a.b and x-y, 3.5-4.2, e.g. this") == "a.b and x-y, 3.5-4.2, e.g. this"
+
+
+def test_held_out_labels_have_no_effect(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    flipped = labels.withColumn("toxic", F.when(T.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert labels.where(T.held_out(F.col("doc_id"))).count() > 50
+    one, two = T.fit(docs, labels), T.fit(docs, flipped)
+    assert one.weights and (one.weights, one.exceptions, one.curve) == (two.weights, two.exceptions, two.curve)
+
+
+def test_score_by_plain_arithmetic():
+    m = T.Model({"scum": 2.0, "lowe*": 3.0}, curve=(-3.0, 1.0, 0.5, 0.25, 0.125))
+    a = m.matcher()
+    total, n, kinds = 2.0 + 3.0 + 3.0, 6, 3
+    z = -3.0 + math.log1p(total) + 0.5 * math.log1p(100 * total / n) + 0.25 * math.log1p(kinds) + 0.125 * 3.0
+    assert math.isclose(m.score(m.features("you Scum, the l0west lowe of", a)), 1 / (1 + math.exp(-z)))
+
+
 def test_match_edges_and_exceptions():
     m = T.Model({"scum": 2.0, "lowe*": 3.0, "trash": 1.0})
     a = m.matcher()
