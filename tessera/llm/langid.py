@@ -1,10 +1,11 @@
 """Language of web pages by Bayesian evidence fusion.
 
-log P(language | page) adds, up to a constant, the text's likelihood under character-trigram models, the likelihoods
-of the declared markup language and of the address suffix, and a prior of the page's host. Text models are fitted on
-a bounded sample of labelled documents. The other tables come from grouped aggregations over all pages, weighted by
-what the text alone says; host priors are smoothed towards their registered domain, that towards its suffix, and that
-towards the whole, so a host with few pages leans on its parents.
+log P(language | page) adds, up to a constant, the text's likelihood under character-trigram models, the likelihood
+of the declared markup language, and a prior of the page's host. Text models are fitted on a bounded sample of
+labelled documents. The other tables come from grouped aggregations over all pages, weighted by what the text alone
+says. Host priors are smoothed towards their registered domain, that towards its address suffix, and that towards the
+whole, so a host with few pages leans on its parents; the suffix is evidence there and nowhere else. A page's own
+text is left out of every count that is held against it, so no evidence counts twice.
 """
 
 from __future__ import annotations
@@ -72,11 +73,15 @@ def page_text(html: Column) -> Column:
 
 
 def address(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """``host, domain, suffix`` of an address; an address without a host gives empty ones."""
+    """``host, domain, suffix`` of an address; one without a host gives empty ones, a numeric host is its own domain."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     parts = F.split("host", r"\.")
-    domain = F.when(F.size(parts) >= 2, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.col("host"))
-    return pages.withColumn("host", host).withColumn("domain", domain).withColumn("suffix", F.element_at(parts, -1))
+    # a usual label before a country is part of the suffix, as in co.uk
+    deep = F.col("host").rlike(r"\.[^.]+\.(com|org|net|gov|edu|ac|co|or|ne|go)\.[a-z]{2}$")
+    number = F.col("host").rlike(r"^[0-9.]+$")
+    domain = F.when(number | (F.size(parts) < 2), F.col("host")).when(deep, F.array_join(F.slice(parts, -3, 3), ".")).otherwise(F.array_join(F.slice(parts, -2, 2), "."))
+    suffix = F.when(number, "").when(deep, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.element_at(parts, -1))
+    return pages.withColumn("host", host).withColumn("domain", domain).withColumn("suffix", suffix)
 
 
 def _logs(values: Column) -> Column:
@@ -86,8 +91,9 @@ def _logs(values: Column) -> Column:
 def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **fit) -> DataFrame:
     """Per page ``id, lang, posterior, text_lang, declared, host`` and the evidence of each kind for ``lang``.
 
+    ``e_suffix`` is the prior of the address suffix, ``e_host`` what domain and host add to it.
     Null markup is an empty text, null addresses share the empty host, an undeclared language is a value of its own.
-    Ties go to the first language by name. Repeated rows each give a row. Without labelled documents ``lang`` is null.
+    String ids must be numbers. Ties go to the first language by name. Repeated rows each give a row. Without labelled documents ``lang`` is null.
     """
     langs, table = fit_text(docs, **fit)
     n = len(langs)
@@ -126,19 +132,21 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     again = [F.sum(F.col("n_domain")[k]).alias(f"w{k}") for k in range(n)]
     suffixes = cut(domains.groupBy("suffix").agg(*again).select("suffix", listed.alias("n_suffix")))
     whole = suffixes.agg(*[F.sum(F.col("n_suffix")[k]).alias(f"w{k}") for k in range(n)]).first()
-    base = smooth(F.array(*[F.lit(float(x or 0.0)) for x in whole]), even)
-    suffixes = suffixes.withColumn("p_suffix", smooth(F.col("n_suffix"), base))
-    domains = domains.join(suffixes, "suffix").withColumn("p_domain", smooth(F.col("n_domain"), F.col("p_suffix")))
-    priors = hosts.join(domains.drop("suffix"), "domain").withColumn("p_host", smooth(F.col("n_host"), F.col("p_domain")))
-    priors = priors.select("host", _logs(F.col("p_host")).alias("host_log"))
-    # likelihoods: how a language spreads over declared values and over suffixes
-    declared = cut(rows.groupBy("declared").agg(*weigh).select("declared", listed.alias("c")))
+    total = F.array(*[F.lit(float(x or 0.0)) for x in whole])
+    # one row a host with its own counts and its parents'
+    priors = hosts.join(domains.select("domain", "suffix", "n_domain"), ["domain", "suffix"]).join(suffixes, "suffix").select("host", "n_host", "n_domain", "n_suffix")
+    declared = cut(rows.groupBy("declared").agg(*weigh).select("declared", listed.alias("n_declared")))
     seen = declared.count()
-    given = F.zip_with("c", F.array(*[F.lit(float(x or 0.0)) for x in whole]), lambda c, t: F.log((c + 0.5) / (t + 0.5 * (seen + 1))))
-    declared = declared.select("declared", given.alias("declared_log"))
-    n_suffix = suffixes.count()
-    ends = suffixes.select("suffix", F.zip_with("n_suffix", F.array(*[F.lit(float(x or 0.0)) for x in whole]), lambda c, t: F.log((c + 0.5) / (t + 0.5 * (n_suffix + 1)))).alias("suffix_log"))
-    full = rows.join(priors, "host").join(declared, "declared").join(ends, "suffix")
+
+    def others(counts: Column) -> Column:  # without the page itself, whose weight may differ in the last digits of a sum
+        return F.zip_with(counts, F.col("w"), lambda c, x: F.greatest(c - x, F.lit(0.0)))
+
+    full = rows.join(priors, "host").join(declared, "declared")
+    full = full.withColumn("p_suffix", smooth(others(F.col("n_suffix")), smooth(others(total), even)))
+    full = full.withColumn("p_host", smooth(others(F.col("n_host")), smooth(others(F.col("n_domain")), F.col("p_suffix"))))
+    given = F.zip_with(others(F.col("n_declared")), others(total), lambda c, t: F.log((c + 0.5) / (t + 0.5 * (seen + 1))))
+    full = full.withColumn("declared_log", given).withColumn("suffix_log", _logs(F.col("p_suffix")))
+    full = full.withColumn("host_log", F.zip_with("p_host", "p_suffix", lambda x, y: F.log(x / y)))
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     full = full.withColumn("s", plus(plus(F.col("ll"), F.col("host_log")), plus(F.col("declared_log"), F.col("suffix_log"))))
     best = F.array_max("s")

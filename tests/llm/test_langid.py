@@ -1,5 +1,4 @@
 import math
-from collections import defaultdict
 
 import numpy as np
 
@@ -28,19 +27,23 @@ def test_priors_match_plain_sums(spark):
         lls.append(table.astype(np.float32)[:, g].mean(axis=1) * min(len(g), L.EVIDENCE) if len(g) else np.zeros(2))
     w = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in lls]
     mix = lambda c, p: (c + L.SMOOTH * p) / (c.sum() + L.SMOOTH)
-    whole = mix(sum(w), np.full(2, 0.5))
-    com, org = mix(w[0] + w[1] + w[2], whole), mix(w[3], whole)
-    host = {0: mix(w[0] + w[1], mix(w[0] + w[1] + w[2], com)), 2: mix(w[2], mix(w[0] + w[1] + w[2], com)), 3: mix(w[3], mix(w[3], org))}
-    host[1] = host[0]
-    count = defaultdict(lambda: np.zeros(2))
-    for i, d in enumerate(("en", "de", "de", "")):
-        count["d", d] += w[i]
-    for i, s in enumerate(("com", "com", "com", "org")):
-        count["s", s] += w[i]
-    for i, (d, s) in enumerate((("en", "com"), ("de", "com"), ("de", "com"), ("", "org"))):
-        e = lls[i] + np.log(host[i]) + np.log((count["d", d] + 0.5) / (sum(w) + 0.5 * 4)) + np.log((count["s", s] + 0.5) / (sum(w) + 0.5 * 3))
+    hosts, ends, said = ["a.x.com", "a.x.com", "b.x.com", "c.y.org"], ["com", "com", "com", "org"], ["en", "de", "de", ""]
+    zero = np.zeros(2)
+    for i in range(4):  # every count is of the other pages
+        rest = [k for k in range(4) if k != i]
+        of = lambda names: sum((w[k] for k in rest if names[k] == names[i]), zero)  # noqa: B023, E731
+        suffix = mix(of(ends), mix(sum((w[k] for k in rest), zero), np.full(2, 0.5)))
+        host = mix(of(hosts), mix(of(["x", "x", "x", "y"]), suffix))
+        e = lls[i] + np.log(host) + np.log((of(said) + 0.5) / (sum((w[k] for k in rest), zero) + 0.5 * 4))
         assert got[i].lang == langs[int(e.argmax())]
         assert math.isclose(got[i].posterior, 1 / np.exp(e - e.max()).sum(), rel_tol=1e-4)
+        assert math.isclose(got[i].e_suffix, np.log(suffix)[e.argmax()], rel_tol=1e-6)
+
+
+def test_address(spark):
+    urls = ["http://www.a.co.uk/x", "https://10.0.0.7:80/", "http://b.example.de", "http://localhost/", "nonsense", None]
+    rows = L.address(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
+    assert [(r.domain, r.suffix) for r in rows] == [("a.co.uk", "co.uk"), ("10.0.0.7", ""), ("example.de", "de"), ("localhost", "localhost"), ("", ""), ("", "")]
 
 
 def test_edges(spark):
