@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 ELEMENT = "type STRING, text STRING, image STRING, image_url STRING, audio STRING, video STRING, resized_height BIGINT, resized_width BIGINT, min_pixels BIGINT, max_pixels BIGINT, total_pixels DOUBLE, fps DOUBLE, nframes DOUBLE, min_frames DOUBLE, max_frames DOUBLE, video_start DOUBLE, video_end DOUBLE"
 
 
+def checked(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """Rows with their ``error`` codes (P10); with ``strict``, the first code met fails the run with its name."""
+    if not strict:
+        return rows
+    return rows.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("string")))
+
+
 def has(*keys: str) -> Column:
     return F.arrays_overlap("keys", F.array(*[F.lit(k) for k in keys]))
 

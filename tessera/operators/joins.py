@@ -18,6 +18,8 @@ def placeholder_join(tokens: DataFrame, features: DataFrame, placeholders: dict[
     """The k-th placeholder of a modality takes the k-th feature.
 
     ``tokens``: ``sample_id, pos, token_id``; ``features``: ``sample_id, modality, k, vec_id``. Surplus features drop.
+    Where tokens have a value ``x`` of their own and features one too, the result's ``x`` is the feature's, or the
+    token's where no feature comes, and ``x_text`` is the token's with 0 at placeholders that take a feature.
     """
     modality = F.lit(None).cast("string")
     for token, name in placeholders.items():
@@ -26,7 +28,13 @@ def placeholder_join(tokens: DataFrame, features: DataFrame, placeholders: dict[
     order = Window.partitionBy("sample_id", "modality").orderBy("pos")
     k = F.when(F.col("modality").isNotNull(), (F.row_number().over(order) - 1).cast("long"))
     rows = rows.withColumn("k", k)
-    return rows.join(features, ["sample_id", "modality", "k"], "left").select("sample_id", "pos", "token_id", "modality", "k", *[c for c in features.columns if c not in ("sample_id", "modality", "k")])
+    keys = ["sample_id", "modality", "k"]
+    extra = [F.col(c) for c in features.columns if c not in keys]
+    if "x" in tokens.columns:
+        rows, features = rows.withColumnRenamed("x", "__own"), features.withColumn("__taken", F.lit(1))
+        extra = [F.coalesce("x", "__own").alias("x") if c == "x" else F.col(c) for c in features.columns if c not in (*keys, "__taken")]
+        extra.append(F.when(F.col("__taken") == 1, 0.0).otherwise(F.col("__own")).alias("x_text"))
+    return rows.join(features, keys, "left").select("sample_id", "pos", "token_id", "modality", "k", *extra)
 
 
 def length_mismatch(tokens: DataFrame, features: DataFrame, token: int, modality: str) -> DataFrame:

@@ -128,14 +128,24 @@ def interleave(video: DataFrame, audio: DataFrame, width: int = 50, key: str = "
     return rows.select(key, (F.row_number().over(order) - 1).cast("long").alias("idx"), F.when(F.col("rank") == 0, "video").otherwise("audio").alias("kind"), "i", "t", "chunk", final.cast("long").alias("next_start"))
 
 
-def media_counts(tokens: DataFrame, start_id: int = 90001, image_id: int = 90003, video_id: int = 90004) -> DataFrame:
-    """Images and videos per sample: such tokens right after a start token, the first row following the last."""
+def media_counts(tokens: DataFrame, start_id: int = 90001, image_id: int = 90003, video_id: int = 90004, audio_start_id: int = 90006) -> DataFrame:
+    """``images, videos, audios, error`` per sample.
+
+    Images and videos are such tokens right after a start token, the first row following the last; audios are audio
+    starts. A sample with audio has one vision start, whose medium is what the sample holds; more or fewer starts, or
+    images beside videos, are the error ``vision_mix``.
+    """
     w = Window.partitionBy("sample_id").orderBy("pos")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("token_id").over(w), F.last("token_id").over(whole))
     rows = tokens.withColumn("before", before)
+    held = lambda i: F.count(F.when(F.col("token_id") == i, 1))
     hit = lambda i: F.count(F.when((F.col("before") == start_id) & (F.col("token_id") == i), 1))
-    return rows.groupBy("sample_id").agg(hit(image_id).alias("images"), hit(video_id).alias("videos"))
+    n = rows.groupBy("sample_id").agg(hit(image_id).alias("i"), hit(video_id).alias("v"), held(image_id).alias("all_i"), held(video_id).alias("all_v"), held(start_id).alias("starts"), held(audio_start_id).alias("audios"))
+    heard = F.col("audios") > 0
+    count = lambda own, every: F.when(~heard, F.col(own)).when(F.col(every) > 0, F.col("starts")).otherwise(F.lit(0).cast("long"))
+    mixed = heard & (((F.col("all_i") > 0) & (F.col("all_v") > 0)) | (F.col("starts") != 1))
+    return n.select("sample_id", count("i", "all_i").alias("images"), count("v", "all_v").alias("videos"), "audios", F.when(mixed, "vision_mix").alias("error"))
 
 
 def visible_context(tokens: DataFrame, window: int | None = None) -> DataFrame:
@@ -145,9 +155,15 @@ def visible_context(tokens: DataFrame, window: int | None = None) -> DataFrame:
 
 
 def continuation_positions(steps: DataFrame, key: str = "conv") -> DataFrame:
-    """``(key, batch, i, position)``: rows of appended batches count on."""
-    rows = steps.withColumn("seen", _before(F.col("len"), "batch", by=key))
-    return rows.select(key, "batch", F.explode(_upto(F.col("len"))).alias("i"), "seen").select(key, "batch", "i", (F.col("seen") + F.col("i")).alias("position"))
+    """``(key, batch, i, position, thinker_position)``: rows of appended batches count on.
+
+    ``steps`` may give the ``delta`` between a key's next position and its rows so far, and its number of ``padded``
+    rows, which only the second position leaves out; without them both are 0.
+    """
+    given = lambda c: F.col(c).cast("long") if c in steps.columns else F.lit(0).cast("long")
+    rows = steps.withColumn("seen", _before(F.col("len"), "batch", by=key) + given("delta")).withColumn("less", given("padded"))
+    rows = rows.select(key, "batch", F.explode(_upto(F.col("len"))).alias("i"), "seen", "less")
+    return rows.select(key, "batch", "i", (F.col("seen") + F.col("i")).alias("position"), (F.col("seen") - F.col("less") + F.col("i")).alias("thinker_position"))
 
 
 def right_padding(tokens: DataFrame) -> DataFrame:

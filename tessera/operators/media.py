@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
@@ -102,5 +102,15 @@ def vision_result(planned: DataFrame) -> DataFrame:
     return rows.select("conv_id", listed("image", "new").alias("img_resized_hw"), listed("image", "old").alias("img_ori_hw"), listed("video", "new").alias("video_resized_hw"), listed("video", "old").alias("video_ori_hw"), listed("video", "fps").alias("fps"))
 
 
+def vision_flat(planned: DataFrame) -> DataFrame:
+    """The same media one by one (A5's flat view): ``n`` of a conversation's kind, ``idx`` in it, sizes and rate.
+
+    Over a batch, media stand in the order of ``conv_id, idx``.
+    """
+    kind = Window.partitionBy("conv_id", "modality")
+    idx = (F.row_number().over(kind.orderBy("turn", "elem_pos")) - 1).cast("long").alias("idx")
+    return planned.select("conv_id", "modality", idx, F.count(F.lit(1)).over(kind).alias("n"), "h", "w", "height", "width", "sample_fps")
+
+
 def _of(kind: str):
     return lambda x: x["m"] == kind

@@ -81,6 +81,12 @@ _IDS = "il AS (SELECT item, list(code ORDER BY pos) AS ids FROM codes GROUP BY i
 _VEC = "ev AS (SELECT vec_id, CAST(i - 1 AS BIGINT) AS dim, CAST(embedding[i] AS DOUBLE) * 10 AS x FROM embeddings CROSS JOIN LATERAL unnest(range(1, len(embedding) + 1)) AS u(i))"
 _FEAT = "fl AS (SELECT item, pos, vec_id, CAST(i - 1 AS BIGINT) AS dim, CAST(vec[i] AS DOUBLE) AS x, CAST(vec[1] AS DOUBLE) AS s FROM features CROSS JOIN LATERAL unnest(range(1, len(vec) + 1)) AS u(i))"
 
+_COUNTS = """mk AS (SELECT sample_id, pos, CASE WHEN token_id = 90001 AND lead(token_id) OVER (PARTITION BY sample_id ORDER BY pos) = 90005 THEN 90006 ELSE token_id END AS token_id FROM tokens),
+mb AS (SELECT a.sample_id, a.token_id, coalesce(p.token_id, l.token_id) AS before FROM mk a LEFT JOIN mk p ON p.sample_id = a.sample_id AND p.pos = a.pos - 1 JOIN (SELECT sample_id, arg_max(token_id, pos) AS token_id FROM mk GROUP BY sample_id) l ON l.sample_id = a.sample_id),
+mc AS (SELECT sample_id, count(*) FILTER (WHERE token_id = 90006) AS audios, count(*) FILTER (WHERE token_id = 90001) AS starts, count(*) FILTER (WHERE token_id = 90003) AS ai, count(*) FILTER (WHERE token_id = 90004) AS av, count(*) FILTER (WHERE before = 90001 AND token_id = 90003) AS i, count(*) FILTER (WHERE before = 90001 AND token_id = 90004) AS v FROM mb GROUP BY sample_id),
+mcount AS (SELECT sample_id, CASE WHEN audios = 0 THEN i WHEN ai > 0 THEN starts ELSE 0 END AS images, CASE WHEN audios = 0 THEN v WHEN av > 0 THEN starts ELSE 0 END AS videos, audios, CASE WHEN audios > 0 AND ((ai > 0 AND av > 0) OR starts <> 1) THEN 'vision_mix' END AS error FROM mc)"""
+_LISTS = f"""fr AS (SELECT video_id, frame_no, f.image_id, {_FR['h']} AS h, {_FR['w']} AS w, {_FR['error']} AS error FROM frame_lists f LEFT JOIN image_meta m ON f.image_id = m.image_id),
+lists AS (SELECT coalesce((list(error ORDER BY frame_no) FILTER (WHERE error IS NOT NULL))[1], CASE WHEN count(DISTINCT (coalesce(h, -1), coalesce(w, -1))) > 1 THEN 'frame_sizes_differ' END) AS error FROM fr GROUP BY video_id)"""
 _BODIES = {
     "conversations_assembled": "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles, sha256(string_agg(content, '|' ORDER BY turn)) AS content_sha FROM messages GROUP BY conv_id",
     "inline_payload": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, CASE WHEN contains(uri, 'base64,') THEN hex(from_base64(substr(uri, strpos(uri, 'base64,') + 7))) END AS payload, CASE WHEN NOT contains(uri, 'base64,') THEN modality || '_unrecognised' END AS error FROM vis WHERE starts_with(uri, 'data:')",
@@ -93,8 +99,9 @@ _BODIES = {
     "media_by_modality": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, modality, error FROM vis",
     "masked_features": "SELECT sample_id, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id FROM tokens WHERE mask = 1",
     "right_padding_check": "SELECT sample_id, mask = 0 AS right_padded FROM tokens QUALIFY pos = max(pos) OVER (PARTITION BY sample_id)",
-    "quarantine_counts": f"""WITH {_PLANNED}, {_AUD} SELECT error, count(*) AS n FROM (SELECT error FROM vis UNION ALL SELECT error FROM arefs UNION ALL SELECT error FROM imgs UNION ALL SELECT error FROM vids
+    "quarantine_counts": f"""WITH {_PLANNED}, {_AUD}, {_LISTS}, {_COUNTS} SELECT error, count(*) AS n FROM (SELECT error FROM vis UNION ALL SELECT error FROM arefs UNION ALL SELECT error FROM imgs UNION ALL SELECT error FROM vids
         UNION ALL SELECT CASE WHEN mask = 0 THEN 'right_padding' END FROM (SELECT mask FROM tokens QUALIFY pos = max(pos) OVER (PARTITION BY sample_id)) p
+        UNION ALL SELECT error FROM lists UNION ALL SELECT error FROM mcount
         UNION ALL SELECT 'unknown_speaker' FROM requests WHERE speaker NOT IN (SELECT name FROM speakers)) x WHERE error IS NOT NULL GROUP BY error""",
     "image_resize_plan": f"SELECT image_id, {_IM['h']} AS h, {_IM['w']} AS w, {_IM['error']} AS error FROM image_meta",
     "video_frame_count": f"WITH {_VM} SELECT video_id, n, n / greatest(CAST(total_frames AS DOUBLE), 1e-6) * video_fps AS sample_fps FROM vm",
@@ -114,6 +121,8 @@ _BODIES = {
         UNION ALL SELECT conv_id, 'a', {_ATOK} FROM arefs JOIN audio_meta ON TRY_CAST(regexp_extract(uri, '([0-9]+)\\.[a-z0-9]+$', 1) AS BIGINT) = audio_id WHERE source = 'audio' AND error IS NULL),
         s AS (SELECT conv_id, CAST(coalesce(sum(n) FILTER (WHERE m = 't'), 0) AS BIGINT) AS text_tokens, CAST(coalesce(sum(n) FILTER (WHERE m = 'i'), 0) AS BIGINT) AS image_tokens, CAST(coalesce(sum(n) FILTER (WHERE m = 'v'), 0) AS BIGINT) AS video_tokens, CAST(coalesce(sum(n) FILTER (WHERE m = 'a'), 0) AS BIGINT) AS audio_tokens FROM tok GROUP BY conv_id)
         SELECT *, text_tokens + image_tokens + video_tokens + audio_tokens AS total_tokens, text_tokens + image_tokens + video_tokens + audio_tokens <= 4096 AS fits FROM s""",
+    "vision_flat": f"""WITH {_PLANNED}, al AS (SELECT conv_id, turn, elem_pos, 'image' AS modality, height, width, h, w, CAST(NULL AS DOUBLE) AS sample_fps FROM imgs WHERE error IS NULL UNION ALL SELECT conv_id, turn, elem_pos, 'video', height, width, h, w, n / greatest(CAST(total_frames AS DOUBLE), 1e-6) * video_fps FROM vids WHERE error IS NULL)
+        SELECT conv_id, modality, row_number() OVER (PARTITION BY conv_id, modality ORDER BY turn, elem_pos) - 1 AS idx, count(*) OVER (PARTITION BY conv_id, modality) AS n, h, w, height, width, sample_fps FROM al""",
     "vision_result": f"""WITH {_PLANNED}, al AS (SELECT conv_id, turn, elem_pos, 'image' AS m, height, width, h, w, n FROM (SELECT *, CAST(NULL AS BIGINT) AS n FROM imgs) i WHERE error IS NULL UNION ALL SELECT conv_id, turn, elem_pos, 'video', height, width, h, w, n FROM vids WHERE error IS NULL)
         SELECT conv_id, string_agg(h || 'x' || w, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'image') AS img_resized_hw, string_agg(height || 'x' || width, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'image') AS img_ori_hw,
         string_agg(h || 'x' || w, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'video') AS video_resized_hw, string_agg(height || 'x' || width, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'video') AS video_ori_hw, count(*) FILTER (WHERE m = 'video') AS n_fps FROM al GROUP BY conv_id""",
@@ -133,19 +142,18 @@ _BODIES = {
         al AS (SELECT item, chunk, 0 AS r, i, t, t + 3 AS m FROM vw UNION ALL SELECT item, chunk, 1, i, t, t FROM aw),
         fin AS (SELECT item, m AS top FROM (SELECT item, chunk, r, max(m) AS m FROM al GROUP BY ALL) g QUALIFY row_number() OVER (PARTITION BY item ORDER BY chunk DESC, r DESC) = 1)
         SELECT item, row_number() OVER (PARTITION BY item ORDER BY chunk, r, i) - 1 AS idx, CASE r WHEN 0 THEN 'video' ELSE 'audio' END AS kind, CAST(i AS BIGINT) AS i, t, chunk, top + 1 AS next_start FROM al JOIN fin USING (item)""",
-    "media_counts": """WITH b AS (SELECT a.sample_id, a.token_id, coalesce(p.token_id, l.token_id) AS before FROM tokens a LEFT JOIN tokens p ON p.sample_id = a.sample_id AND p.pos = a.pos - 1 JOIN (SELECT sample_id, arg_max(token_id, pos) AS token_id FROM tokens GROUP BY sample_id) l ON l.sample_id = a.sample_id)
-        SELECT sample_id, count(*) FILTER (WHERE before = 90001 AND token_id = 90003) AS images, count(*) FILTER (WHERE before = 90001 AND token_id = 90004) AS videos FROM b GROUP BY sample_id""",
+    "media_counts": f"WITH {_COUNTS} SELECT * FROM mcount",
     "visible_context": "SELECT q.sample_id, CAST(q.pos AS BIGINT) AS pos, CAST(sum(k.mask) AS BIGINT) AS visible, CAST(sum(CASE WHEN k.pos > q.pos - 16 THEN k.mask ELSE 0 END) AS BIGINT) AS visible_16 FROM tokens q JOIN tokens k ON k.sample_id = q.sample_id AND k.pos <= q.pos GROUP BY ALL",
-    "continuation_positions": "WITH c AS (SELECT conv, batch, len, sum(len) OVER (PARTITION BY conv ORDER BY batch) - len AS seen FROM steps) SELECT conv, CAST(batch AS BIGINT) AS batch, i, CAST(seen + i AS BIGINT) AS position FROM c CROSS JOIN LATERAL unnest(range(0, len)) AS u(i)",
+    "continuation_positions": "WITH c AS (SELECT conv, batch, len, sum(len) OVER (PARTITION BY conv ORDER BY batch) - len AS seen FROM steps) SELECT conv, CAST(batch AS BIGINT) AS batch, i, CAST(seen - conv % 5 + i AS BIGINT) AS position, CAST(seen - conv % 5 - conv % 3 + i AS BIGINT) AS thinker_position FROM c CROSS JOIN LATERAL unnest(range(0, len)) AS u(i)",
     "placeholder_join": """WITH t AS (SELECT sample_id, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id, CASE token_id WHEN 90003 THEN 'image' WHEN 90004 THEN 'video' WHEN 90005 THEN 'audio' END AS modality FROM tokens),
         r AS (SELECT *, CASE WHEN modality IS NOT NULL THEN count(*) OVER (PARTITION BY sample_id, modality ORDER BY pos) - 1 END AS k0 FROM t),
         v AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM embeddings)
-        SELECT r.sample_id, pos, token_id, modality, k0 AS k, v.vec_id, x0 FROM r LEFT JOIN v ON v.vec_id = (r.sample_id * 13 + k0) % (SELECT count(*) FROM embeddings) AND k0 < CASE WHEN modality = 'audio' THEN 40 ELSE 70 END""",
+        SELECT r.sample_id, pos, token_id, modality, k0 AS k, v.vec_id, coalesce(v.x0, o.x0) AS x, CASE WHEN v.vec_id IS NOT NULL THEN 0.0::DOUBLE ELSE o.x0 END AS x_text FROM r JOIN v o ON o.vec_id = r.token_id % (SELECT count(*) FROM embeddings) LEFT JOIN v ON v.vec_id = (r.sample_id * 13 + k0) % (SELECT count(*) FROM embeddings) AND k0 < CASE WHEN modality = 'audio' THEN 40 ELSE 70 END""",
     "speaker_lookup": "SELECT req_id, speaker, bos_token FROM requests JOIN speakers ON name = speaker",
     "unknown_speakers": "SELECT req_id, speaker FROM requests WHERE speaker NOT IN (SELECT name FROM speakers)",
     "segment_lookup": f"WITH {_STARTS}, e AS (SELECT sample_id, seg_no, start, lead(start) OVER (PARTITION BY sample_id ORDER BY seg_no) AS stop FROM st) SELECT t.sample_id, CAST(t.pos AS BIGINT) AS pos, e.seg_no FROM tokens t JOIN e ON e.sample_id = t.sample_id AND t.pos >= e.start AND (e.stop IS NULL OR t.pos < e.stop)",
     "block_band_join": "SELECT a.item, CAST(a.pos AS BIGINT) AS pos_a, CAST(b.pos AS BIGINT) AS pos_b FROM codes a JOIN codes b ON a.item = b.item AND a.pos // 2 - b.pos // 2 BETWEEN 0 AND 1",
-    "stream_positions": "WITH c AS (SELECT user_id AS conv, event_id AS batch, 1 + CAST(floor(value) AS BIGINT) % 20 AS len FROM events), d AS (SELECT *, sum(len) OVER (PARTITION BY conv ORDER BY batch) - len AS seen FROM c) SELECT conv, batch, i, CAST(seen + i AS BIGINT) AS position FROM d CROSS JOIN LATERAL unnest(range(0, len)) AS u(i)",
+    "stream_positions": "WITH c AS (SELECT user_id AS conv, event_id AS batch, 1 + CAST(floor(value) AS BIGINT) % 20 AS len FROM events), d AS (SELECT *, sum(len) OVER (PARTITION BY conv ORDER BY batch) - len AS seen FROM c) SELECT conv, batch, i, CAST(seen - conv % 5 + i AS BIGINT) AS position FROM d CROSS JOIN LATERAL unnest(range(0, len)) AS u(i)",
     "stream_reply_zip": "WITH s AS (SELECT user_id AS conv, event_id AS batch, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step FROM events) SELECT conv, batch, step, least(step, 4 + conv % 7) AS idx FROM s",
     "stream_media_plan": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, modality, uri, error FROM vis",
     "batch_inference": f"WITH {_IDS} SELECT item AS sample_id, CAST(list_sum(ids) % 1000 + 5 AS VARCHAR) || CASE WHEN len(ids) = 1 THEN '' ELSE ',' || CAST(len(ids) + 3 AS VARCHAR) END AS completion FROM il",

@@ -137,6 +137,8 @@ def quarantine_counts(spark, sf):
         _videos(spark, sf).select("error"),
         layout.right_padding(table(spark, sf, "tokens")).select(F.when(F.col("right_padded"), "right_padding").alias("error")),
         joins.unknown_speakers(table(spark, sf, "requests"), table(spark, sf, "speakers")).select(F.lit("unknown_speaker").alias("error")),
+        media.plan_frame_lists(table(spark, sf, "frame_lists"), table(spark, sf, "image_meta")).select("error"),
+        layout.media_counts(_marked_tokens(spark, sf)).select("error"),
     ]
     rows = found[0]
     for more in found[1:]:
@@ -206,12 +208,20 @@ def token_budget(spark, sf):
     return media.token_budget(text, images.unionByName(videos), _audios(spark, sf), 4096)
 
 
-@query
-def vision_result(spark, sf):
+def _planned(spark, sf):
     keep = ["conv_id", "turn", "elem_pos", "modality", "height", "width", "h", "w"]
     images = _images(spark, sf).where("error IS NULL").select(*keep, F.lit(None).cast("double").alias("sample_fps"))
-    videos = _videos(spark, sf).where("error IS NULL").select(*keep, "sample_fps")
-    rows = media.vision_result(images.unionByName(videos))
+    return images.unionByName(_videos(spark, sf).where("error IS NULL").select(*keep, "sample_fps"))
+
+
+@query
+def vision_flat(spark, sf):
+    return media.vision_flat(_planned(spark, sf))
+
+
+@query
+def vision_result(spark, sf):
+    rows = media.vision_result(_planned(spark, sf))
     return rows.withColumn("n_fps", F.coalesce(F.size(F.split("fps", ",")), F.lit(0)).cast("long")).drop("fps")
 
 
@@ -275,9 +285,16 @@ def av_interleave(spark, sf):
     return layout.interleave(video, audio)
 
 
+def _marked_tokens(spark, sf):
+    """Tokens in which the start of audio has an id of its own."""
+    follows = F.lead("token_id").over(Window.partitionBy("sample_id").orderBy("pos"))
+    rows = table(spark, sf, "tokens").withColumn("follows", follows)
+    return rows.withColumn("token_id", F.when((F.col("token_id") == 90001) & (F.col("follows") == 90005), 90006).otherwise(F.col("token_id"))).drop("follows")
+
+
 @query
 def media_counts(spark, sf):
-    return layout.media_counts(table(spark, sf, "tokens"))
+    return layout.media_counts(_marked_tokens(spark, sf))
 
 
 @query
@@ -290,7 +307,7 @@ def visible_context(spark, sf):
 
 @query
 def continuation_positions(spark, sf):
-    return layout.continuation_positions(table(spark, sf, "steps").withColumn("batch", F.col("batch").cast("long")))
+    return layout.continuation_positions(table(spark, sf, "steps").withColumn("batch", F.col("batch").cast("long")).withColumns({"delta": -(F.col("conv") % 5), "padded": F.col("conv") % 3}))
 
 
 PLACEHOLDERS = {90003: "image", 90004: "video", 90005: "audio"}
@@ -305,7 +322,9 @@ def placeholder_join(spark, sf):
     table_size = table(spark, sf, "embeddings").count()
     features = samples.select("sample_id", F.explode(names).alias("modality"))
     features = features.select("*", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1)).alias("k")).withColumn("vec_id", (F.col("sample_id") * 13 + F.col("k")) % F.lit(table_size))
-    vectors = table(spark, sf, "embeddings").select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("x0"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("x"))
+    own = vectors.withColumnRenamed("vec_id", "own_id")
+    tokens = tokens.withColumn("own_id", F.col("token_id") % F.lit(table_size)).join(own, "own_id").drop("own_id")
     return joins.placeholder_join(tokens, features.join(vectors, "vec_id"), PLACEHOLDERS)
 
 
@@ -499,7 +518,7 @@ SLICES = 3
 def _slices(spark, sf, processor) -> DataFrame:
     """Events in SLICES runs by id, each a micro-batch of its own; what a processor keeps is carried from run to run."""
     rows = table(spark, sf, "events")
-    rows = rows.select(F.col("user_id").alias("conv"), F.col("event_id").alias("batch"), (1 + F.floor("value") % 20).cast("long").alias("len"), (5 + F.col("user_id") % 7).cast("long").alias("n_replies"))
+    rows = rows.select(F.col("user_id").alias("conv"), F.col("event_id").alias("batch"), (1 + F.floor("value") % 20).cast("long").alias("len"), (5 + F.col("user_id") % 7).cast("long").alias("n_replies"), (-(F.col("user_id") % 5)).cast("long").alias("delta"))
     low, high = rows.agg(F.min("batch"), F.max("batch")).first()
     out = _folder(spark, "stream")
     name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -26,18 +26,27 @@ def _in_order(rows: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[np.nd
 
 
 class RunningPositions(StatefulProcessor):
-    """Keeps how many rows a conversation has had; new rows count on from there."""
+    """Keeps how many rows a conversation has had, and the delta that its first rows came with; new rows count on."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", StructType([StructField("n", LongType())]))
+        self.seen = handle.getValueState("seen", StructType([StructField("n", LongType()), StructField("delta", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.seen.get()[0] if self.seen.exists() else 0
-        for batch, lens in _in_order(rows, "len"):
+        seen, delta = self.seen.get() if self.seen.exists() else (0, None)
+        deltas: list[tuple[int, int]] = []
+
+        def noted() -> Iterator[pd.DataFrame]:
+            for part in rows:
+                first = part["batch"].idxmin()
+                deltas.append((int(part["batch"][first]), int(part["delta"][first])))
+                yield part
+
+        for batch, lens in _in_order(noted(), "len"):
+            delta = min(deltas)[1] if delta is None else delta
             ends = seen + np.cumsum(lens)
-            yield pd.DataFrame({"conv": key[0], "batch": batch, "seen": ends - lens, "len": lens})
+            yield pd.DataFrame({"conv": key[0], "batch": batch, "seen": ends - lens + delta, "len": lens})
             seen = int(ends[-1])
-        self.seen.update((seen,))
+        self.seen.update((seen, delta))
 
     def close(self) -> None:
         pass
@@ -62,7 +71,8 @@ class ReplyZip(StatefulProcessor):
 
 
 def stream_positions(steps: DataFrame) -> DataFrame:
-    """``(conv, batch, i, position)`` of a stream of ``conv, batch, len`` (R1); batches of a conversation come in order.
+    """``(conv, batch, i, position)`` of a stream of ``conv, batch, len, delta`` (R1); batches of a conversation come in
+    order, and the delta of the first holds for all.
 
     The state gives the start of each batch; Spark explodes its positions.
     """

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
+from tessera.operators import content as C
 from tessera.operators import infer, joins, layout, media, mix, pool
 from tessera.plans.fixtures import table
 from tessera.plans.queries import QUERIES
@@ -136,3 +137,19 @@ def test_plan_of_the_flagship_prunes(spark, sf):
     plan = QUERIES["image_resize_plan"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_partkey:bigint>" in plan and "BatchEvalPython" not in plan
     assert media.MAX_PROMPT_TOKENS == 32768
+
+
+def test_strict_fails_with_the_code(spark):
+    rows = spark.createDataFrame([(1, None), (2, "ratio")], "id long, error string")
+    assert C.checked(rows).where("error = 'ratio'").count() == 1
+    assert C.checked(rows.where("id = 1"), strict=True).count() == 1
+    with pytest.raises(Exception, match="ratio"):
+        C.checked(rows, strict=True).collect()
+
+
+def test_audio_mode_of_media_counts(spark):
+    start, heard, image, video = 90001, 90006, 90003, 90004
+    samples = {1: [start, image, image, 5], 2: [heard, 90005, start, video, video], 3: [heard, start, image, start, image], 4: [heard, start, image, video], 5: [image, 7, start], 6: [heard, 90005]}
+    rows = [(s, p, t) for s, ts in samples.items() for p, t in enumerate(ts)]
+    got = {r.sample_id: tuple(r)[1:] for r in layout.media_counts(spark.createDataFrame(rows, "sample_id long, pos long, token_id long")).collect()}
+    assert got == {1: (1, 0, 0, None), 2: (0, 1, 1, None), 3: (2, 0, 1, "vision_mix"), 4: (1, 1, 1, "vision_mix"), 5: (1, 0, 0, None), 6: (0, 0, 1, "vision_mix")}
