@@ -17,6 +17,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,16 +43,18 @@ LOOKALIKES = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 #: Phrases in which a listed word is harmless, whatever the labels say.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "worthless check")
-_FOLD = str.maketrans(LOOKALIKES)
 #: Marks that make no letter of their own with what they stand on, and characters without width.
 _MARKS = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
+_FOLD = str.maketrans({**{chr(c): None for c in range(0x10000) if _MARKS.match(chr(c))}, **LOOKALIKES})
 #: Three or more single letters with dots, dashes, stars or low lines between them.
 _SPELLED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*·][^\W_]){2,}(?![^\W_])")
 _GAPS = re.compile(r"[.\-_*·]")
+#: A letter between two of these, without which there is no such word.
+_GAPPED = re.compile(r"[.\-_*·][^\W_][.\-_*·]")
 _MIXED = re.compile(r"(?<![\w@$!])[\w@$!]*[0-9@$!][\w@$!]*")
 _DIGIT = str.maketrans(DIGITS)
 _EDGE = re.compile(r"\w+")
-_ACCENTED = re.compile(r"\w*[^\W\x00-\x7f]\w*")
+_ACCENTED = re.compile(r"(?<!\w)[A-Za-z0-9_]*+[^\W\x00-\x7f]\w*+")
 
 
 def _letters(match: re.Match) -> str:
@@ -63,13 +66,19 @@ def fold(text: str | None) -> str:
     """Folded text. Digits and signs turn into letters only in a run that has a letter; signs that end a run stay."""
     low = (text or "").lower()
     if not low.isascii():
-        low = _MARKS.sub("", unicodedata.normalize("NFKC", low)).lower().translate(_FOLD)
-    low = _SPELLED.sub(lambda m: _GAPS.sub("", m[0]) if any(c.isalpha() for c in m[0]) else m[0], low)
+        low = (low if unicodedata.is_normalized("NFKC", low) else unicodedata.normalize("NFKC", low).lower()).translate(_FOLD)
+    if _GAPPED.search(low):
+        low = _SPELLED.sub(lambda m: _GAPS.sub("", m[0]) if any(c.isalpha() for c in m[0]) else m[0], low)
     if any(d in low for d in DIGITS):
         low = _MIXED.sub(_letters, low)
     return low
 
 
+@lru_cache(1 << 16)
+def _bare(word: str) -> str:
+    return _MARKS.sub("", unicodedata.normalize("NFKD", word))
+
+
 @dataclass
 class Model:
     """Weights by term (``stem*`` for word beginnings), exception phrases, and the curve."""
@@ -91,7 +100,7 @@ class Model:
         """Folded text in which accented spellings of listed words are plain."""
 
         def plain(match: re.Match) -> str:
-            bare = _MARKS.sub("", unicodedata.normalize("NFKD", match[0]))
+            bare = _bare(match[0])
             return bare if bare in self.weights else match[0]
 
         low = fold(text)
