@@ -43,28 +43,42 @@ def frame_offsets(grids: DataFrame, key: str = "media_id") -> DataFrame:
     return rows.select(key, "frame", (F.col("frame") * F.col("size")).alias("start"), ((F.col("frame") + 1) * F.col("size")).alias("stop"))
 
 
+def _tiled(t: Column, y: Column, x: Column, height: Column, width: Column, k: int) -> tuple[Column, Column, Column]:
+    """``(index, start, cells)``: a cell's place in tile-major order, its tile's first place and size.
+
+    Tiles above and to the left of a cell's own are whole, so places follow from arithmetic alone.
+    """
+    top, left = y - y % k, x - x % k
+    rows, cols = F.least(F.lit(k), height - top), F.least(F.lit(k), width - left)
+    start = t * height * width + top * width + rows * left
+    return start + (y - top) * cols + (x - left), start, rows * cols
+
+
+def _cells(height: Column, width: Column) -> list[Column]:
+    """``t, y, x`` of the column ``cell``, which runs over frames, rows and columns."""
+    plane = height * width
+    return [F.floor(F.col("cell") / plane).cast("long").alias("t"), F.floor((F.col("cell") % plane) / width).cast("long").alias("y"), (F.col("cell") % width).cast("long").alias("x")]
+
+
 def spatial_tiles(grids: DataFrame, k: int = 4, merge: int = 2, key: str = "media_id") -> DataFrame:
-    """Merged cells of each medium in tile-major order: ``(key, idx, cell, tile, tile_start, tile_cells)``."""
+    """Merged cells of each medium in tile-major order: ``(key, idx, cell, tile, tile_start, tile_cells)``.
+
+    Narrow: each grid is laid out by itself, without a shuffle.
+    """
     rows = grids.select(key, "grid_t", F.floor(F.col("grid_h") / float(merge)).cast("long").alias("gh"), F.floor(F.col("grid_w") / float(merge)).cast("long").alias("gw"))
-    rows = rows.select("*", F.explode(_upto(F.col("grid_t") * F.col("gh") * F.col("gw"))).alias("cell"))
-    plane = F.col("gh") * F.col("gw")
-    rows = rows.withColumn("t", F.floor(F.col("cell") / plane)).withColumn("y", F.floor((F.col("cell") % plane) / F.col("gw"))).withColumn("x", F.col("cell") % F.col("gw"))
-    rows = rows.withColumn("ty", F.floor(F.col("y") / float(k))).withColumn("tx", F.floor(F.col("x") / float(k)))
-    order = Window.partitionBy(key).orderBy("t", "ty", "tx", "y", "x")
-    tile = Window.partitionBy(key, "t", "ty", "tx")
-    rows = rows.withColumn("idx", (F.row_number().over(order) - 1).cast("long")).withColumn("tile", (F.dense_rank().over(Window.partitionBy(key).orderBy("t", "ty", "tx")) - 1).cast("long"))
-    start = (F.min("idx").over(tile) * merge * merge).cast("long")
-    return rows.select(key, "idx", "cell", "tile", start.alias("tile_start"), (F.count(F.lit(1)).over(tile) * merge * merge).cast("long").alias("tile_cells"))
+    gh, gw, t, y, x = (F.col(c) for c in ("gh", "gw", "t", "y", "x"))
+    rows = rows.select("*", F.explode(_upto(F.col("grid_t") * gh * gw)).alias("cell")).select(key, "gh", "gw", "cell", *_cells(gh, gw))
+    tile = (t * F.ceil(gh / float(k)) + F.floor(y / float(k))) * F.ceil(gw / float(k)) + F.floor(x / float(k))
+    idx, start, cells = _tiled(t, y, x, gh, gw, k)
+    return rows.select(key, idx.cast("long").alias("idx"), "cell", tile.cast("long").alias("tile"), (start * merge * merge).cast("long").alias("tile_start"), (cells * merge * merge).cast("long").alias("tile_cells"))
 
 
 def grid_coords(grids: DataFrame, merge: int = 2, key: str = "media_id") -> DataFrame:
-    """``(key, idx, h, w)``: patches in merge-block order, repeated for each frame."""
-    rows = grids.select(key, "grid_h", "grid_w", F.explode(_upto(F.col("grid_t") * F.col("grid_h") * F.col("grid_w"))).alias("c"))
-    plane = F.col("grid_h") * F.col("grid_w")
-    rows = rows.withColumn("t", F.floor(F.col("c") / plane).cast("long")).withColumn("h", F.floor((F.col("c") % plane) / F.col("grid_w")).cast("long")).withColumn("w", (F.col("c") % F.col("grid_w")).cast("long"))
-    m = float(merge)
-    order = Window.partitionBy(key).orderBy("t", F.floor(F.col("h") / m), F.floor(F.col("w") / m), F.col("h") % merge, F.col("w") % merge)
-    return rows.select(key, (F.row_number().over(order) - 1).cast("long").alias("idx"), "h", "w")
+    """``(key, idx, h, w)``: patches in merge-block order, repeated for each frame (W5). Narrow, like ``spatial_tiles``."""
+    gh, gw = F.col("grid_h"), F.col("grid_w")
+    rows = grids.select(key, "grid_h", "grid_w", F.explode(_upto(F.col("grid_t") * gh * gw)).alias("cell")).select(key, "grid_h", "grid_w", *_cells(gh, gw))
+    idx, _, _ = _tiled(F.col("t"), F.col("y"), F.col("x"), gh, gw, merge)
+    return rows.select(key, idx.cast("long").alias("idx"), F.col("y").alias("h"), F.col("x").alias("w"))
 
 
 def positions_text(tokens: DataFrame) -> DataFrame:

@@ -10,29 +10,34 @@ def valid_lengths(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("sample_id").agg(F.sum("mask").cast("long").alias("length"))
 
 
-def _long(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, "pos", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-
-
 def pair_pooling(rows: DataFrame, key: str = "item") -> DataFrame:
-    """``(key, pair, dim, value)``: the mean of rows 2i and 2i + 1; an odd last row drops (A2)."""
-    pairs = _long(rows, key).groupBy(key, F.floor(F.col("pos") / 2.0).cast("long").alias("pair"), F.col("dim").cast("long").alias("dim"))
-    return pairs.agg(F.avg("x").alias("value"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+    """``(key, pair, dim, value)``: the mean of rows 2i and 2i + 1; an odd last row drops (A2).
+
+    Vectors are shuffled whole and exploded after their mean is taken.
+    """
+    vec = F.transform("vec", lambda x: x.cast("double"))
+    pairs = rows.groupBy(key, F.floor(F.col("pos") / 2.0).cast("long").alias("pair")).agg(F.collect_list(vec).alias("v")).where(F.size("v") == 2)
+    means = F.zip_with(F.col("v")[0], F.col("v")[1], lambda x, y: (x + y) / 2)
+    return pairs.select(key, "pair", F.posexplode(means).alias("dim", "value")).select(key, "pair", F.col("dim").cast("long").alias("dim"), "value").where("value IS NOT NULL")
 
 
 def stats_pooling(rows: DataFrame, key: str = "item", softmax_of: Column | None = None) -> DataFrame:
-    """``(key, dim, mean, std)`` per channel, weighted uniformly or by the softmax of a score per row (A3)."""
+    """``(key, dim, mean, std)`` per channel, weighted uniformly or by the softmax of a score per row (A3).
+
+    Channels are summed in each task before the shuffle, so a key that holds most rows costs one row a channel and task.
+    """
+    channel = F.posexplode(F.transform("vec", lambda x: x.cast("double"))).alias("dim", "x")
+    dim = F.col("dim").cast("long").alias("dim")
+    clamped = lambda v: F.sqrt(F.greatest(v, F.lit(1e-12))).alias("std")
     if softmax_of is None:
-        weighted = _long(rows, key).withColumn("w", F.lit(1.0))
-    else:
-        w = Window.partitionBy(key)
-        scored = rows.withColumn("s", softmax_of.cast("double"))
-        scored = scored.withColumn("w", F.exp(F.col("s") - F.max("s").over(w)))
-        weighted = scored.select(key, "w", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+        return rows.select(key, channel).groupBy(key, dim).agg(F.avg("x").alias("mean"), clamped(F.var_pop("x")))
+    scored = rows.select(key, "vec", softmax_of.cast("double").alias("s"))
+    scored = scored.join(scored.groupBy(key).agg(F.max("s").alias("top")), key)
+    weighted = scored.select(key, F.exp(F.col("s") - F.col("top")).alias("w"), channel)
     first = weighted.groupBy(key, "dim").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
-    both = weighted.join(first, [key, "dim"])
-    spread = F.sum(F.col("w") * (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))) / F.sum("w")
-    return both.groupBy(key, F.col("dim").cast("long").alias("dim")).agg(F.first("mean").alias("mean"), F.sqrt(F.greatest(spread, F.lit(1e-12))).alias("std"))
+    gap = F.col("x") - F.col("mean")
+    both = weighted.join(first, [key, "dim"]).groupBy(key, dim)
+    return both.agg(F.first("mean").alias("mean"), clamped(F.sum(F.col("w") * gap * gap) / F.sum("w")))
 
 
 def masked_nll(rows: DataFrame, key: str = "item") -> DataFrame:
