@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, divergence, langid, licences, linededup, packing, pii, simhash, sketch, spelling, tokenfile, toxicity
+from tessera.llm import decontaminate, divergence, langid, licences, linededup, packing, phrases, pii, simhash, sketch, spelling, tokenfile, toxicity
 from tessera.plans.session import checkpoint_dir
 
 
@@ -70,6 +70,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_packing, op3_decontamination, op4_licence_scan, op5_fingerprints, op6_toxicity, op7_language_id, op8_simhash_near_dedup, op9_token_file, op10_line_dedup, op11_source_divergence, op12_spelling_variants)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.dedup_passages(_read(spark, sf_dir, "documents")).drop("kept")
 
-ORACLES = {"op3_decontamination": decontaminate.ORACLE, "op11_source_divergence": divergence.ORACLE}
+
+QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_packing, op3_decontamination, op4_licence_scan, op5_fingerprints, op6_toxicity, op7_language_id, op8_simhash_near_dedup, op9_token_file, op10_line_dedup, op11_source_divergence, op12_spelling_variants, op13_substring_dedup)}
+
+ORACLES = {"op3_decontamination": decontaminate.ORACLE, "op11_source_divergence": divergence.ORACLE, "op13_substring_dedup": phrases.ORACLE}

@@ -69,7 +69,8 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 if len(held) > HELD:
                     yield pd.DataFrame({"word": [w.decode("latin-1") for w in held], "n": list(held.values())})
                     held.clear()
-        yield pd.DataFrame({"word": [w.decode("latin-1") for w in held], "n": list(held.values())}, columns=["word", "n"])
+        if held:
+            yield pd.DataFrame({"word": [w.decode("latin-1") for w in held], "n": list(held.values())})
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("string").alias("t"))
     return rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_USES)
