@@ -116,15 +116,15 @@ def positions_multimodal(segments: DataFrame, clock: int = 25, merge: int = 2) -
     return rows.select("sample_id", (F.col("offset") + F.col("i")).alias("idx"), *[(F.col("start") + v).cast("long").alias(n) for n, v in (("t", t), ("h", h), ("w", w))], "delta")
 
 
-def time_chunks(timed: DataFrame, width: int = 10, key: str = "item") -> DataFrame:
-    """``(key, i, t, chunk)`` of a time-sorted sequence: at most one cut before each row.
+def time_chunks(timed: DataFrame, width: int = 10, key: str = "item", *also: str) -> DataFrame:
+    """``(key, i, t, chunk)`` of a time-sorted sequence: at most one cut before each row (W8); columns ``also`` stay.
 
     The number of cuts so far is i + min(1, min over j <= i of (floor((t_j - t_0) / width) - j)), at least 0.
     """
     w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     due = F.floor((F.col("t") - F.first("t").over(w)) / float(width)) - F.col("i")
     rows = timed.withColumn("due", due)
-    return rows.select(key, "i", "t", (F.col("i") + F.least(F.lit(1), F.min("due").over(w))).cast("long").alias("chunk"))
+    return rows.select(key, "i", "t", *also, (F.col("i") + F.least(F.lit(1), F.min("due").over(w))).cast("long").alias("chunk"))
 
 
 def interleave(video: DataFrame, audio: DataFrame, width: int = 50, key: str = "item") -> DataFrame:
@@ -133,7 +133,7 @@ def interleave(video: DataFrame, audio: DataFrame, width: int = 50, key: str = "
     Inputs have ``key, i, t, m`` (``m`` the largest of a row's positions). ``(key, idx, kind, i, t, chunk, next_start)``;
     the next start is one past the largest position of the last chunk part that is not empty.
     """
-    parts = [time_chunks(d, width, key).join(d.select(key, "i", "m"), [key, "i"]).select(key, "chunk", F.lit(r).alias("rank"), "i", "t", "m") for r, d in enumerate((video, audio))]
+    parts = [time_chunks(d, width, key, "m").withColumn("rank", F.lit(r)) for r, d in enumerate((video, audio))]
     rows = parts[0].unionByName(parts[1])
     order = Window.partitionBy(key).orderBy("chunk", "rank", "i")
     last = Window.partitionBy(key, "chunk", "rank")
@@ -162,10 +162,12 @@ def media_counts(tokens: DataFrame, start_id: int = 90001, image_id: int = 90003
     return n.select("sample_id", count("i", "all_i").alias("images"), count("v", "all_v").alias("videos"), "audios", F.when(mixed, "vision_mix").alias("error"))
 
 
-def visible_context(tokens: DataFrame, window: int | None = None) -> DataFrame:
-    """Keys that each row sees: itself and unpadded earlier ones, within the sliding window if there is one."""
-    frame = Window.partitionBy("sample_id").orderBy("pos").rowsBetween(Window.unboundedPreceding if window is None else 1 - window, 0)
-    return tokens.select("sample_id", "pos", F.sum("mask").over(frame).cast("long").alias("visible"))
+def visible_context(tokens: DataFrame, *windows: int) -> DataFrame:
+    """Keys that each row sees, itself and unpadded earlier ones, as ``visible``; for each of the sliding ``windows``
+    those within it, as ``visible_<window>`` (W11). All frames share one sort."""
+    order = Window.partitionBy("sample_id").orderBy("pos")
+    seen = lambda first: F.sum("mask").over(order.rowsBetween(first, 0)).cast("long")
+    return tokens.select("sample_id", "pos", seen(Window.unboundedPreceding).alias("visible"), *[seen(1 - n).alias(f"visible_{n}") for n in windows])
 
 
 def continuation_positions(steps: DataFrame, key: str = "conv") -> DataFrame:

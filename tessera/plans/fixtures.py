@@ -57,6 +57,19 @@ FIXTURES = {
         SELECT sample_id, seg_no, kind, len FROM segments
         UNION ALL SELECT sample_id, CAST(-1 AS BIGINT), 'pad', sample_id % 4 FROM (SELECT DISTINCT sample_id FROM segments) a
         UNION ALL SELECT sample_id, CAST(1000000 AS BIGINT), 'pad', CAST(1 AS BIGINT) FROM (SELECT DISTINCT sample_id FROM segments WHERE sample_id % 10 = 0) b) v @SERIES(len)@""",
+    "ids": "SELECT sample_id, pos, CASE WHEN token_id = 90001 AND lead(token_id) OVER (PARTITION BY sample_id ORDER BY pos) = 90005 THEN 90006 ELSE token_id END AS token_id, mask FROM tokens",
+    "id_grids": "SELECT sample_id, kind AS modality, row_number() OVER (PARTITION BY sample_id, kind ORDER BY seg_no) - 1 AS k, grid_t, grid_h, grid_w, sec FROM segments WHERE kind IN ('image', 'video')",
+    "id_audios": "SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY seg_no) - 1 AS k, 4 * len + CASE WHEN sample_id % 23 = 0 THEN 8 ELSE 0 END AS mel_len FROM segments WHERE kind = 'audio'",
+    "av_segments": """SELECT sample_id, seg_no, 0 AS part, CASE WHEN kind = 'bos' AND nk = 'audio' THEN 'heard' ELSE kind END AS kind, CASE WHEN kind = 'eos' AND pk = 'video' THEN 2 ELSE len END AS len FROM (SELECT *, lead(kind) OVER (PARTITION BY sample_id ORDER BY seg_no) AS nk, lag(kind) OVER (PARTITION BY sample_id ORDER BY seg_no) AS pk FROM segments) x
+        UNION ALL SELECT sample_id, seg_no, 1, 'audio', 1 + (sample_id * 37 + seg_no * 11) % 120 FROM segments WHERE kind = 'video'
+        UNION ALL SELECT sample_id, seg_no - 1, 1, 'heard', 1 FROM segments WHERE kind = 'video'""",
+    "av_ids": """SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY seg_no, part, s.n) - 1 AS pos,
+        CASE kind WHEN 'pad' THEN 0 WHEN 'bos' THEN 90001 WHEN 'heard' THEN 90006 WHEN 'eos' THEN 90002 WHEN 'image' THEN 90003 WHEN 'video' THEN 90004 WHEN 'audio' THEN 90005 ELSE 1 + (sample_id * 7 + seg_no * 31 + s.n) % 50000 END AS token_id,
+        CASE WHEN kind = 'pad' THEN 0 ELSE 1 END AS mask FROM (
+        SELECT sample_id, seg_no, part, kind, len FROM av_segments
+        UNION ALL SELECT sample_id, CAST(-9 AS BIGINT), 0, 'pad', sample_id % 4 FROM (SELECT DISTINCT sample_id FROM segments) a
+        UNION ALL SELECT sample_id, CAST(1000000 AS BIGINT), 0, 'pad', CAST(1 AS BIGINT) FROM (SELECT DISTINCT sample_id FROM segments WHERE sample_id % 10 = 0) b) v @SERIES(len)@""",
+    "av_audios": "SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY seg_no, part) - 1 AS k, 4 * len AS mel_len FROM av_segments WHERE kind = 'audio'",
     "features": "SELECT CAST(label AS BIGINT) AS item, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, vec_id, embedding AS vec FROM embeddings",
     "timed": """SELECT item, i, CAST(sum(step) OVER (PARTITION BY item ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM (
         SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,

@@ -87,7 +87,51 @@ mc AS (SELECT sample_id, count(*) FILTER (WHERE token_id = 90006) AS audios, cou
 mcount AS (SELECT sample_id, CASE WHEN audios = 0 THEN i WHEN ai > 0 THEN starts ELSE 0 END AS images, CASE WHEN audios = 0 THEN v WHEN av > 0 THEN starts ELSE 0 END AS videos, audios, CASE WHEN audios > 0 AND ((ai > 0 AND av > 0) OR starts <> 1) THEN 'vision_mix' END AS error FROM mc)"""
 _LISTS = f"""fr AS (SELECT video_id, frame_no, f.image_id, {_FR['h']} AS h, {_FR['w']} AS w, {_FR['error']} AS error FROM frame_lists f LEFT JOIN image_meta m ON f.image_id = m.image_id),
 lists AS (SELECT coalesce((list(error ORDER BY frame_no) FILTER (WHERE error IS NOT NULL))[1], CASE WHEN count(DISTINCT (coalesce(h, -1), coalesce(w, -1))) > 1 THEN 'frame_sizes_differ' END) AS error FROM fr GROUP BY video_id)"""
+def _walk(ids: str, audios: str, paired: bool) -> str:
+    """SQL for positions by a reader that steps from medium to medium, and for what each of its steps covers."""
+    audio = "WHEN kind = 'audio' THEN heard"
+    both = f"kind = 'video' AND {str(paired).lower()}"
+    return f"""u AS (SELECT sample_id, pos, token_id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS i FROM {ids} WHERE mask = 1),
+    nx AS (SELECT sample_id, i, min(CASE token_id WHEN 90003 THEN i END) OVER w AS ni, min(CASE token_id WHEN 90004 THEN i END) OVER w AS nv, min(CASE token_id WHEN 90005 THEN i END) OVER w AS na FROM u WINDOW w AS (PARTITION BY sample_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    gr AS (SELECT sample_id, modality AS kind, k, grid_t AS gt, grid_h // 2 AS gh, grid_w // 2 AS gw, CAST(CASE modality WHEN 'image' THEN 1 ELSE sec END AS FLOAT) AS sec FROM id_grids),
+    au AS (SELECT sample_id, k, CAST(floor((floor((mel_len - 1) / 2.0) - 1) / 2.0) + 1 AS BIGINT) AS heard FROM {audios}),
+    pair AS (SELECT g.sample_id * 1000 + g.k AS item, g.*, au.heard FROM gr g JOIN (SELECT v.sample_id, row_number() OVER (PARTITION BY v.sample_id ORDER BY v.i) - 1 AS k, (SELECT count(*) FROM u a WHERE a.sample_id = v.sample_id AND a.i < v.i AND a.token_id = 90006) - 1 AS ak FROM u v JOIN u p ON p.sample_id = v.sample_id AND p.i = v.i - 1 WHERE v.token_id = 90004 AND p.token_id <> 90004) x
+        ON x.sample_id = g.sample_id AND x.k = g.k JOIN au ON au.sample_id = x.sample_id AND au.k = x.ak WHERE g.kind = 'video' AND {str(paired).lower()}),
+    pv AS (SELECT item, c AS i, CAST(trunc(CAST(c // (gh * gw) AS FLOAT) * sec * CAST(25 AS FLOAT)) AS BIGINT) AS t, (c % (gh * gw)) // gw AS h, c % gw AS w FROM pair CROSS JOIN LATERAL unnest(range(0, gt * gh * gw)) AS q(c)),
+    pa AS (SELECT item, c AS i, c AS t, c AS h, c AS w FROM pair CROSS JOIN LATERAL unnest(range(0, heard)) AS q(c)),
+    {_cuts('pv', 'pvw', 50)}, {_cuts('pa', 'paw', 50)},
+    pm AS (SELECT item, chunk, 0 AS r, i, t, h, w FROM pvw JOIN pv USING (item, i, t) UNION ALL SELECT item, chunk, 1, i, t, h, w FROM paw JOIN pa USING (item, i, t)),
+    po AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY chunk, r, i) - 1 AS o FROM pm),
+    pf AS (SELECT item, max(greatest(t, h, w)) AS top, max_by(top_of_part, chunk * 2 + r) + 1 AS step, count(*) AS m FROM (SELECT *, max(greatest(t, h, w)) OVER (PARTITION BY item, chunk, r) AS top_of_part FROM po) z GROUP BY item),
+    rd AS (SELECT sample_id, CAST(0 AS BIGINT) AS st0, CAST(0 AS BIGINT) AS start0, CAST(NULL AS VARCHAR) AS kind, CAST(-1 AS BIGINT) AS ed, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS base, CAST(0 AS BIGINT) AS reach, CAST(0 AS BIGINT) AS st, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS ii, CAST(0 AS BIGINT) AS vi, CAST(0 AS BIGINT) AS ai FROM (SELECT DISTINCT sample_id FROM u) b
+        UNION ALL SELECT sample_id, st, start, kind, ed, m, base, base + span, ed + m + CASE WHEN {both} THEN 2 ELSE 1 END, base + step + 1, ii + CAST(kind = 'image' AS INT), vi + CAST(kind = 'video' AS INT), ai + CAST(kind = 'audio' OR ({both}) AS INT) FROM (
+            SELECT q.*, CASE {audio} WHEN {both} THEN pf.m ELSE gt * gh * gw END AS m, CASE {audio} WHEN {both} THEN pf.top + 1 ELSE greatest(CAST(trunc(CAST(gt - 1 AS FLOAT) * sec * CAST(25 AS FLOAT)) AS BIGINT), gh - 1, gw - 1) + 1 END AS span,
+                CASE {audio} WHEN {both} THEN pf.step ELSE greatest(CAST(trunc(CAST(gt - 1 AS FLOAT) * sec * CAST(25 AS FLOAT)) AS BIGINT), gh - 1, gw - 1) + 1 END AS step, start + (ed - st) - CASE WHEN {both} THEN 1 ELSE 0 END AS base
+            FROM (SELECT rd.sample_id, rd.st, rd.start, rd.ii, rd.vi, rd.ai, least(ni, nv, na) AS ed, CASE least(ni, nv, na) WHEN na THEN 'audio' WHEN ni THEN 'image' ELSE 'video' END AS kind FROM rd JOIN nx ON nx.sample_id = rd.sample_id AND nx.i = rd.st WHERE least(ni, nv, na) IS NOT NULL) q
+            LEFT JOIN gr ON gr.sample_id = q.sample_id AND gr.kind = q.kind AND gr.k = CASE q.kind WHEN 'image' THEN ii ELSE vi END LEFT JOIN au ON au.sample_id = q.sample_id AND au.k = ai AND q.kind = 'audio' LEFT JOIN pf ON pf.item = q.sample_id * 1000 + vi) s)"""
+
+
+def _stepped(ids: str, audios: str, paired: bool) -> str:
+    """The query over :func:`_walk`: every row's place in the step that covers it."""
+    both = f"s.kind = 'video' AND {str(paired).lower()}"
+    cell = lambda x: f"s.base + CASE WHEN s.kind = 'audio' THEN u.i - s.ed WHEN {both} THEN po.{x[0]} ELSE {x[1]} END"
+    axis = lambda x: f"CASE WHEN s.kind IS NULL THEN z.start + u.i - z.st WHEN u.i < s.ed THEN s.start0 + u.i - s.st0 - CASE WHEN {both} AND u.i = s.ed - 1 THEN 1 ELSE 0 END WHEN u.i < s.ed + s.m THEN {cell(x)} ELSE s.next - 1 END"
+    t = axis(("t", "CAST(trunc(CAST((u.i - s.ed) // (gr.gh * gr.gw) AS FLOAT) * gr.sec * CAST(25 AS FLOAT)) AS BIGINT)"))
+    h, w = axis(("h", "((u.i - s.ed) % (gr.gh * gr.gw)) // gr.gw")), axis(("w", "(u.i - s.ed) % gr.gw"))
+    return f"""WITH RECURSIVE {_walk(ids, audios, paired)},
+    s AS (SELECT sample_id, st0, start0, kind, ed, m, base, st, start AS next, CASE kind WHEN 'image' THEN ii ELSE vi END - 1 AS k, vi - 1 AS v FROM rd WHERE kind IS NOT NULL),
+    z AS (SELECT sample_id, max(st) AS st, max_by(start, st) AS start FROM rd GROUP BY sample_id),
+    bad AS (SELECT sample_id FROM (SELECT sample_id, count(*) AS n FROM u WHERE token_id = 90005 GROUP BY sample_id) a JOIN (SELECT sample_id, sum(heard) AS n FROM au GROUP BY sample_id) b USING (sample_id) WHERE a.n <> b.n),
+    placed AS (SELECT u.sample_id, u.pos, {t} AS t, {h} AS h, {w} AS w FROM u JOIN z ON z.sample_id = u.sample_id LEFT JOIN s ON s.sample_id = u.sample_id AND u.i >= s.st0 AND u.i < s.st LEFT JOIN gr ON gr.sample_id = s.sample_id AND gr.kind = s.kind AND gr.k = s.k LEFT JOIN po ON po.item = s.sample_id * 1000 + s.v AND po.o = u.i - s.ed AND {both}),
+    del AS (SELECT sample_id, max(greatest(t, h, w)) + 1 - count(*) AS delta FROM placed GROUP BY sample_id)
+    SELECT a.sample_id, CAST(a.pos AS BIGINT) AS pos, CASE WHEN b.sample_id IS NOT NULL THEN NULL WHEN a.mask = 0 THEN 1 ELSE CAST(p.t AS BIGINT) END AS t, CASE WHEN b.sample_id IS NOT NULL THEN NULL WHEN a.mask = 0 THEN 1 ELSE CAST(p.h AS BIGINT) END AS h, CASE WHEN b.sample_id IS NOT NULL THEN NULL WHEN a.mask = 0 THEN 1 ELSE CAST(p.w AS BIGINT) END AS w,
+        CASE WHEN b.sample_id IS NULL THEN CAST(delta AS BIGINT) END AS delta, CASE WHEN b.sample_id IS NOT NULL THEN 'grid_len_mismatch' END AS error
+    FROM {ids} a LEFT JOIN placed p ON p.sample_id = a.sample_id AND p.pos = a.pos LEFT JOIN del ON del.sample_id = a.sample_id LEFT JOIN bad b ON b.sample_id = a.sample_id"""
+
+
 _BODIES = {
+    "positions_from_ids": _stepped("ids", "id_audios", False),
+    "positions_audio_in_video": _stepped("av_ids", "av_audios", True),
     "conversations_assembled": "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS roles, sha256(string_agg(content, '|' ORDER BY turn)) AS content_sha FROM messages GROUP BY conv_id",
     "inline_payload": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, CASE WHEN contains(uri, 'base64,') THEN hex(from_base64(substr(uri, strpos(uri, 'base64,') + 7))) END AS payload, CASE WHEN NOT contains(uri, 'base64,') THEN modality || '_unrecognised' END AS error FROM vis WHERE starts_with(uri, 'data:')",
     "remote_payload": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, uri, payload, CASE WHEN payload IS NULL THEN 'not_fetched' END AS error FROM vis LEFT JOIN remote ON uri = url WHERE starts_with(uri, 'http://') OR starts_with(uri, 'https://')",

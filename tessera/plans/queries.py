@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
 from tessera.operators import content as C
-from tessera.operators import infer, joins, layout, media, mix, pool
+from tessera.operators import infer, joins, layout, media, mix, pool, positions
 from tessera.plans.fixtures import table
 from tessera.plans.session import checkpoint_dir
 from tessera.sources import media as sources
@@ -272,6 +272,18 @@ def positions_multimodal(spark, sf):
     return layout.positions_multimodal(table(spark, sf, "segments"))
 
 
+@query
+def positions_from_ids(spark, sf):
+    """Positions parsed out of raw ids; lengths that do not fit their rows (every 23rd sample's audios) are errors."""
+    return positions.positions_from_ids(table(spark, sf, "ids"), table(spark, sf, "id_grids"), table(spark, sf, "id_audios"))
+
+
+@query
+def positions_audio_in_video(spark, sf):
+    """The same where videos come with their audio between them."""
+    return positions.positions_from_ids(table(spark, sf, "av_ids"), table(spark, sf, "id_grids"), table(spark, sf, "av_audios"), audio_in_video=True)
+
+
 @query
 def time_chunks(spark, sf):
     return layout.time_chunks(table(spark, sf, "timed")).withColumn("i", F.col("i").cast("long"))
@@ -299,10 +311,7 @@ def media_counts(spark, sf):
 
 @query
 def visible_context(spark, sf):
-    rows = table(spark, sf, "tokens")
-    full = layout.visible_context(rows)
-    slide = layout.visible_context(rows, 16).withColumnRenamed("visible", "visible_16")
-    return full.join(slide, ["sample_id", "pos"]).withColumn("pos", F.col("pos").cast("long"))
+    return layout.visible_context(table(spark, sf, "tokens"), 16).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query
