@@ -89,8 +89,8 @@ _LISTS = f"""fr AS (SELECT video_id, frame_no, f.image_id, {_FR['h']} AS h, {_FR
 lists AS (SELECT coalesce((list(error ORDER BY frame_no) FILTER (WHERE error IS NOT NULL))[1], CASE WHEN count(DISTINCT (coalesce(h, -1), coalesce(w, -1))) > 1 THEN 'frame_sizes_differ' END) AS error FROM fr GROUP BY video_id)"""
 def _walk(ids: str, audios: str, paired: bool) -> str:
     """SQL for positions by a reader that steps from medium to medium, and for what each of its steps covers."""
-    audio = "WHEN kind = 'audio' THEN heard"
-    both = f"kind = 'video' AND {str(paired).lower()}"
+    audio = "WHEN q.kind = 'audio' THEN au.heard"
+    both, of_q = f"kind = 'video' AND {str(paired).lower()}", f"q.kind = 'video' AND {str(paired).lower()}"
     return f"""u AS (SELECT sample_id, pos, token_id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS i FROM {ids} WHERE mask = 1),
     nx AS (SELECT sample_id, i, min(CASE token_id WHEN 90003 THEN i END) OVER w AS ni, min(CASE token_id WHEN 90004 THEN i END) OVER w AS nv, min(CASE token_id WHEN 90005 THEN i END) OVER w AS na FROM u WINDOW w AS (PARTITION BY sample_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
     gr AS (SELECT sample_id, modality AS kind, k, grid_t AS gt, grid_h // 2 AS gh, grid_w // 2 AS gw, CAST(CASE modality WHEN 'image' THEN 1 ELSE sec END AS FLOAT) AS sec FROM id_grids),
@@ -105,8 +105,8 @@ def _walk(ids: str, audios: str, paired: bool) -> str:
     pf AS (SELECT item, max(greatest(t, h, w)) AS top, max_by(top_of_part, chunk * 2 + r) + 1 AS step, count(*) AS m FROM (SELECT *, max(greatest(t, h, w)) OVER (PARTITION BY item, chunk, r) AS top_of_part FROM po) z GROUP BY item),
     rd AS (SELECT sample_id, CAST(0 AS BIGINT) AS st0, CAST(0 AS BIGINT) AS start0, CAST(NULL AS VARCHAR) AS kind, CAST(-1 AS BIGINT) AS ed, CAST(0 AS BIGINT) AS m, CAST(0 AS BIGINT) AS base, CAST(0 AS BIGINT) AS reach, CAST(0 AS BIGINT) AS st, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS ii, CAST(0 AS BIGINT) AS vi, CAST(0 AS BIGINT) AS ai FROM (SELECT DISTINCT sample_id FROM u) b
         UNION ALL SELECT sample_id, st, start, kind, ed, m, base, base + span, ed + m + CASE WHEN {both} THEN 2 ELSE 1 END, base + step + 1, ii + CAST(kind = 'image' AS INT), vi + CAST(kind = 'video' AS INT), ai + CAST(kind = 'audio' OR ({both}) AS INT) FROM (
-            SELECT q.*, CASE {audio} WHEN {both} THEN pf.m ELSE gt * gh * gw END AS m, CASE {audio} WHEN {both} THEN pf.top + 1 ELSE greatest(CAST(trunc(CAST(gt - 1 AS FLOAT) * sec * CAST(25 AS FLOAT)) AS BIGINT), gh - 1, gw - 1) + 1 END AS span,
-                CASE {audio} WHEN {both} THEN pf.step ELSE greatest(CAST(trunc(CAST(gt - 1 AS FLOAT) * sec * CAST(25 AS FLOAT)) AS BIGINT), gh - 1, gw - 1) + 1 END AS step, start + (ed - st) - CASE WHEN {both} THEN 1 ELSE 0 END AS base
+            SELECT q.*, CASE {audio} WHEN {of_q} THEN pf.m ELSE gr.gt * gr.gh * gr.gw END AS m, CASE {audio} WHEN {of_q} THEN pf.top + 1 ELSE greatest(CAST(trunc(CAST(gr.gt - 1 AS FLOAT) * gr.sec * CAST(25 AS FLOAT)) AS BIGINT), gr.gh - 1, gr.gw - 1) + 1 END AS span,
+                CASE {audio} WHEN {of_q} THEN pf.step ELSE greatest(CAST(trunc(CAST(gr.gt - 1 AS FLOAT) * gr.sec * CAST(25 AS FLOAT)) AS BIGINT), gr.gh - 1, gr.gw - 1) + 1 END AS step, q.start + (q.ed - q.st) - CASE WHEN {of_q} THEN 1 ELSE 0 END AS base
             FROM (SELECT rd.sample_id, rd.st, rd.start, rd.ii, rd.vi, rd.ai, least(ni, nv, na) AS ed, CASE least(ni, nv, na) WHEN na THEN 'audio' WHEN ni THEN 'image' ELSE 'video' END AS kind FROM rd JOIN nx ON nx.sample_id = rd.sample_id AND nx.i = rd.st WHERE least(ni, nv, na) IS NOT NULL) q
             LEFT JOIN gr ON gr.sample_id = q.sample_id AND gr.kind = q.kind AND gr.k = CASE q.kind WHEN 'image' THEN ii ELSE vi END LEFT JOIN au ON au.sample_id = q.sample_id AND au.k = ai AND q.kind = 'audio' LEFT JOIN pf ON pf.item = q.sample_id * 1000 + vi) s)"""
 
