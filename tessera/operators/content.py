@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ELEMENT = "type STRING, text STRING, image STRING, image_url STRING, audio STRING, video STRING, resized_height BIGINT, resized_width BIGINT, min_pixels BIGINT, max_pixels BIGINT, total_pixels DOUBLE, fps DOUBLE, nframes DOUBLE, min_frames DOUBLE, max_frames DOUBLE, video_start DOUBLE, video_end DOUBLE"
+ELEMENT = {
+    **dict.fromkeys(("type", "text", "image", "image_url", "audio", "video"), "string"), **dict.fromkeys(("resized_height", "resized_width", "min_pixels", "max_pixels"), "bigint"),
+    **dict.fromkeys(("total_pixels", "fps", "nframes", "min_frames", "max_frames", "video_start", "video_end"), "double"),
+}
 
 
 def checked(rows: DataFrame, strict: bool = False) -> DataFrame:
@@ -20,15 +23,26 @@ def checked(rows: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def has(*keys: str) -> Column:
-    return F.arrays_overlap("keys", F.array(*[F.lit(k) for k in keys]))
+    return F.coalesce(F.arrays_overlap("keys", F.array(*[F.lit(k) for k in keys])), F.lit(False))
 
 
-def elements(messages: DataFrame) -> DataFrame:
-    """``(conv_id, turn, elem_pos, keys, <element fields>)`` in document order; string content has none."""
-    rows = messages.where(F.col("content").startswith("["))
-    raw = rows.select("conv_id", "turn", F.posexplode(F.from_json("content", "array<string>")).alias("elem_pos", "raw"))
-    parsed = raw.select("conv_id", "turn", F.col("elem_pos").cast("long").alias("elem_pos"), F.json_object_keys("raw").alias("keys"), F.from_json("raw", ELEMENT).alias("e"))
-    return parsed.select("conv_id", "turn", "elem_pos", "keys", "e.*")
+def elements(messages: DataFrame, plain: bool = False) -> DataFrame:
+    """``(conv_id, turn, elem_pos, keys, <element fields>, frames)`` in document order; string content has none.
+
+    Content is parsed once, into maps of variants, so keys and values of either type come from the same parse: a
+    ``video`` that is a list is ``frames``, any other is ``video``. With ``plain``, string content is a text element.
+    """
+    listed = F.col("content").startswith("[")
+    rows = messages if plain else messages.where(listed)
+    rows = rows.select("conv_id", "turn", "content", listed.alias("listed"), F.posexplode_outer(F.when(listed, F.from_json("content", "array<map<string,variant>>"))).alias("elem_pos", "m"))
+    rows = rows.where(F.col("m").isNotNull() | ~F.col("listed"))  # what does not parse has no elements
+    frames = F.try_variant_get(F.col("m")["video"], "$", "array<string>")
+    fields = {name: F.try_variant_get(F.col("m")[name], "$", kind) for name, kind in ELEMENT.items()}
+    fields["video"] = F.when(frames.isNull(), fields["video"])
+    if plain:
+        fields["type"] = F.when(F.col("listed"), fields["type"]).otherwise("text")
+        fields["text"] = F.when(F.col("listed"), fields["text"]).otherwise(F.col("content"))
+    return rows.select("conv_id", "turn", F.coalesce("elem_pos", F.lit(0)).cast("long").alias("elem_pos"), F.map_keys("m").alias("keys"), *[v.alias(k) for k, v in fields.items()], frames.alias("frames"))
 
 
 def is_vision() -> Column:

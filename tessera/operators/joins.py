@@ -53,10 +53,25 @@ def unknown_speakers(requests: DataFrame, speakers: DataFrame) -> DataFrame:
     return requests.join(small(speakers.select(F.col("name").alias("speaker"))), "speaker", "left_anti").select("req_id", "speaker")
 
 
+def interval_lookup(points: DataFrame, intervals: DataFrame, key: str = "sample_id", width: int = 64) -> DataFrame:
+    """Each point with the intervals ``[start, stop)`` that hold it (J3); null columns where none does.
+
+    ``points``: ``key, pos``; ``intervals``: ``key, start, stop`` and more; gaps and overlaps are fine, an interval that
+    is empty holds nothing. Intervals list the bins of ``width`` that they touch, points have one: an equi-join on key
+    and bin with an exact test, so neither a range join nor a sort of a key's rows is needed.
+    """
+    cell = lambda c: F.floor(c / F.lit(float(width))).cast("long")
+    dealt = intervals.where("start < stop").select("*", F.explode(F.sequence(cell(F.col("start")), cell(F.col("stop") - 1))).alias("__bin")).withColumnRenamed(key, "__key")
+    rows = points.withColumn("__cell", cell(F.col("pos")))
+    inside = (F.col(key) == F.col("__key")) & (F.col("__cell") == F.col("__bin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
+    return rows.join(dealt, inside, "left").drop("__cell", "__bin", "__key")
+
+
 def segment_lookup(points: DataFrame, segments: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Each point's segment, the last that starts at or before it (J3): one union, one window, no range join.
+    """Each point's segment where segments have no ends: the last that starts at or before it. One union, one window.
 
-    ``points``: ``key, pos``; ``segments``: ``key, start, seg_no``, with starts that differ.
+    ``points``: ``key, pos``; ``segments``: ``key, start, seg_no``, with starts that differ. :func:`interval_lookup` is
+    for segments with ends.
     """
     both = points.select(key, "pos", F.lit(1).alias("o"), F.lit(None).cast("long").alias("seg")).unionByName(segments.select(key, F.col("start").alias("pos"), F.lit(0).alias("o"), F.col("seg_no").cast("long").alias("seg")))
     w = Window.partitionBy(key).orderBy("pos", "o").rowsBetween(Window.unboundedPreceding, 0)

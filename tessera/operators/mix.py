@@ -23,6 +23,11 @@ def training_mix(rows: DataFrame, caps: Mapping[str, int], dataset: str = "datas
     return rest
 
 
+def request_errors(requests: DataFrame) -> DataFrame:
+    """Requests for speech in batches of more than one, as ``error`` ``batch_audio``; needs ``req_id, speech, batch``."""
+    return requests.where("speech AND batch > 1").select("req_id", F.lit("batch_audio").alias("error"))
+
+
 def length_limits(rows: DataFrame, prompt: int = PROMPT_TOKENS, completion: int = COMPLETION_TOKENS) -> DataFrame:
     """Rows whose prompt fits, their completions cut to the limit (D2). ``rows``: ``prompt_tokens, completion_tokens``."""
     return rows.where(F.col("prompt_tokens") <= prompt).withColumn("completion_tokens", F.least("completion_tokens", F.lit(completion)))

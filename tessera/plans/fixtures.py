@@ -22,8 +22,8 @@ FIXTURES = {
         CAST(CASE WHEN o_orderkey % 5 = 2 THEN 2 + o_orderkey % 40 END AS DOUBLE) AS max_frames,
         CAST(CASE WHEN o_orderkey % 7 = 3 THEN 30000 END AS DOUBLE) AS max_pixels FROM orders""",
     "frame_pts": "SELECT video_id, s.n AS frame_no, s.n / video_fps AS pts FROM video_meta v @SERIES(total_frames)@",
-    "audio_meta": """SELECT doc_id AS audio_id, n_chars AS mel_len FROM documents UNION ALL SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT -2, 1
-        UNION ALL SELECT -3, 2 UNION ALL SELECT -4, 199 UNION ALL SELECT -5, 200 UNION ALL SELECT -6, 201""",
+    "audio_meta": """SELECT doc_id AS audio_id, n_chars AS mel_len, CASE WHEN doc_id % 29 = 0 THEN 2 ELSE 1 END AS channels FROM documents UNION ALL SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 1 UNION ALL SELECT -2, 1, 1
+        UNION ALL SELECT -3, 2, 1 UNION ALL SELECT -4, 199, 1 UNION ALL SELECT -5, 200, 1 UNION ALL SELECT -6, 201, 1""",
     "messages": f"""SELECT conv_id, turn, role, CASE WHEN role = 'system' THEN text ELSE
         '[{{"type":"text","text":"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), {_Q}, chr(92) || {_Q}), chr(10), chr(92) || 'n') || '"}}'
         || CASE WHEN turn % 3 = 0 THEN ',{{"type":"image"' || CASE
@@ -31,11 +31,12 @@ FIXTURES = {
             WHEN conv_id % 19 = 0 THEN ',"image":null'
             WHEN conv_id % 11 = 0 THEN ',"image_url":"' || uri || '"'
             WHEN conv_id % 13 = 0 THEN ',"image":"' || uri || '","image_url":"http://other/0.jpg"'
-            ELSE ',"image":"' || uri || '"' END || CASE WHEN turn % 2 = 1 THEN ',"resized_height":280,"resized_width":420' ELSE '' END || '}}' ELSE '' END
+            ELSE ',"image":"' || uri || '"' END || CASE WHEN turn % 2 = 1 THEN ',"resized_height":280,"resized_width":420' WHEN conv_id % 3 = 1 THEN ',"min_pixels":200704,"max_pixels":401408' ELSE '' END || '}}' ELSE '' END
+        || CASE WHEN conv_id % 4 = 1 AND turn % 2 = 1 THEN ',{{"type":"video","video":[' || CASE WHEN conv_id % 8 = 1 THEN '' ELSE '"/f/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg"' || CASE WHEN conv_id % 3 = 0 THEN ',"/f/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg"' ELSE '' END || CASE WHEN conv_id % 3 > 0 THEN ',"/f/' || CAST(({_MEDIA} + conv_id % 3 - 1) % ni AS VARCHAR(20)) || '.jpg"' ELSE '' END || ',"/f/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg"' END || ']' || CASE WHEN conv_id % 5 = 1 THEN ',"max_pixels":50176' WHEN conv_id % 5 = 2 THEN ',"resized_height":140,"resized_width":252' ELSE '' END || '}}' ELSE '' END
         || CASE WHEN conv_id % 5 = 0 AND turn % 2 = 0 THEN ',{{"type":"video","video":"file:///v/' || CAST(({_MEDIA}) % nv AS VARCHAR(20)) || '.mp4"' || CASE WHEN conv_id % 10 = 0 THEN ',"fps":1.0' ELSE '' END || '}}' ELSE '' END
         || CASE WHEN conv_id % 7 = 0 THEN ',{{"type":"audio","audio":"' || CASE WHEN turn % 2 = 0 THEN 'https://a/' ELSE '/a/' END || CAST(({_MEDIA}) % na AS VARCHAR(20)) || '.wav"}}' ELSE '' END
         || ']' END AS content
-        FROM (SELECT c.*, nv, na, CASE (conv_id + turn) % 6 WHEN 0 THEN 'http://i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg' WHEN 1 THEN 'https://i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg'
+        FROM (SELECT c.*, ni, nv, na, CASE (conv_id + turn) % 6 WHEN 0 THEN 'http://i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg' WHEN 1 THEN 'https://i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg'
             WHEN 2 THEN 'file:///i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg' WHEN 3 THEN 'data:image/png;base64,aW1nYmFz' WHEN 4 THEN '/i/' || CAST(({_MEDIA}) % ni AS VARCHAR(20)) || '.jpg' ELSE 'data:image/png,raw' END AS uri
             FROM conversations c CROSS JOIN (SELECT count(*) AS ni FROM part) i CROSS JOIN (SELECT count(*) AS nv FROM orders) v CROSS JOIN (SELECT count(*) AS na FROM documents) a) x""",
     "remote": "SELECT 'http://i/' || CAST(p_partkey AS VARCHAR(20)) || '.jpg' AS url, p_name AS payload FROM part WHERE p_partkey % 3 <> 0",
@@ -75,7 +76,7 @@ FIXTURES = {
         SELECT user_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
         CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 0 ELSE CAST(floor(value) AS BIGINT) % 60 END AS step FROM events) x""",
     "speakers": "SELECT n_name AS name, CAST(1000 + n_nationkey AS BIGINT) AS bos_token FROM nation",
-    "requests": "SELECT c_custkey AS req_id, CASE WHEN c_custkey % 50 = 0 THEN 'nobody' ELSE 'NATION_' || CAST(c_nationkey AS VARCHAR(10)) END AS speaker FROM customer",
+    "requests": "SELECT c_custkey AS req_id, CASE WHEN c_custkey % 50 = 0 THEN 'nobody' ELSE 'NATION_' || CAST(c_nationkey AS VARCHAR(10)) END AS speaker, c_custkey % 2 = 0 AS speech, 1 + c_custkey % 3 AS batch FROM customer",
     "codes": "SELECT l_orderkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS pos, l_partkey % 8192 AS code FROM lineitem",
     "series": "SELECT user_id AS item, @SECONDS(ts)@ AS ts, event_id, value FROM events",
     "rollouts": "SELECT user_id AS prompt, event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) % 8 AS BIGINT) AS g, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 8.0) AS BIGINT) AS grp, value AS k, value / 10 AS k_ratio, CAST(event_id % 7 AS DOUBLE) AS a, CAST(event_id % 3 AS DOUBLE) AS g_score FROM events",

@@ -32,8 +32,8 @@ def _count(fps: str, nframes: str, max_frames: str) -> tuple[str, str]:
 
 _EL = """el0 AS (SELECT conv_id, turn, from_json(content, '["JSON"]') AS l FROM messages WHERE starts_with(content, '[')),
 el AS (SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS elem_pos, l[i] AS e FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM el0) x),
-parts AS (SELECT conv_id, turn, elem_pos, e, json_keys(e) AS k, e->>'type' AS type, e->>'text' AS txt, e->>'image' AS image, e->>'image_url' AS image_url, e->>'video' AS video, e->>'audio' AS audio,
-    CAST(e->>'resized_height' AS BIGINT) AS rh, CAST(e->>'resized_width' AS BIGINT) AS rw, CAST(e->>'fps' AS DOUBLE) AS fps FROM el)"""
+parts AS (SELECT conv_id, turn, elem_pos, e, json_keys(e) AS k, e->>'type' AS type, e->>'text' AS txt, e->>'image' AS image, e->>'image_url' AS image_url, CASE WHEN json_type(e->'video') <> 'ARRAY' THEN e->>'video' END AS video, CASE WHEN json_type(e->'video') = 'ARRAY' THEN from_json(e->'video', '["VARCHAR"]') END AS frames, e->>'audio' AS audio,
+    CAST(e->>'resized_height' AS BIGINT) AS rh, CAST(e->>'resized_width' AS BIGINT) AS rw, CAST(e->>'min_pixels' AS BIGINT) AS lo, CAST(e->>'max_pixels' AS BIGINT) AS hi, CAST(e->>'fps' AS DOUBLE) AS fps FROM el)"""
 _VIS = f"""{_EL},
 vis0 AS (SELECT *, CASE WHEN list_contains(k, 'image') OR list_contains(k, 'image_url') THEN 'image' WHEN list_contains(k, 'video') THEN 'video' END AS modality FROM parts
     WHERE list_contains(k, 'image') OR list_contains(k, 'image_url') OR list_contains(k, 'video') OR type IN ('image', 'image_url', 'video')),
@@ -41,16 +41,35 @@ vis1 AS (SELECT *, CASE modality WHEN 'image' THEN CASE WHEN list_contains(k, 'i
 vis AS (SELECT *, CASE WHEN modality IS NULL THEN 'no_media_key' WHEN modality = 'image' AND starts_with(uri, 'data:image') AND NOT contains(uri, 'base64,') THEN 'image_unrecognised' END AS error,
     TRY_CAST(regexp_extract(uri, '([0-9]+)\\.[a-z0-9]+$', 1) AS BIGINT) AS media_id FROM vis1)"""
 _GIVEN = "(rh IS NOT NULL AND rw IS NOT NULL)"
-_IMG = _resize(f"(CASE WHEN {_GIVEN} THEN rh ELSE m.height END)", f"(CASE WHEN {_GIVEN} THEN rw ELSE m.width END)", "50176", "1254400")
+_H, _W = f"(CASE WHEN {_GIVEN} THEN rh ELSE m.height END)", f"(CASE WHEN {_GIVEN} THEN rw ELSE m.width END)"
+_IMG = _resize(_H, _W, f"(CASE WHEN {_GIVEN} THEN 50176 ELSE coalesce(lo, 50176) END)", f"(CASE WHEN {_GIVEN} THEN 1254400 ELSE coalesce(hi, 1254400) END)")
+_LIST = _resize(_H, _W, f"(CASE WHEN {_GIVEN} THEN 50176 ELSE coalesce(lo, 12544) END)", f"(CASE WHEN {_GIVEN} THEN 1254400 ELSE coalesce(hi, 100352) END)")
 _N, _NERR = _count("fps", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
 _VID = _resize("height", "width", "12544", "budget")
 _BUDGET = "least(coalesce(mp, greatest(least(100352.0, 90316800.0 / n * 2), 13171.0)), greatest(least(100352.0, 90316800.0 / n * 2), 13171.0))"
-_PLANNED = f"""{_VIS},
-imgs AS (SELECT vis.conv_id, vis.turn, vis.elem_pos, m.height, m.width, {_IMG['h']} AS h, {_IMG['w']} AS w, {_IMG['error']} AS error FROM vis JOIN image_meta m ON media_id = image_id WHERE modality = 'image' AND error IS NULL),
-vids0 AS (SELECT conv_id, turn, elem_pos, v.height, v.width, v.total_frames, v.video_fps, vis.fps, CAST(NULL AS DOUBLE) AS mp FROM vis JOIN video_meta v ON media_id = video_id WHERE modality = 'video' AND error IS NULL),
+_ATOK = "CAST(floor((floor((mel_len - 1) / 2.0) - 1) / 2.0) + 1 AS BIGINT)"
+_FRAMES = f"""lf0 AS (SELECT conv_id, turn, elem_pos, rh, rw, lo, hi, frames, unnest(range(1, len(frames) + 1)) AS i FROM vis WHERE modality = 'video' AND frames IS NOT NULL),
+lf1 AS (SELECT conv_id, turn, elem_pos, i, TRY_CAST(regexp_extract(frames[i], '([0-9]+)\\.[a-z0-9]+$', 1) AS BIGINT) AS image_id, rh, rw, lo, hi FROM lf0),
+lf AS (SELECT lf1.*, m.height, m.width, {_LIST['h']} AS h, {_LIST['w']} AS w, {_LIST['error']} AS error FROM lf1 LEFT JOIN image_meta m ON m.image_id = lf1.image_id),
+lists_ AS (SELECT conv_id, turn, elem_pos, CAST(ceil(count(*) / 2.0) * 2 AS BIGINT) AS n, string_agg(CAST(image_id AS VARCHAR), ',' ORDER BY i) || CASE WHEN count(*) % 2 = 1 THEN ',' || CAST(arg_max(image_id, i) AS VARCHAR) ELSE '' END AS shown, first(h ORDER BY i) AS h, first(w ORDER BY i) AS w, first(height ORDER BY i) AS height, first(width ORDER BY i) AS width,
+    coalesce((list(error ORDER BY i) FILTER (WHERE error IS NOT NULL))[1], CASE WHEN count(DISTINCT (coalesce(h, -1), coalesce(w, -1))) > 1 THEN 'frame_sizes_differ' END) AS error FROM lf GROUP BY ALL
+    UNION ALL SELECT conv_id, turn, elem_pos, 0, '', NULL, NULL, NULL, NULL, 'frame_sizes_differ' FROM vis WHERE modality = 'video' AND len(frames) = 0)"""
+_PLANNED = f"""{_VIS}, {_FRAMES},
+imgs AS (SELECT vis.conv_id, vis.turn, vis.elem_pos, m.height, m.width, {_IMG['h']} AS h, {_IMG['w']} AS w, coalesce(vis.error, CASE WHEN m.image_id IS NULL THEN 'not_in_catalog' END, {_IMG['error']}) AS error FROM vis LEFT JOIN image_meta m ON media_id = image_id WHERE modality = 'image'),
+vids0 AS (SELECT conv_id, turn, elem_pos, v.height, v.width, v.total_frames, v.video_fps, vis.fps, CAST(NULL AS DOUBLE) AS mp FROM vis LEFT JOIN video_meta v ON media_id = video_id WHERE modality = 'video' AND frames IS NULL),
 vids1 AS (SELECT *, {_NERR} AS nerr, CASE WHEN ({_NERR}) IS NULL THEN {_N} END AS n FROM vids0),
 vids2 AS (SELECT *, {_BUDGET} AS budget FROM vids1),
-vids AS (SELECT *, CASE WHEN n IS NOT NULL THEN {_VID['h']} END AS h, CASE WHEN n IS NOT NULL THEN {_VID['w']} END AS w, coalesce(nerr, {_VID['error']}) AS error FROM vids2)"""
+vids AS (SELECT *, CASE WHEN n IS NOT NULL THEN {_VID['h']} END AS h, CASE WHEN n IS NOT NULL THEN {_VID['w']} END AS w, coalesce(CASE WHEN total_frames IS NULL THEN 'not_in_catalog' END, nerr, {_VID['error']}) AS error FROM vids2),
+auds AS (SELECT p.conv_id, p.turn, p.elem_pos, mel_len, CASE WHEN NOT list_contains(k, 'audio') THEN 'audio_unknown' WHEN m.audio_id IS NULL THEN 'not_in_catalog' WHEN channels > 1 THEN 'audio_not_mono' END AS error FROM parts p LEFT JOIN audio_meta m ON TRY_CAST(regexp_extract(audio, '([0-9]+)\\.[a-z0-9]+$', 1) AS BIGINT) = audio_id WHERE type = 'audio'),
+pe0 AS (SELECT conv_id, turn, elem_pos, 'text' AS role, 'text' AS modality, CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS sample_fps, CAST(NULL AS BIGINT) AS h, CAST(NULL AS BIGINT) AS w, CAST(NULL AS BIGINT) AS height, CAST(NULL AS BIGINT) AS width, CAST(ceil(length(txt) / 4.0) AS BIGINT) AS tokens, CAST(NULL AS VARCHAR) AS error FROM parts WHERE type = 'text'
+    UNION ALL SELECT conv_id, turn, 0, 'text', 'text', NULL, NULL, NULL, NULL, NULL, NULL, CAST(ceil(length(content) / 4.0) AS BIGINT), NULL FROM messages WHERE NOT starts_with(content, '[')
+    UNION ALL SELECT conv_id, turn, elem_pos, 'vision', 'image', NULL, NULL, h, w, height, width, CAST(floor(1 * floor(h / 14.0) * floor(w / 14.0) / 4.0) AS BIGINT), error FROM imgs
+    UNION ALL SELECT conv_id, turn, elem_pos, 'vision', 'video', n, n / greatest(CAST(total_frames AS DOUBLE), 1e-6) * video_fps, h, w, height, width, CAST(floor(ceil(n / 2.0) * floor(h / 14.0) * floor(w / 14.0) / 4.0) AS BIGINT), error FROM vids
+    UNION ALL SELECT conv_id, turn, elem_pos, 'vision', 'video', n, 2.0, h, w, height, width, CAST(floor(ceil(n / 2.0) * floor(h / 14.0) * floor(w / 14.0) / 4.0) AS BIGINT), error FROM lists_
+    UNION ALL SELECT conv_id, turn, elem_pos, 'vision', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, error FROM vis WHERE modality IS NULL
+    UNION ALL SELECT conv_id, turn, elem_pos, 'audio', 'audio', NULL, NULL, NULL, NULL, NULL, NULL, {_ATOK}, error FROM auds
+    UNION ALL SELECT conv_id, turn, elem_pos, 'track', 'audio', NULL, NULL, NULL, NULL, v.height, v.width, NULL, CASE WHEN NOT list_contains(k, 'video') THEN 'video_unknown' WHEN NOT coalesce(v.has_audio, false) THEN 'no_audio_track' END FROM parts LEFT JOIN video_meta v ON TRY_CAST(regexp_extract(video, '([0-9]+)\\.[a-z0-9]+$', 1) AS BIGINT) = v.video_id WHERE type = 'video'),
+pe AS (SELECT * REPLACE (CASE WHEN error IS NULL THEN tokens END AS tokens) FROM pe0)"""
 _AUD = """aref AS (SELECT conv_id, turn, elem_pos, type AS source, CASE WHEN type = 'audio' THEN audio ELSE video END AS uri, k FROM parts WHERE type IN ('audio', 'video')),
 arefs AS (SELECT a.*, CASE WHEN source = 'audio' AND NOT list_contains(k, 'audio') THEN 'audio_unknown' WHEN source = 'video' AND NOT list_contains(k, 'video') THEN 'video_unknown' WHEN source = 'video' AND NOT coalesce(v.has_audio, false) THEN 'no_audio_track' END AS error
     FROM aref a LEFT JOIN video_meta v ON a.uri = 'file:///v/' || CAST(v.video_id AS VARCHAR) || '.mp4')"""
@@ -61,7 +80,6 @@ vm AS (SELECT *, CASE WHEN n IS NOT NULL THEN {_VID['h']} END AS h, CASE WHEN n
 _IM = _resize("height", "width", "50176", "1254400")
 _FR = _resize("m.height", "m.width", "12544", "100352")
 _ALEN = "CAST(floor((mel_len - 1) / 2.0) + 1 AS BIGINT)"
-_ATOK = "CAST(floor((floor((mel_len - 1) / 2.0) - 1) / 2.0) + 1 AS BIGINT)"
 _CHUNKS = "ch AS (SELECT audio_id, c AS chunk, least(200, mel_len - c * 200) AS len FROM audio_meta CROSS JOIN LATERAL unnest(range(0, CAST(ceil(mel_len / 200.0) AS BIGINT))) AS u(c))"
 _GRIDS = "gr AS (SELECT sample_id * 1000 + seg_no AS media_id, grid_t, grid_h, grid_w FROM segments WHERE kind IN ('image', 'video'))"
 _TILES = """cells AS (SELECT media_id, c AS cell, c // ((grid_h // 2) * (grid_w // 2)) AS t, (c % ((grid_h // 2) * (grid_w // 2))) // (grid_w // 2) AS y, c % (grid_w // 2) AS x FROM gr CROSS JOIN LATERAL unnest(range(0, grid_t * (grid_h // 2) * (grid_w // 2))) AS u(c)),
@@ -143,9 +161,11 @@ _BODIES = {
     "media_by_modality": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, modality, error FROM vis",
     "masked_features": "SELECT sample_id, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id FROM tokens WHERE mask = 1",
     "right_padding_check": "SELECT sample_id, mask = 0 AS right_padded FROM tokens QUALIFY pos = max(pos) OVER (PARTITION BY sample_id)",
-    "quarantine_counts": f"""WITH {_PLANNED}, {_AUD}, {_LISTS}, {_COUNTS} SELECT error, count(*) AS n FROM (SELECT error FROM vis UNION ALL SELECT error FROM arefs UNION ALL SELECT error FROM imgs UNION ALL SELECT error FROM vids
+    "quarantine_counts": f"""WITH {_PLANNED}, {_LISTS}, {_COUNTS} SELECT error, count(*) AS n FROM (SELECT error FROM pe
         UNION ALL SELECT CASE WHEN mask = 0 THEN 'right_padding' END FROM (SELECT mask FROM tokens QUALIFY pos = max(pos) OVER (PARTITION BY sample_id)) p
         UNION ALL SELECT error FROM lists UNION ALL SELECT error FROM mcount
+        UNION ALL SELECT 'audio_len_mismatch' FROM (SELECT sample_id, count(*) AS n FROM ids WHERE token_id = 90005 GROUP BY sample_id) a JOIN (SELECT sample_id, sum({_ATOK}) AS n FROM id_audios GROUP BY sample_id) b USING (sample_id) WHERE a.n <> b.n
+        UNION ALL SELECT 'batch_audio' FROM requests WHERE speech AND batch > 1
         UNION ALL SELECT 'unknown_speaker' FROM requests WHERE speaker NOT IN (SELECT name FROM speakers)) x WHERE error IS NOT NULL GROUP BY error""",
     "image_resize_plan": f"SELECT image_id, {_IM['h']} AS h, {_IM['w']} AS w, {_IM['error']} AS error FROM image_meta",
     "video_frame_count": f"WITH {_VM} SELECT video_id, n, n / greatest(CAST(total_frames AS DOUBLE), 1e-6) * video_fps AS sample_fps FROM vm",
@@ -157,19 +177,15 @@ _BODIES = {
         first(h ORDER BY frame_no) AS h, first(w ORDER BY frame_no) AS w, CAST(2.0 AS DOUBLE) AS fps, coalesce((list(error ORDER BY frame_no) FILTER (WHERE error IS NOT NULL))[1], CASE WHEN count(DISTINCT (coalesce(h, -1), coalesce(w, -1))) > 1 THEN 'frame_sizes_differ' END) AS error FROM fr GROUP BY video_id""",
     "vision_token_counts": f"WITH {_VM} SELECT video_id, CAST(floor(ceil(n / 2.0) * floor(h / 14.0) * floor(w / 14.0) / 4.0) AS BIGINT) AS tokens FROM vm WHERE error IS NULL",
     "audio_token_counts": f"SELECT audio_id, {_ALEN} AS frames, {_ATOK} AS tokens FROM audio_meta",
-    "token_budget": f"""WITH {_PLANNED}, {_AUD}, tok AS (
-        SELECT conv_id, 't' AS m, CAST(ceil(length(txt) / 4.0) AS BIGINT) AS n FROM parts WHERE type = 'text'
-        UNION ALL SELECT conv_id, 't', CAST(ceil(length(content) / 4.0) AS BIGINT) FROM messages WHERE NOT starts_with(content, '[')
-        UNION ALL SELECT conv_id, 'i', CAST(floor(1 * floor(h / 14.0) * floor(w / 14.0) / 4.0) AS BIGINT) FROM imgs WHERE error IS NULL
-        UNION ALL SELECT conv_id, 'v', CAST(floor(ceil(n / 2.0) * floor(h / 14.0) * floor(w / 14.0) / 4.0) AS BIGINT) FROM vids WHERE error IS NULL
-        UNION ALL SELECT conv_id, 'a', {_ATOK} FROM arefs JOIN audio_meta ON TRY_CAST(regexp_extract(uri, '([0-9]+)\\.[a-z0-9]+$', 1) AS BIGINT) = audio_id WHERE source = 'audio' AND error IS NULL),
-        s AS (SELECT conv_id, CAST(coalesce(sum(n) FILTER (WHERE m = 't'), 0) AS BIGINT) AS text_tokens, CAST(coalesce(sum(n) FILTER (WHERE m = 'i'), 0) AS BIGINT) AS image_tokens, CAST(coalesce(sum(n) FILTER (WHERE m = 'v'), 0) AS BIGINT) AS video_tokens, CAST(coalesce(sum(n) FILTER (WHERE m = 'a'), 0) AS BIGINT) AS audio_tokens FROM tok GROUP BY conv_id)
+    "token_budget": f"""WITH {_PLANNED}, s AS (SELECT conv_id, {', '.join(f"CAST(coalesce(sum(tokens) FILTER (WHERE modality = '{m}'), 0) AS BIGINT) AS {m}_tokens" for m in ('text', 'image', 'video', 'audio'))} FROM pe WHERE error IS NULL AND role <> 'track' GROUP BY conv_id)
         SELECT *, text_tokens + image_tokens + video_tokens + audio_tokens AS total_tokens, text_tokens + image_tokens + video_tokens + audio_tokens <= 4096 AS fits FROM s""",
-    "vision_flat": f"""WITH {_PLANNED}, al AS (SELECT conv_id, turn, elem_pos, 'image' AS modality, height, width, h, w, CAST(NULL AS DOUBLE) AS sample_fps FROM imgs WHERE error IS NULL UNION ALL SELECT conv_id, turn, elem_pos, 'video', height, width, h, w, n / greatest(CAST(total_frames AS DOUBLE), 1e-6) * video_fps FROM vids WHERE error IS NULL)
+    "planned_elements": f"WITH {_PLANNED} SELECT * EXCLUDE (sample_fps) FROM pe",
+    "frame_lists_of_messages": f"WITH {_VIS}, {_FRAMES} SELECT conv_id, turn, elem_pos, n, shown AS frames, h, w, CAST(2.0 AS DOUBLE) AS fps, error FROM lists_",
+    "vision_flat": f"""WITH {_PLANNED}, al AS (SELECT * FROM pe WHERE error IS NULL AND role = 'vision')
         SELECT conv_id, modality, row_number() OVER (PARTITION BY conv_id, modality ORDER BY turn, elem_pos) - 1 AS idx, count(*) OVER (PARTITION BY conv_id, modality) AS n, h, w, height, width, sample_fps FROM al""",
-    "vision_result": f"""WITH {_PLANNED}, al AS (SELECT conv_id, turn, elem_pos, 'image' AS m, height, width, h, w, n FROM (SELECT *, CAST(NULL AS BIGINT) AS n FROM imgs) i WHERE error IS NULL UNION ALL SELECT conv_id, turn, elem_pos, 'video', height, width, h, w, n FROM vids WHERE error IS NULL)
-        SELECT conv_id, string_agg(h || 'x' || w, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'image') AS img_resized_hw, string_agg(height || 'x' || width, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'image') AS img_ori_hw,
-        string_agg(h || 'x' || w, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'video') AS video_resized_hw, string_agg(height || 'x' || width, ',' ORDER BY turn, elem_pos) FILTER (WHERE m = 'video') AS video_ori_hw, count(*) FILTER (WHERE m = 'video') AS n_fps FROM al GROUP BY conv_id""",
+    "vision_result": f"""WITH {_PLANNED}, al AS (SELECT * FROM pe WHERE error IS NULL AND role = 'vision')
+        SELECT conv_id, {', '.join(f"string_agg({a} || 'x' || {b}, ',' ORDER BY turn, elem_pos) FILTER (WHERE modality = '{m}') AS {n}" for m, n, a, b in (('image', 'img_resized_hw', 'h', 'w'), ('image', 'img_ori_hw', 'height', 'width'), ('video', 'video_resized_hw', 'h', 'w'), ('video', 'video_ori_hw', 'height', 'width')))},
+        string_agg(CAST(CAST(round(sample_fps * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY turn, elem_pos) FILTER (WHERE modality = 'video') AS milli_fps FROM al GROUP BY conv_id""",
     "audio_chunks": f"WITH {_CHUNKS} SELECT audio_id, chunk, len, CAST(floor((len - 1) / 2.0) + 1 AS BIGINT) AS half FROM ch",
     "chunk_offsets": f"WITH {_CHUNKS}, hv AS (SELECT *, CAST(floor((len - 1) / 2.0) + 1 AS BIGINT) AS half FROM ch) SELECT audio_id, chunk, CAST(sum(half) OVER w - half AS BIGINT) AS start, CAST(sum(half) OVER w AS BIGINT) AS stop FROM hv WINDOW w AS (PARTITION BY audio_id ORDER BY chunk)",
     "frame_offsets": f"WITH {_GRIDS} SELECT media_id, f AS frame, f * grid_h * grid_w AS start, (f + 1) * grid_h * grid_w AS stop FROM gr CROSS JOIN LATERAL unnest(range(0, grid_t)) AS u(f)",
@@ -195,12 +211,21 @@ _BODIES = {
         SELECT r.sample_id, pos, token_id, modality, k0 AS k, v.vec_id, coalesce(v.x0, o.x0) AS x, CASE WHEN v.vec_id IS NOT NULL THEN 0.0::DOUBLE ELSE o.x0 END AS x_text FROM r JOIN v o ON o.vec_id = r.token_id % (SELECT count(*) FROM embeddings) LEFT JOIN v ON v.vec_id = (r.sample_id * 13 + k0) % (SELECT count(*) FROM embeddings) AND k0 < CASE WHEN modality = 'audio' THEN 40 ELSE 70 END""",
     "speaker_lookup": "SELECT req_id, speaker, bos_token FROM requests JOIN speakers ON name = speaker",
     "unknown_speakers": "SELECT req_id, speaker FROM requests WHERE speaker NOT IN (SELECT name FROM speakers)",
-    "segment_lookup": f"WITH {_STARTS}, e AS (SELECT sample_id, seg_no, start, lead(start) OVER (PARTITION BY sample_id ORDER BY seg_no) AS stop FROM st) SELECT t.sample_id, CAST(t.pos AS BIGINT) AS pos, e.seg_no FROM tokens t JOIN e ON e.sample_id = t.sample_id AND t.pos >= e.start AND (e.stop IS NULL OR t.pos < e.stop)",
+    "segment_lookup": f"""WITH {_STARTS}, e AS (SELECT sample_id, seg_no, start, lead(start) OVER (PARTITION BY sample_id ORDER BY seg_no) AS stop FROM st),
+        pt AS (SELECT DISTINCT sample_id, start + CASE WHEN kind IN ('image', 'video') THEN CAST(trunc((i // ((grid_h // 2) * (grid_w // 2))) * sec * 25) AS BIGINT) ELSE i END AS pos FROM st CROSS JOIN LATERAL unnest(range(0, len)) AS u(i))
+        SELECT t.sample_id, t.pos, e.seg_no FROM pt t JOIN e ON e.sample_id = t.sample_id AND t.pos >= e.start AND (e.stop IS NULL OR t.pos < e.stop)""",
     "block_band_join": "SELECT a.item, CAST(a.pos AS BIGINT) AS pos_a, CAST(b.pos AS BIGINT) AS pos_b FROM codes a JOIN codes b ON a.item = b.item AND a.pos // 2 - b.pos // 2 BETWEEN 0 AND 1",
-    "stream_positions": "WITH c AS (SELECT user_id AS conv, event_id AS batch, 1 + CAST(floor(value) AS BIGINT) % 20 AS len FROM events), d AS (SELECT *, sum(len) OVER (PARTITION BY conv ORDER BY batch) - len AS seen FROM c) SELECT conv, batch, i, CAST(seen - conv % 5 + i AS BIGINT) AS position FROM d CROSS JOIN LATERAL unnest(range(0, len)) AS u(i)",
-    "stream_reply_zip": "WITH s AS (SELECT user_id AS conv, event_id AS batch, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step FROM events) SELECT conv, batch, step, least(step, 4 + conv % 7) AS idx FROM s",
-    "stream_media_plan": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, modality, uri, error FROM vis",
+    "stream_positions": "WITH c AS (SELECT user_id AS conv, event_id AS batch, 1 + CAST(floor(value) AS BIGINT) % 20 AS len FROM events), d AS (SELECT *, sum(len) OVER w - len AS seen, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY conv ORDER BY batch)) SELECT conv, batch, i, CAST(seen - conv % 5 + i AS BIGINT) AS position, CASE WHEN k = 1 THEN 'm' || batch END AS media FROM d CROSS JOIN LATERAL unnest(range(0, len)) AS u(i)",
+    "stream_reply_zip": "WITH s AS (SELECT user_id AS conv, event_id AS batch, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT a.conv, a.batch, a.step, b.batch * 10 AS reply FROM s a JOIN s b ON b.conv = a.conv AND b.step = least(a.step, a.n - 1, 4 + a.conv % 7)",
+    "stream_token_budget": f"""WITH {_PLANNED}, s AS (SELECT conv_id, {', '.join(f"CAST(coalesce(sum(tokens) FILTER (WHERE modality = '{m}'), 0) AS BIGINT) AS {m}_tokens" for m in ('text', 'image', 'video', 'audio'))} FROM pe WHERE error IS NULL AND role <> 'track' GROUP BY conv_id)
+        SELECT *, text_tokens + image_tokens + video_tokens + audio_tokens AS total_tokens, text_tokens + image_tokens + video_tokens + audio_tokens <= 4096 AS fits FROM s""",
+    "stream_media_plan": f"WITH {_PLANNED} SELECT * EXCLUDE (sample_fps) FROM pe",
     "batch_inference": f"WITH {_IDS} SELECT item AS sample_id, CAST(list_sum(ids) % 1000 + 5 AS VARCHAR) || CASE WHEN len(ids) = 1 THEN '' ELSE ',' || CAST(len(ids) + 3 AS VARCHAR) END AS completion FROM il",
+    "interval_lookup": "WITH p AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS pos FROM tokens WHERE mask = 1), o AS (SELECT *, CAST(sum(len) OVER (PARTITION BY sample_id ORDER BY seg_no) AS BIGINT) - len AS off FROM segments), e AS (SELECT sample_id, seg_no, off - 3 AS start, off + len + 3 AS stop FROM o WHERE kind IN ('image', 'video', 'audio')) SELECT p.sample_id, pos, start, stop, seg_no FROM p LEFT JOIN e ON e.sample_id = p.sample_id AND pos >= start AND pos < stop",
+    "conversation_inference": f"""WITH {_PLANNED}, tx AS (SELECT conv_id, turn, elem_pos, length(txt) AS chars FROM parts UNION ALL SELECT conv_id, turn, 0, length(content) FROM messages WHERE NOT starts_with(content, '[')),
+        pr AS (SELECT conv_id, tokens, CASE role WHEN 'text' THEN list_sum(list_transform(range(1, tokens + 1), lambda i: (chars * 31 + i) % 50000)) ELSE tokens * CASE modality WHEN 'image' THEN 90003 WHEN 'video' THEN 90004 ELSE 90005 END END AS total FROM pe JOIN tx USING (conv_id, turn, elem_pos) WHERE error IS NULL AND role <> 'track' AND tokens > 0),
+        sm AS (SELECT conv_id, CAST(sum(total) AS BIGINT) AS total, CAST(sum(tokens) AS BIGINT) AS n FROM pr GROUP BY conv_id)
+        SELECT conv_id AS sample_id, CAST(total % 1000 + 5 AS VARCHAR) || CASE WHEN n = 1 THEN '' ELSE ',' || CAST(n + 3 AS VARCHAR) END AS completion FROM sm""",
     "clamped_zip": "WITH r AS (SELECT conv, batch, event_id FROM steps WHERE batch < 5 + conv % 7), n AS (SELECT conv, count(*) AS n FROM r GROUP BY conv) SELECT s.conv, CAST(s.batch AS BIGINT) AS step, CAST(r.batch AS BIGINT) AS idx, r.event_id AS reply FROM steps s JOIN n ON n.conv = s.conv JOIN r ON r.conv = s.conv AND r.batch = least(s.batch, n.n - 1)",
     "valid_lengths": "SELECT sample_id, CAST(sum(mask) AS BIGINT) AS length FROM tokens GROUP BY sample_id",
     "pair_pooling": f"WITH {_FEAT} SELECT a.item, CAST(a.pos // 2 AS BIGINT) AS pair, a.dim, round((a.x + b.x) / 2, 6) AS value FROM fl a JOIN fl b ON a.item = b.item AND a.dim = b.dim AND a.pos % 2 = 0 AND b.pos = a.pos + 1",

@@ -112,33 +112,30 @@ def right_padding_check(spark, sf):
     return layout.right_padding(table(spark, sf, "tokens"))
 
 
-def _images(spark, sf):
-    rows = _vision(spark, sf).where("modality = 'image' AND error IS NULL").withColumn("image_id", C.media_id(F.col("uri")))
-    return media.plan_images(rows.drop("error").join(table(spark, sf, "image_meta"), "image_id"))
+def _catalog(spark, sf):
+    return media.catalog(*(table(spark, sf, f"{kind}_meta") for kind in ("image", "video", "audio")))
 
 
-def _videos(spark, sf):
-    rows = _vision(spark, sf).where("modality = 'video' AND error IS NULL").withColumn("video_id", C.media_id(F.col("uri")))
-    meta = table(spark, sf, "video_meta").select("video_id", "total_frames", "video_fps", "height", "width")
-    return media.plan_videos(rows.drop("error").join(meta, "video_id"))
+def _planned(spark, sf):
+    return media.plan_elements(table(spark, sf, "messages"), _catalog(spark, sf))
 
 
-def _audios(spark, sf):
-    rows = C.audio_elements(_elements(spark, sf)).where("error IS NULL").withColumn("audio_id", C.media_id(F.col("uri")))
-    return rows.join(table(spark, sf, "audio_meta"), "audio_id").withColumn("tokens", E.audio_lengths(F.col("mel_len"))["tokens"])
+def _heard(spark, sf):
+    """The feature rows that each sample's audios give."""
+    tokens = E.audio_lengths(F.col("mel_len"))["tokens"]
+    return table(spark, sf, "id_audios").select("sample_id", F.lit("audio").alias("modality"), F.explode(F.sequence(F.lit(1).cast("long"), tokens)).alias("k"))
 
 
 @query
 def quarantine_counts(spark, sf):
     found = [
-        _vision(spark, sf).select("error"),
-        C.audio_refs(_elements(spark, sf), _video_audio(spark, sf)).select("error"),
-        _images(spark, sf).select("error"),
-        _videos(spark, sf).select("error"),
+        _planned(spark, sf).select("error"),
         layout.right_padding(table(spark, sf, "tokens")).select(F.when(F.col("right_padded"), "right_padding").alias("error")),
         joins.unknown_speakers(table(spark, sf, "requests"), table(spark, sf, "speakers")).select(F.lit("unknown_speaker").alias("error")),
         media.plan_frame_lists(table(spark, sf, "frame_lists"), table(spark, sf, "image_meta")).select("error"),
         layout.media_counts(_marked_tokens(spark, sf)).select("error"),
+        joins.length_mismatch(table(spark, sf, "ids"), _heard(spark, sf), 90005, "audio").select(F.lit("audio_len_mismatch").alias("error")),
+        mix.request_errors(table(spark, sf, "requests")).select("error"),
     ]
     rows = found[0]
     for more in found[1:]:
@@ -199,19 +196,21 @@ def audio_token_counts(spark, sf):
 
 @query
 def token_budget(spark, sf):
-    messages = table(spark, sf, "messages")
-    cost = lambda c: F.ceil(F.length(c) / 4.0).cast("long").alias("tokens")
-    plain = messages.where(~F.col("content").startswith("[")).select("conv_id", cost("content"))
-    text = _elements(spark, sf).where("type = 'text'").select("conv_id", cost("text")).unionByName(plain)
-    images = _images(spark, sf).where("error IS NULL").select("conv_id", "modality", media.planned_tokens(F.lit(1), F.col("h"), F.col("w")).alias("tokens"))
-    videos = _videos(spark, sf).where("error IS NULL").select("conv_id", "modality", media.planned_tokens(F.col("n"), F.col("h"), F.col("w")).alias("tokens"))
-    return media.token_budget(text, images.unionByName(videos), _audios(spark, sf), 4096)
+    return media.token_budget(_planned(spark, sf), 4096)
 
 
-def _planned(spark, sf):
-    keep = ["conv_id", "turn", "elem_pos", "modality", "height", "width", "h", "w"]
-    images = _images(spark, sf).where("error IS NULL").select(*keep, F.lit(None).cast("double").alias("sample_fps"))
-    return images.unionByName(_videos(spark, sf).where("error IS NULL").select(*keep, "sample_fps"))
+@query
+def frame_lists_of_messages(spark, sf):
+    """Videos that messages give as lists of frames, with the settings of their elements."""
+    rows = _vision(spark, sf).where("frames IS NOT NULL").drop("error").select("*", F.posexplode_outer("frames").alias("frame_no", "frame"))
+    rows = rows.withColumn("image_id", C.media_id(F.col("frame")))
+    listed = media.plan_frame_lists(rows, table(spark, sf, "image_meta"), ["conv_id", "turn", "elem_pos"])
+    return listed.select("conv_id", "turn", "elem_pos", "n", F.array_join("frames", ",").alias("frames"), "h", "w", "fps", "error")
+
+
+@query
+def planned_elements(spark, sf):
+    return _planned(spark, sf).drop("sample_fps")
 
 
 @query
@@ -222,7 +221,10 @@ def vision_flat(spark, sf):
 @query
 def vision_result(spark, sf):
     rows = media.vision_result(_planned(spark, sf))
-    return rows.withColumn("n_fps", F.coalesce(F.size(F.split("fps", ",")), F.lit(0)).cast("long")).drop("fps")
+    sizes = lambda c, h, w: F.array_join(F.transform(c, lambda x: F.format_string("%dx%d", x[h], x[w])), ",")
+    shown = {f"{short}_{name}_hw": sizes(c, *of) for short, c in (("img", "images"), ("video", "videos")) for name, of in (("resized", ("h", "w")), ("ori", ("height", "width")))}
+    rates = F.array_join(F.transform("videos", lambda x: F.round(x["fps"] * 1000).cast("long")), ",")
+    return rows.select("conv_id", *[v.alias(k) for k, v in shown.items()], rates.alias("milli_fps"))
 
 
 @query
@@ -349,9 +351,20 @@ def unknown_speakers(spark, sf):
 
 @query
 def segment_lookup(spark, sf):
+    """Positions of all tokens in the segments that begin before them, both in rope positions."""
     starts = layout.segment_starts(table(spark, sf, "segments")).select("sample_id", "start", "seg_no")
-    points = table(spark, sf, "tokens").select("sample_id", F.col("pos").cast("long").alias("pos"))
-    return joins.segment_lookup(points, starts)
+    points = layout.positions_multimodal(table(spark, sf, "segments")).select("sample_id", "idx", F.col("t").alias("pos")).distinct()
+    return joins.segment_lookup(points.select("sample_id", "pos").distinct(), starts)
+
+
+@query
+def interval_lookup(spark, sf):
+    """Unpadded rows in the media around them, three rows more on either side, so these overlap and leave gaps."""
+    order = Window.partitionBy("sample_id").orderBy("pos")
+    points = table(spark, sf, "tokens").where("mask = 1").select("sample_id", (F.row_number().over(order) - 1).cast("long").alias("pos"))
+    offset = F.sum("len").over(Window.partitionBy("sample_id").orderBy("seg_no")) - F.col("len")
+    held = table(spark, sf, "segments").withColumn("offset", offset).where("kind IN ('image', 'video', 'audio')")
+    return joins.interval_lookup(points, held.select("sample_id", (F.col("offset") - 3).alias("start"), (F.col("offset") + F.col("len") + 3).alias("stop"), F.col("seg_no").cast("long").alias("seg_no")))
 
 
 @query
@@ -524,20 +537,27 @@ def _folder(spark: SparkSession, name: str) -> str:
 SLICES = 3
 
 
-def _slices(spark, sf, processor) -> DataFrame:
+def _slices(spark, sf, processor, replies: bool = False) -> DataFrame:
     """Events in SLICES runs by id, each a micro-batch of its own; what a processor keeps is carried from run to run."""
     rows = table(spark, sf, "events")
-    rows = rows.select(F.col("user_id").alias("conv"), F.col("event_id").alias("batch"), (1 + F.floor("value") % 20).cast("long").alias("len"), (5 + F.col("user_id") % 7).cast("long").alias("n_replies"), (-(F.col("user_id") % 5)).cast("long").alias("delta"))
-    low, high = rows.agg(F.min("batch"), F.max("batch")).first()
+    low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    at = F.floor((F.col("event_id") - F.lit(low)) * SLICES / F.lit((high or 0) - (low or 0) + 1))
+    none = _none(reply="long", final="boolean")
+    steps = rows.select(F.col("user_id").alias("conv"), F.col("event_id").alias("batch"), (1 + F.floor("value") % 20).cast("long").alias("len"), (-(F.col("user_id") % 5)).cast("long").alias("delta"), F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("media"), *[v.alias(k) for k, v in none.items()], at.alias("at"))
+    # the replies of a conversation, by the rows of its first events, some of them a run later than their steps
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    come = F.least(at + F.col("user_id") % 2, F.lit(SLICES - 1))
+    told = rows.withColumn("k", k).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id"))).where("k < 5 + user_id % 7")
+    told = told.select(F.col("user_id").alias("conv"), F.col("event_id").alias("batch"), *[v.alias(c) for c, v in _none(len="long", delta="long", media="string").items()], (F.col("event_id") * 10).alias("reply"), (F.col("k") == F.least(F.col("n") - 1, 4 + F.col("user_id") % 7)).alias("final"), come.alias("at"))
+    rows = steps.unionByName(told) if replies else steps
     out = _folder(spark, "stream")
     name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = spark.conf.get(name)
     spark.conf.set(name, provider)
     try:
         for k in range(SLICES):
-            at = F.floor((F.col("batch") - F.lit(low)) * SLICES / F.lit((high or 0) - (low or 0) + 1))
-            rows.where(at == k).write.mode("append").parquet(f"{out}/in")
-            stream = spark.readStream.schema(rows.schema).parquet(f"{out}/in")
+            rows.where(F.col("at") == k).drop("at").write.mode("append").parquet(f"{out}/in")
+            stream = spark.readStream.schema(rows.drop("at").schema).parquet(f"{out}/in")
             state.run_available(processor(stream), f"{out}/data", f"{out}/state")
     finally:
         spark.conf.set(name, before)
@@ -551,25 +571,51 @@ def stream_positions(spark, sf):
 
 @query
 def stream_reply_zip(spark, sf):
-    return _slices(spark, sf, state.stream_reply_zip)
+    return _slices(spark, sf, state.stream_reply_zip, replies=True)
 
 
-@query
-def stream_media_plan(spark, sf):
+def _planned_stream(spark, sf) -> DataFrame:
+    """Messages as a stream of files, each micro-batch planned with the static catalogs into its own folder."""
     out = _folder(spark, "stream")
-    table(spark, sf, "messages").write.parquet(f"{out}/in")
-    messages = spark.readStream.schema(table(spark, sf, "messages").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    state.plan_stream(messages, lambda m: C.vision_elements(C.elements(m)).select("conv_id", "turn", "elem_pos", "modality", "uri", "error"), f"{out}/data", f"{out}/state")
+    messages = table(spark, sf, "messages")
+    messages.write.parquet(f"{out}/in")
+    stream = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    catalogs = _catalog(spark, sf)
+    state.plan_stream(stream, lambda m: media.plan_elements(m, catalogs), f"{out}/data", f"{out}/state")
     return spark.read.parquet(f"{out}/data").drop("epoch")
 
 
+@query
+def stream_media_plan(spark, sf):
+    return _planned_stream(spark, sf).drop("sample_fps")
+
+
+@query
+def stream_token_budget(spark, sf):
+    """Budgets over all epochs: those of :func:`token_budget`, however the stream was cut."""
+    return media.token_budget(_planned_stream(spark, sf), 4096)
+
+
 def echo_model(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """A stand-in for a model: two ids that follow from the unpadded prompt."""
     total = (ids * mask).sum(axis=1, keepdims=True)
     return np.hstack([ids, total % 1000 + 5, mask.sum(axis=1, keepdims=True) + 3])
 
 
+def load_echo() -> infer.Model:
+    """Loads the model; called once in a worker."""
+    return echo_model
+
+
 @query
 def batch_inference(spark, sf):
     prompts = _id_lists(spark, sf).select(F.col("item").alias("sample_id"), "ids")
-    return infer.batch_inference(prompts, echo_model, special=(4,)).select("sample_id", F.array_join("completion", ",").alias("completion"))
+    return infer.batch_inference(prompts, load_echo, special=(4,)).select("sample_id", F.array_join("completion", ",").alias("completion"))
+
+
+@query
+def conversation_inference(spark, sf):
+    """From messages over the plan to completions: texts as ids, media as the placeholders that their plans call for."""
+    texts = C.elements(table(spark, sf, "messages"), plain=True).select("conv_id", "turn", "elem_pos", F.length("text").alias("chars"))
+    planned = _planned(spark, sf).where("error IS NULL AND tokens > 0").join(texts, ["conv_id", "turn", "elem_pos"])
+    return infer.batch_inference(infer.prompts(planned), load_echo, special=(4,)).select("sample_id", F.array_join("completion", ",").alias("completion"))

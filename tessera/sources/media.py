@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,22 @@ def remote_payload(refs: DataFrame, fetched: DataFrame) -> DataFrame:
     return found.withColumn("error", F.when(F.col("payload").isNull(), "not_fetched"))
 
 
+#: Codes of the error contract that planned rows can carry (P10).
+CODES = ("ratio", "zero_side", "fps_and_nframes", "nframes_range", "image_unrecognised", "audio_unknown", "video_unknown", "audio_not_mono", "no_audio_track", "no_media_key", "frame_sizes_differ", "not_in_catalog")
+
+
+def write_quarantined(planned: DataFrame, path: str, codes: tuple[str, ...] = CODES) -> dict[str, int]:
+    """Planned rows in Parquet under ``kept=good`` or, with an ``error``, ``kept=bad`` and their code; counts of the codes.
+
+    One job plans, writes and counts: the counts are observed while the rows go by.
+    """
+    seen = Observation()
+    rows = planned.observe(seen, *[F.count(F.when(F.col("error") == c, 1)).alias(c) for c in codes])
+    split = F.when(F.col("error").isNull(), "good").otherwise("bad")
+    rows.withColumn("kept", split).withColumn("code", F.coalesce("error", F.lit("none"))).write.mode("overwrite").partitionBy("kept", "code").parquet(path)
+    return dict(seen.get)
+
+
 def write_by_modality(media: DataFrame, path: str) -> None:
     """The sink: Parquet, a folder for each modality."""
     media.write.mode("overwrite").partitionBy("modality").parquet(path)
