@@ -26,7 +26,8 @@ SHARD_TERMS = 1 << 16
 TOP = 200
 SCALE = 1_000_000_000
 #: Entries that a task counts before it hands them on.
-HELD = 300_000
+HELD = 600_000
+DOC = 1 << 40
 _SAFE = 2**63 // SCALE - 2
 #: Bytes to term bytes: A-Z lowered, other ASCII but a-z to spaces.
 _TERM_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -76,22 +77,22 @@ def _counted(docs: DataFrame) -> DataFrame:
     """``(lang, source, term, n, docs)`` of ``docs`` (``lang, source, t``); every group also has a row without a term."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], dict[bytes, int]] = {}  # a term's documents, times DOC, plus its occurrences
 
         def out() -> Iterator[pd.DataFrame]:
-            for (lang, source), (n, docs) in held.items():
-                yield pd.DataFrame({"lang": lang, "source": source, "term": [None, *n], "n": [0, *n.values()], "docs": [0, *map(docs.__getitem__, n)]})
+            for (lang, source), own in held.items():
+                yield pd.DataFrame({"lang": lang, "source": source, "term": [None, *own], "n": [0, *(v % DOC for v in own.values())], "docs": [0, *(v // DOC for v in own.values())]})
             held.clear()
 
         entries = 0
         for part in batches:
             for lang, source, text in zip(part["lang"], part["source"], part["t"]):
-                own = Counter(terms(text))
-                n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                entries -= len(n)
-                n.update(own)
-                docs.update(own.keys())
-                entries += len(n)
+                own = held.setdefault((lang, source), {})
+                entries -= len(own)
+                known = own.get
+                for term, n in Counter(terms(text)).items():
+                    own[term] = known(term, 0) + n + DOC
+                entries += len(own)
                 if entries > HELD:
                     yield from out()
                     entries = 0
