@@ -41,8 +41,6 @@ LOOKALIKES = {
     "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ɩ": "i",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-#: Phrases in which a listed word is harmless, whatever the labels say.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "worthless check")
 #: Marks that make no letter of their own with what they stand on, and characters without width.
 _MARKS = re.compile("[\u0300-\u036f\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 _FOLD = str.maketrans({**{chr(c): None for c in range(0x10000) if _MARKS.match(chr(c))}, **LOOKALIKES})
@@ -84,7 +82,7 @@ class Model:
     """Weights by term (``stem*`` for word beginnings), exception phrases, and the curve."""
 
     weights: dict[str, float] = field(default_factory=dict)
-    exceptions: frozenset[str] = frozenset(EXCEPTIONS)
+    exceptions: frozenset[str] = frozenset()
     curve: tuple[float, ...] = (-4.0, 1.0, 0.0, 0.5, 0.5)
 
     def matcher(self):
@@ -171,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for y, t in zip(part["y"], part["t"]):
                 (yes if y else no).update(_terms(_words(t)))
             keys = yes.keys() | no.keys()
-            yield pd.DataFrame({"term": list(keys), "yes": [yes[k] for k in keys], "no": [no[k] for k in keys]})
+            if keys:  # an empty column of strings has no type
+                yield pd.DataFrame({"term": list(keys), "yes": [yes[k] for k in keys], "no": [no[k] for k in keys]})
 
     counts = rows.mapInPandas(count, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     whole = marks.groupBy().agg(F.sum("y").alias("yes"), F.sum(1 - F.col("y")).alias("no")).first()

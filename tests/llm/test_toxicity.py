@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import toxicity as T
@@ -39,7 +40,7 @@ def test_score_by_plain_arithmetic():
 
 
 def test_match_edges_and_exceptions():
-    m = T.Model({"scum": 2.0, "lowe*": 3.0, "trash": 1.0})
+    m = T.Model({"scum": 2.0, "lowe*": 3.0, "trash": 1.0}, frozenset({"trash can"}))
     a = m.matcher()
     assert [h[0] for h in m.hits("scum scums xscum lowest xlowe lowe! trash", a)] == ["scum", "lowe*", "lowe*", "trash"]
     assert m.features("take the trash can out", a)[0] == 0 and m.features("you trash", a)[0] > 0
@@ -75,3 +76,11 @@ def test_edges(spark):
     assert len(got) == 5 and got.score.between(0, 1).all() and got[got.doc_id.isna()].predicted.tolist() == [1]
     assert pd.Series(got[got.doc_id == 3].predicted).tolist() == [1, 0]
     assert T.score(docs.limit(0), T.Model()).count() == 0
+
+
+@pytest.mark.parametrize("text", [None, "", "a b", "x"])
+def test_labelled_rows_without_terms(spark, text):
+    docs = spark.createDataFrame([(i, text) for i in range(1, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, toxic int")
+    model = T.fit(docs, labels)
+    assert model.weights == {} and T.score(docs, model).where("score between 0 and 1").count() == 8
