@@ -10,6 +10,7 @@ text is left out of every count that is held against it, so no evidence counts t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,13 @@ BUCKETS = 1 << 16
 SMOOTH = 5.0
 #: Text counts as so many independent trigrams at most, as neighbours are not independent.
 EVIDENCE = 60.0
+#: Bytes up to which the counts by declared language are broadcast; what pages declare is theirs to choose.
+BROADCAST_BYTES = 4 << 20
 _MUL = np.uint32(2654435761)
+_BLOCK = re.compile(r"<(?:(script|style|nav|head)\b|!--)", re.IGNORECASE)
+_ENDS = {"": re.compile("-->"), **{name: re.compile(rf"</{name}[ \t\n\r\f\v]*>", re.IGNORECASE) for name in ("script", "style", "nav", "head")}}
+_TAG = re.compile("<[^<>]*>")
+_SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 def _trigrams(text: str) -> np.ndarray:
@@ -63,13 +70,25 @@ def fit_text(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", te
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def page_text(html: Column) -> Column:
-    """Visible text: scripts, styles, comments and tags out, common entities back."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->", " ")
-    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
+def visible(html: str | None) -> str:
+    """Visible text: scripts, styles, comments and tags out, common entities back, white space closed up.
+
+    One way through the page: a block or comment that never ends is looked for once, and stays text but for its tags.
+    """
+    html, kept, at, seek, endless = html or "", [], 0, 0, set()
+    while (found := _BLOCK.search(html, seek)) is not None:
+        name = (found[1] or "").lower()
+        end = None if name in endless else _ENDS[name].search(html, found.end())
+        if end is None:
+            endless.add(name)
+            seek = found.end()
+            continue
+        kept.append(html[at : found.start()])
+        at = seek = end.end()
+    bare = _TAG.sub(" ", " ".join([*kept, html[at:]]))
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+        bare = bare.replace(entity, char)
+    return " ".join(_SPACE.split(bare)).strip(" ")
 
 
 def address(pages: DataFrame, url_col: str = "url") -> DataFrame:
@@ -102,15 +121,15 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     @F.pandas_udf("array<double>")
     def likelihood(texts: pd.Series) -> pd.Series:
         out = []
-        for text in texts:
-            grams = _trigrams(text or "")
+        for html in texts:
+            grams = _trigrams(visible(html))
             ll = model.value[:, grams].mean(axis=1) * min(len(grams), EVIDENCE) if len(grams) else np.zeros(n)
             out.append([float(x) for x in ll])
         return pd.Series(out)
 
-    lang = F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
+    lang = F.lower(F.regexp_extract(F.coalesce(F.col(html_col), F.lit("")), r"(?is)<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1))
     rows = address(pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias(url_col), F.col(html_col).cast("string").alias(html_col)), url_col)
-    rows = rows.select("id", "host", "domain", "suffix", lang.alias("declared"), likelihood(page_text(F.coalesce(F.col(html_col), F.lit("")))).alias("ll"))
+    rows = rows.select("id", "host", "domain", "suffix", lang.alias("declared"), likelihood(html_col).alias("ll"))
     if not n:
         return rows.select(F.col("id").alias(id_col), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("string").alias("text_lang"), "declared", "host", *[F.lit(None).cast("double").alias(c) for c in ("e_text", "e_declared", "e_suffix", "e_host")])
     top = F.array_max("ll")
@@ -136,7 +155,10 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     # one row a host with its own counts and its parents'
     priors = hosts.join(domains.select("domain", "suffix", "n_domain"), ["domain", "suffix"]).join(suffixes, "suffix").select("host", "n_host", "n_domain", "n_suffix")
     declared = cut(rows.groupBy("declared").agg(*weigh).select("declared", listed.alias("n_declared")))
-    seen = declared.count()
+    held = declared.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("declared")).alias("chars")).first()
+    seen = held.n
+    if seen * 8 * (n + 8) + (held.chars or 0) <= BROADCAST_BYTES:
+        declared = F.broadcast(declared)  # its values are few, and most pages share one
 
     def others(counts: Column) -> Column:  # without the page itself, whose weight may differ in the last digits of a sum
         return F.zip_with(counts, F.col("w"), lambda c, x: F.greatest(c - x, F.lit(0.0)))

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 
@@ -55,3 +56,24 @@ def test_edges(spark):
     assert next(r for r in got if r.page_id == 2).lang == "de"
     assert L.identify(pages.limit(0), docs).count() == 0
     assert {r.lang for r in L.identify(pages, docs.limit(0)).collect()} == {None}
+
+
+def test_hostile_pages_take_no_time():
+    began = time.time()
+    for page in ("<" * 1_000_000, "<script " * 120_000, "<!-- " * 200_000, "<a " * 300_000 + ">", "</script" + " " * 900_000, "<SCRIPT>x</script >" * 50_000, "x" * 1_000_000 + "<"):
+        L.visible(page)
+    assert time.time() - began < 10
+
+
+def test_hostile_declarations(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en"), (2, "die katze", "de")], "doc_id long, text string, lang string")
+    rows = [(k, "http://a.b/", page) for k, page in enumerate(("<html " * 150_000, "<html" + " lan" * 250_000, "<" * 1_000_000))]
+    began = time.time()
+    assert L.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs).count() == 3
+    assert time.time() - began < 60
+
+
+def test_visible_text():
+    page = "<html><HEAD>no</head ><body>a<script>var x = '<b>';</SCRIPT>b<!-- c <p> -->d&lt;e&amp;lt; <p\nclass=x>f</p>\t g<nav>menu"
+    assert L.visible(page) == "a b d<e&lt; f g menu"
+    assert L.visible("x <script>never ends <b>y</b>") == "x never ends y" and L.visible(None) == "" and L.visible("1 < 2 and <b") == "1 < 2 and <b"
