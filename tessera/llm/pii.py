@@ -31,7 +31,7 @@ _OCTET = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 _WORD = r"\p{L}[\p{L}\p{N}_]{2,}"
 #: Characters on either side of an entity in which terms are looked for.
 CONTEXT = 120
-#: Differing contexts in which a term must stand near the entity.
+#: Differing texts, and differing contexts, in which an entity must stand, and a term near it.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.7, 0.9
 #: Terms that are broadcast to be looked up; more are joined by a shuffle.
@@ -94,29 +94,32 @@ def _entity(span: Column) -> Column:
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """``(term, disclosure)`` for terms whose disclosure of some entity reaches ``GENERALISE``.
 
-    ``docs`` has ``d, th, t, base`` (id, hash of the text, text, base spans). All shares are of documents; a term must
-    stand near the entity in ``SUPPORT`` differing contexts, so copies of one text alone never make a term.
+    ``docs`` has ``d, th, t, base`` (id, hash of the text, text, base spans). All shares are of documents. An entity must
+    stand in ``SUPPORT`` differing texts and contexts, and a term near it too: neither one document that names an entity
+    often nor copies and edits of one text make a term. ``kind`` is that of the entity which it discloses most.
     """
-    near = docs.where(F.size("base") > 0).select("d", "th", "t", F.explode("base").alias("s"))
+    near = docs.where(F.size("base") > 0).select("d", "th", "t", F.explode("base").alias("s")).withColumn("kind", F.col("s.kind"))
     left = F.expr(f"substring(t, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT}))")
     right = F.expr(f"substring(t, s.stop + 1, {CONTEXT})")
     around = F.lower(F.concat(left, F.lit(" \n "), right))
-    near = near.select(F.struct("d", "th").alias("doc"), _entity(F.col("s")).alias("e"), around.alias("around"))
-    near = cut(near.select("doc", "e", F.xxhash64("around").alias("ctx"), F.array_distinct(F.regexp_extract_all("around", F.lit(_WORD), F.lit(0))).alias("words")))
-    entities = near.groupBy("e").agg(F.count_distinct("doc").alias("n_e"), F.count_distinct("ctx").alias("c")).where(F.col("c") >= SUPPORT)
+    near = near.select(F.struct("d", "th").alias("doc"), _entity(F.col("s")).alias("e"), "kind", around.alias("around"))
+    near = cut(near.select("doc", "e", "kind", F.xxhash64("around").alias("ctx"), F.array_distinct(F.regexp_extract_all("around", F.lit(_WORD), F.lit(0))).alias("words")))
+    often = F.least(F.count_distinct("ctx"), F.count_distinct("doc.th")).alias("c")
+    entities = near.groupBy("e").agg(F.count_distinct("doc").alias("n_e"), often).where(F.col("c") >= SUPPORT)
     entities = cut(entities.select("e", "n_e"))
-    pairs = near.join(entities.select("e"), "e", "left_semi").select("e", "ctx", "doc", F.explode("words").alias("term"))
-    pairs = pairs.groupBy("e", "term").agg(F.count_distinct("ctx").alias("c"), F.count_distinct("doc").alias("n_et")).where(F.col("c") >= SUPPORT)
-    pairs = cut(pairs.join(entities, "e").select("e", "term", "n_e", "n_et"))
+    pairs = near.join(entities.select("e"), "e", "left_semi").select("e", "kind", "ctx", "doc", F.explode("words").alias("term"))
+    pairs = pairs.groupBy("e", "term").agg(often, F.count_distinct("doc").alias("n_et"), F.min("kind").alias("kind")).where(F.col("c") >= SUPPORT)
+    pairs = cut(pairs.join(entities, "e").select("e", "term", "n_e", "n_et", "kind"))
     if pairs.isEmpty():
-        return pairs.select("term", F.lit(0.0).alias("disclosure"))
+        return pairs.select("term", F.lit(0.0).alias("disclosure"), "kind")
     # counted before the join: tasks add up their own words, and the join sees each word of the corpus once
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(0)))).alias("term"))
     seen = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     p_e = F.col("n_e") / F.lit(max(2, docs.count()))
     p_et = F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))  # repeated rows are one document near an entity, but count in n_t each
     share = F.when(p_e < 1, F.log(p_et / p_e) / -F.log(p_e)).otherwise(F.lit(0.0))
-    found = pairs.join(seen, "term").groupBy("term").agg(F.max(share).alias("disclosure"))
+    found = pairs.join(seen, "term").groupBy("term").agg(F.max(F.struct(share.alias("disclosure"), (-F.col("kind")).alias("k"))).alias("x"))
+    found = found.select("term", "x.disclosure", (-F.col("x.k")).alias("kind"))
     return found.where(F.col("disclosure") >= GENERALISE)
 
 
@@ -124,7 +127,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per row: id, counts of base kinds, ``base_sha256``, ``spans``, ``n_terms`` and the ``sanitised`` text.
 
     Null texts count as empty; rows without an id and repeated rows each give a row. In ``sanitised``, base findings
-    become ``[EMAIL]`` and so on, terms that disclose much go, those that disclose less become ``[TERM]``; a finding
+    become ``[EMAIL]`` and so on, terms that disclose much go, those that disclose less become ``[TERM:EMAIL]`` and so on, by the kind that they give away; a finding
     that begins inside an earlier one is covered by it.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -134,17 +137,17 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     if n_terms:
         held = F.broadcast(found) if n_terms <= BROADCAST_TERMS else found
         words = rows.select("d", "th", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD), F.lit(0)))).alias("term"))
-        hits = words.join(held, "term").groupBy("d", "th").agg(F.collect_set(F.struct("term", "disclosure")).alias("terms"))
+        hits = words.join(held, "term").groupBy("d", "th").agg(F.collect_set(F.struct("term", "disclosure", "kind")).alias("terms"))
         # by id and text: copies of a text under other ids are dealt over all tasks
         rows = rows.join(hits.select(F.col("d").alias("hd"), F.col("th").alias("hh"), "terms"), F.col("d").eqNullSafe(F.col("hd")) & (F.col("th") == F.col("hh")), "left")
     else:
-        rows = rows.withColumn("terms", F.lit(None).cast("array<struct<term:string,disclosure:double>>"))
+        rows = rows.withColumn("terms", F.lit(None).cast("array<struct<term:string,disclosure:double,kind:int>>"))
     base_at = F.col("base")
 
     def places(x: Column) -> Column:
         pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), x["term"], F.lit(r"\E(?![\p{L}\p{N}_])"))
         clear = F.filter(_spans(F.col("t"), pattern, 4), lambda s: ~F.exists(base_at, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-        to = F.when(x["disclosure"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]"))
+        to = F.when(x["disclosure"] >= REMOVE, F.lit("")).otherwise(F.concat(F.lit("[TERM:"), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1)), F.lit("]")))
         return F.transform(clear, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), to.alias("value")))
 
     none = F.array().cast(f"array<{_SPAN}>")

@@ -86,9 +86,11 @@ def plain_terms(rows):
             n_e.setdefault(value, set()).add(doc)
             for w in word(around):
                 near.setdefault((value, w), []).append((around, doc))
+            near.setdefault((value, None), []).append((around, doc))
     found = {}
     for (e, w), places in near.items():
-        if len({c for c, _ in places}) < pii.SUPPORT:
+        few = lambda held: min(len({c for c, _ in held}), len({t for _, (_, t) in held})) < pii.SUPPORT
+        if w is None or few(places) or few(near[e, None]):
             continue
         p_e, p_et = len(n_e[e]) / max(2, len(docs)), min(1, len({d for _, d in places}) / n_t.get(w, 1))
         share = math.log(p_et / p_e) / -math.log(p_e) if p_e < 1 else 0
@@ -112,5 +114,30 @@ def test_disclosure_matches_loops(spark):
     assert got == want and got
 
 
+def test_terms_are_found_and_only_these(spark):
+    """Precision and recall of planted terms, among documents that name an entity often, and copies and edits of one."""
+    rng = random.Random(8)
+    vocab = [f"word{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    rows = [(i, text(30)) for i in range(400)]
+    for k in range(20):
+        rows += [(1000 + 10 * k + j, f"{text(8)} planted{k} reach box{k}@mail.org {text(9)}") for j in range(5)]
+    rows += [(2000, " ".join(f"{text(30)} alone solo@mail.org" for _ in range(6)))]
+    rows += [(2100 + j, f"edited twin@mail.org {'very ' * j}much") for j in range(5)]
+    rows += [(2200 + j, f"{text(20)} planted3 without its address") for j in range(1)]
+    docs = spark.createDataFrame(rows, "d long, t string")
+    docs = docs.selectExpr("d", "xxhash64(t) AS th", "t").withColumn("base", pii.base_spans(docs["t"]))
+    found = {r.term: r.kind for r in pii.disclosing_terms(docs).collect()}
+    planted = {f"planted{k}" for k in range(20)}
+    assert planted <= set(found) and set(found.values()) == {0}
+    wrong = {w for w in found if w not in planted and not w.startswith(("box", "edited", "twin", "much"))}
+    assert len(wrong) <= 2 and "alone" not in found and "solo" not in found, wrong
+
+
+def test_clean_documents_stay(spark):
+    got = pii.find(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert got.where("n_email + n_ip + n_card + n_phone = 0 AND n_terms > 0").count() == 0
+
+
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string, t string")).count() == 0
