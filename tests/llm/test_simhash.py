@@ -93,3 +93,41 @@ def test_components_of_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 200), (None, 5)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "src long, dst long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(50)) and 200 not in got
+
+
+def test_many_texts_of_one_filler_give_few_candidates(spark):
+    """Fingerprints of texts that repeat one filler are equal; their shingle sets are not."""
+    rng = random.Random(1)
+    texts = [(i, "filler words of the page " * 60 + " ".join(f"own{rng.randrange(10**6)}" for _ in range(40))) for i in range(2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    fps = simhash.fingerprints(docs, segments=2, whole=True).collect()
+    assert len({r.fp0 for r in fps}) < 50  # they all collide
+    rows = spark.createDataFrame([(r.id, r.sk, k, r[f"fp{k}"], r.id) for r in fps for k in range(2)], "node long, sk long, seg int, fp long, label long")
+    assert simhash.links(rows, 3, 14, every=True).count() < 0.05 * 2 * 1999 * 1000
+    kept = simhash.keep_first(docs.unionByName(spark.createDataFrame([(5000, texts[7][1] + " more")], "doc_id long, text string")))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(2000))
+
+
+def test_sketches_of_similar_texts_are_near():
+    rng = random.Random(2)
+    far = 0
+    for _ in range(400):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([8, 30, 100, 500]))]
+        other = list(words)
+        for _ in range(max(1, len(words) // 60)):
+            other[rng.randrange(len(other))] = "changed"
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (words, other)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            assert (simhash.sketch(" ".join(words)) ^ simhash.sketch(" ".join(other))).bit_count() <= simhash.SKETCH_BITS
+            far += 1
+    assert far > 100
+    assert simhash.sketch(None) == simhash.sketch("")
+
+
+def test_every_pair_is_given_in_its_first_table(spark):
+    rng = random.Random(3)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(60)})
+    rows = [(i, 0, 0, fp - (1 << 64) if fp >> 63 else fp, i) for i, fp in enumerate(fps)]
+    got = simhash.links(spark.createDataFrame(rows, "node long, sk long, seg int, fp long, label long"), 3, every=True)
+    assert got.count() == got.distinct().count() == sum((a ^ b).bit_count() <= 3 for i, a in enumerate(fps) for b in fps[:i])
