@@ -14,27 +14,50 @@ def small(dimension: DataFrame, rows: int = SMALL_DIMENSION) -> DataFrame:
     return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
 
 
-def placeholder_join(tokens: DataFrame, features: DataFrame, placeholders: dict[int, str]) -> DataFrame:
+#: Rows of a sample that one task numbers.
+NUMBERED_ROWS = 65_536
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str = "pos", chunk_rows: int = NUMBERED_ROWS) -> DataFrame:
+    """``rows`` with ``k``, their number from 0 among those of equal ``keys``, in order of ``order``, a count from 0.
+
+    In two levels: chunks of ``order`` are counted, a window adds up the counts of earlier chunks, and rows are numbered
+    inside their chunk; so a key that holds most rows is many tasks.
+    """
+    own = [*keys, "__chunk"]
+    rows = rows.withColumn("__chunk", F.floor(F.col(order) / F.lit(float(chunk_rows))).cast("long"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).select(*own, before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*own).orderBy(order)) - 1
+    return rows.withColumn("__place", place).join(counts, own).withColumn("k", (F.col("__before") + F.col("__place")).cast("long")).drop("__chunk", "__before", "__place")
+
+
+def placeholder_join(tokens: DataFrame, features: DataFrame, placeholders: dict[int, str], chunk_rows: int = NUMBERED_ROWS) -> DataFrame:
     """The k-th placeholder of a modality takes the k-th feature.
 
     ``tokens``: ``sample_id, pos, token_id``; ``features``: ``sample_id, modality, k, vec_id``. Surplus features drop.
     Where tokens have a value ``x`` of their own and features one too, the result's ``x`` is the feature's, or the
-    token's where no feature comes, and ``x_text`` is the token's with 0 at placeholders that take a feature.
+    token's where no feature comes, and ``x_text`` is the token's with 0 at placeholders that take a feature. Only
+    placeholders are numbered and joined, by sample, modality and number, so a long sample is spread over tasks.
     """
     modality = F.lit(None).cast("string")
     for token, name in placeholders.items():
         modality = F.when(F.col("token_id") == token, name).otherwise(modality)
     rows = tokens.withColumn("modality", modality)
-    order = Window.partitionBy("sample_id", "modality").orderBy("pos")
-    k = F.when(F.col("modality").isNotNull(), (F.row_number().over(order) - 1).cast("long"))
-    rows = rows.withColumn("k", k)
     keys = ["sample_id", "modality", "k"]
-    extra = [F.col(c) for c in features.columns if c not in keys]
+    extra = [c for c in features.columns if c not in keys]
+    own = [F.lit(None).cast(features.schema[c].dataType).alias(c) if c not in tokens.columns else F.col(c) for c in extra]
+    plain = rows.where("modality IS NULL").withColumn("k", F.lit(None).cast("long"))
+    held = numbered(rows.where("modality IS NOT NULL"), keys[:2], chunk_rows=chunk_rows)
     if "x" in tokens.columns:
-        rows, features = rows.withColumnRenamed("x", "__own"), features.withColumn("__taken", F.lit(1))
-        extra = [F.coalesce("x", "__own").alias("x") if c == "x" else F.col(c) for c in features.columns if c not in (*keys, "__taken")]
-        extra.append(F.when(F.col("__taken") == 1, 0.0).otherwise(F.col("__own")).alias("x_text"))
-    return rows.join(features, keys, "left").select("sample_id", "pos", "token_id", "modality", "k", *extra)
+        held, features = held.withColumnRenamed("x", "__own"), features.withColumn("__taken", F.lit(1))
+        taken = [F.coalesce("x", "__own").alias("x") if c == "x" else F.col(c) for c in extra]
+        taken.append(F.when(F.col("__taken") == 1, 0.0).otherwise(F.col("__own")).alias("x_text"))
+        own.append(F.col("x").alias("x_text"))
+    else:
+        taken = [F.col(c) for c in extra]
+    head = ["sample_id", "pos", "token_id", "modality", "k"]
+    return held.join(features, keys, "left").select(*head, *taken).unionByName(plain.select(*head, *own))
 
 
 def length_mismatch(tokens: DataFrame, features: DataFrame, token: int, modality: str) -> DataFrame:

@@ -182,6 +182,12 @@ def continuation_positions(steps: DataFrame, key: str = "conv") -> DataFrame:
     return rows.select(key, "batch", "i", (F.col("seen") + F.col("i")).alias("position"), (F.col("seen") - F.col("less") + F.col("i")).alias("thinker_position"))
 
 
+def masked_rows(features: DataFrame, key: str = "item", order: str = "pos", mask: str = "mask") -> DataFrame:
+    """Feature rows whose mask is 1, with ``k``, their place among the rows that stay."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
+    return features.where(F.col(mask) == 1).withColumn("k", place.cast("long")).drop(mask)
+
+
 def right_padding(tokens: DataFrame) -> DataFrame:
     """Samples whose last row is padding."""
     return tokens.groupBy("sample_id").agg(F.max_by("mask", "pos").alias("last_mask")).select("sample_id", (F.col("last_mask") == 0).alias("right_padded"))

@@ -13,14 +13,24 @@ WEIGHTS = {"k": 1.0, "k_ratio": 1.0, "a": 1.0, "g_score": 0.0}
 _FIRST_ONLY = ("feature_attention_mask", "input_features", "attention_mask")
 
 
-def training_mix(rows: DataFrame, caps: Mapping[str, int], dataset: str = "dataset", order: str = "doc_id") -> DataFrame:
-    """All rows of datasets without a cap, the first ``cap`` by ``order`` of the others."""
-    capped = rows.where(F.col(dataset).isin(list(caps)))
-    rest = rows.where(~F.col(dataset).isin(list(caps)) | F.col(dataset).isNull())
-    for name, cap in caps.items():
-        # a limit on a sort is a top-k in each task, where a ranking would take one dataset into one task
-        rest = rest.unionByName(capped.where(F.col(dataset) == name).orderBy(order).limit(cap))
-    return rest
+def training_mix(rows: DataFrame, caps: Mapping[str, int], dataset: str = "dataset", key: str = "doc_id", multi: Column | None = None, use_multi: bool = False) -> DataFrame:
+    """All rows of datasets without a cap, and of each other ``caps[name]`` rows, those of the smallest hash of ``key``
+    (ties by the key) (D1).
+
+    Rows where ``multi`` holds are a dataset of their own, ``<name>_multi``, which is taken with ``use_multi`` alone. All
+    caps are one pass: each task keeps its smallest rows of a dataset before any are shuffled.
+    """
+    if multi is not None:
+        several = F.coalesce(multi, F.lit(False))
+        rows = (rows if use_multi else rows.where(~several)).withColumn(dataset, F.when(several, F.concat(dataset, F.lit("_multi"))).otherwise(F.col(dataset)))
+    cap = F.lit(None).cast("int")
+    for name, n in caps.items():
+        cap = F.when(F.col(dataset) == name, n).otherwise(cap)
+    rows = rows.withColumn("__cap", cap)
+    order = Window.partitionBy(dataset).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
+    capped = rows.where("__cap IS NOT NULL").withColumn("__rank", F.row_number().over(order))
+    capped = capped.where(F.col("__rank") <= max(caps.values(), default=0)).where("__rank <= __cap").drop("__rank")
+    return rows.where("__cap IS NULL").unionByName(capped).drop("__cap")
 
 
 def request_errors(requests: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ _BODIES = {
     "audio_refs_with_video": f"WITH {_EL}, {_AUD} SELECT conv_id, turn, elem_pos, source, uri, error FROM arefs",
     "uri_scheme_counts": f"""WITH {_VIS} SELECT modality, CASE WHEN uri IS NULL THEN 'null' WHEN starts_with(uri, 'http://') THEN 'http' WHEN starts_with(uri, 'https://') THEN 'https' WHEN starts_with(uri, 'file://') THEN 'file' WHEN starts_with(uri, 'data:image') THEN 'data_image' ELSE 'path' END AS scheme, count(*) AS n FROM vis GROUP BY ALL""",
     "media_by_modality": f"WITH {_VIS} SELECT conv_id, turn, elem_pos, modality, error FROM vis",
-    "masked_features": "SELECT sample_id, CAST(pos AS BIGINT) AS pos, CAST(token_id AS BIGINT) AS token_id FROM tokens WHERE mask = 1",
+    "masked_features": "SELECT item, CAST(pos AS BIGINT) AS pos, row_number() OVER (PARTITION BY item ORDER BY pos) - 1 AS k, vec_id, round(list_sum(list_transform(vec, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM features WHERE vec_id % 11 <> 0",
     "right_padding_check": "SELECT sample_id, mask = 0 AS right_padded FROM tokens QUALIFY pos = max(pos) OVER (PARTITION BY sample_id)",
     "quarantine_counts": f"""WITH {_PLANNED}, {_LISTS}, {_COUNTS} SELECT error, count(*) AS n FROM (SELECT error FROM pe
         UNION ALL SELECT CASE WHEN mask = 0 THEN 'right_padding' END FROM (SELECT mask FROM tokens QUALIFY pos = max(pos) OVER (PARTITION BY sample_id)) p
@@ -251,7 +251,7 @@ _BODIES = {
     "linear_resample": """WITH p AS (SELECT item, ts, value, lead(ts) OVER w AS t1, lead(value) OVER w AS v1 FROM series WINDOW w AS (PARTITION BY item ORDER BY ts, event_id)),
         g AS (SELECT item, unnest(range(CAST(ceil(min(ts) / 21600) AS BIGINT), CAST(floor(max(ts) / 21600) AS BIGINT) + 1)) AS grid FROM series GROUP BY item)
         SELECT g.item, g.grid, round(value + (v1 - value) * (grid * 21600.0 - ts) / (t1 - ts), 6) AS value FROM g JOIN p ON p.item = g.item AND p.ts <= grid * 21600.0 AND p.t1 > grid * 21600.0""",
-    "training_mix": "SELECT doc_id, lang AS dataset FROM documents QUALIFY lang <> 'en' OR row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 100",
+    "training_mix": "WITH d AS (SELECT doc_id, lang || CASE WHEN doc_id % 7 = 0 THEN '_multi' ELSE '' END AS dataset FROM documents) SELECT doc_id, dataset FROM d QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= CASE dataset WHEN 'en' THEN 100 WHEN 'de' THEN 40 WHEN 'en_multi' THEN 30 ELSE 1000000000 END",
     "length_limits": "SELECT doc_id, n_chars AS prompt_tokens, least(n_chars * 3, 2048) AS completion_tokens FROM documents WHERE n_chars <= 2000",
     "reward_sum": "SELECT event_id, round(k + k_ratio + a, 6) AS reward FROM rollouts",
     "group_advantage": "WITH r AS (SELECT event_id, prompt, grp, k + k_ratio + a AS reward FROM rollouts), s AS (SELECT prompt, grp, avg(reward) AS mu, coalesce(stddev_samp(reward), 0) AS sd FROM r GROUP BY ALL) SELECT event_id, round((reward - mu) / (sd + 1e-4), 4) AS advantage FROM r JOIN s USING (prompt, grp)",

@@ -104,7 +104,10 @@ def media_by_modality(spark, sf):
 
 @query
 def masked_features(spark, sf):
-    return table(spark, sf, "tokens").where("mask = 1").select("sample_id", "pos", "token_id").select("sample_id", F.col("pos").cast("long").alias("pos"), F.col("token_id").cast("long").alias("token_id"))
+    """Whole feature rows that a mask keeps; their sum stands for the vector."""
+    rows = layout.masked_rows(table(spark, sf, "features").withColumn("mask", (F.col("vec_id") % 11 != 0).cast("int")))
+    total = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return rows.select("item", F.col("pos").cast("long").alias("pos"), "k", "vec_id", F.round(total, 6).alias("total"))
 
 
 @query
@@ -506,7 +509,7 @@ def linear_resample(spark, sf):
 @query
 def training_mix(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("dataset"))
-    return mix.training_mix(rows, {"en": 100})
+    return mix.training_mix(rows, {"en": 100, "de": 40, "en_multi": 30}, multi=F.col("doc_id") % 7 == 0, use_multi=True)
 
 
 @query

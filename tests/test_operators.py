@@ -253,3 +253,28 @@ def test_audio_mode_of_media_counts(spark):
     rows = [(s, p, t) for s, ts in samples.items() for p, t in enumerate(ts)]
     got = {r.sample_id: tuple(r)[1:] for r in layout.media_counts(spark.createDataFrame(rows, "sample_id long, pos long, token_id long")).collect()}
     assert got == {1: (1, 0, 0, None), 2: (0, 1, 1, None), 3: (2, 0, 1, "vision_mix"), 4: (1, 1, 1, "vision_mix"), 5: (1, 0, 0, None), 6: (0, 0, 1, "vision_mix")}
+
+
+def test_numbers_of_a_sample_that_holds_most_rows(spark):
+    """Two levels of numbering equal one, and no task numbers more than a chunk."""
+    rng = random.Random(5)
+    rows = [(0 if rng.random() < 0.5 else rng.randint(1, 20), p, rng.choice("ab")) for p in range(5000)]
+    rows = [(s, p, m) for s, p, m in rows]
+    got = joins.numbered(spark.createDataFrame(rows, "sample_id long, pos long, modality string").repartition(5), ["sample_id", "modality"], chunk_rows=100).collect()
+    seen, want = {}, set()
+    for s, p, m in sorted(rows, key=lambda r: r[1]):
+        want.add((s, p, m, seen.setdefault((s, m), 0)))
+        seen[s, m] += 1
+    assert {(r.sample_id, r.pos, r.modality, r.k) for r in got} == want and len(got) == len(rows)
+    plan = joins.placeholder_join(*(spark.createDataFrame([(1, 1, 9)], f"sample_id long, pos long, {c} long") for c in ("token_id",)), spark.createDataFrame([(1, "a", 0, 5)], "sample_id long, modality string, k long, vec_id long"), {9: "a"})
+    assert [tuple(r) for r in plan.collect()] == [(1, 1, 9, "a", 0, 5)]
+
+
+def test_mix_takes_all_caps_in_one_pass(spark):
+    rows = spark.createDataFrame([(i, f"d{i % 4}", i % 5 == 0) for i in range(2000)], "doc_id long, dataset string, several boolean")
+    got = {r.dataset: r["count"] for r in mix.training_mix(rows, {"d0": 10, "d1": 7, "d2": 0, "none": 5}, multi=F.col("several")).groupBy("dataset").count().collect()}
+    assert got == {"d0": 10, "d1": 7, "d3": 400}
+    both = mix.training_mix(rows, {"d0": 10, "d3_multi": 3}, multi=F.col("several"), use_multi=True)
+    assert {r.dataset: r["count"] for r in both.groupBy("dataset").count().collect()} == {"d0": 10, "d1": 400, "d2": 400, "d3": 400, "d0_multi": 100, "d1_multi": 100, "d2_multi": 100, "d3_multi": 3}
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
