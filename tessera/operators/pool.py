@@ -31,13 +31,14 @@ def stats_pooling(rows: DataFrame, key: str = "item", softmax_of: Column | None
     clamped = lambda v: F.sqrt(F.greatest(v, F.lit(1e-12))).alias("std")
     if softmax_of is None:
         return rows.select(key, channel).groupBy(key, dim).agg(F.avg("x").alias("mean"), clamped(F.var_pop("x")))
-    scored = rows.select(key, "vec", softmax_of.cast("double").alias("s"))
-    scored = scored.join(scored.groupBy(key).agg(F.max("s").alias("top")), key)
-    weighted = scored.select(key, F.exp(F.col("s") - F.col("top")).alias("w"), channel)
-    first = weighted.groupBy(key, "dim").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
-    gap = F.col("x") - F.col("mean")
-    both = weighted.join(first, [key, "dim"]).groupBy(key, dim)
-    return both.agg(F.first("mean").alias("mean"), clamped(F.sum(F.col("w") * gap * gap) / F.sum("w")))
+    scored = rows.select(key, F.transform("vec", lambda x: x.cast("double")).alias("vec"), softmax_of.cast("double").alias("s"))
+    # the vector of the largest weight is taken off before squares are summed, so these do not cancel
+    best = scored.groupBy(key).agg(F.max("s").alias("top"), F.max_by("vec", "s").alias("base"))
+    own = scored.join(best, key).select(key, F.exp(F.col("s") - F.col("top")).alias("w"), F.posexplode(F.arrays_zip("vec", "base")).alias("dim", "z"))
+    x = F.col("z.vec") - F.col("z.base")
+    sums = own.groupBy(key, dim).agg(F.sum("w").alias("w"), F.sum(F.col("w") * x).alias("a"), F.sum(F.col("w") * x * x).alias("b"), F.first("z.base").alias("base"))
+    shift = F.col("a") / F.col("w")
+    return sums.select(key, "dim", (F.col("base") + shift).alias("mean"), clamped(F.col("b") / F.col("w") - shift * shift))
 
 
 def masked_nll(rows: DataFrame, key: str = "item") -> DataFrame:

@@ -57,7 +57,7 @@ def payload_by_path(spark, sf):
     refs = table(spark, sf, "region").select("r_regionkey", F.explode(names).alias("name"))
     folder = sf if sf.startswith(("/", "file:")) else f"/{sf}"
     refs = refs.withColumn("uri", F.concat(F.lit("file://"), F.lit(folder.removeprefix("file://").rstrip("/") + "/"), "name", F.lit(".parquet")))
-    return sources.payload_by_path(spark, refs, sf, "{region,nation,customer}.parquet").select("r_regionkey", "name", "bytes", F.crc32("payload").alias("crc"), "error")
+    return sources.payload_by_path(refs, sf, "*.parquet").select("r_regionkey", "name", "bytes", F.crc32("payload").alias("crc"), "error")
 
 
 @query

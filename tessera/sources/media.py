@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -11,16 +11,41 @@ def assemble(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("messages"))
 
 
+#: Files that are named to the reader one by one; of more, the folder is read and joined.
+NAMED_FILES = 100_000
+
+
 def local_path(uri: Column) -> Column:
     """The path of a local reference; ``file://`` is stripped."""
     return F.when(uri.startswith("file://"), F.substring(uri, 8, 2**31 - 1)).otherwise(uri)
 
 
-def payload_by_path(spark: SparkSession, refs: DataFrame, folder: str, glob: str = "*") -> DataFrame:
+def _escaped(path: str) -> str:
+    """A path that a reader which expands patterns takes as it is."""
+    return "".join(f"\\{c}" if c in "\\*?[]{}" else c for c in path)
+
+
+def referenced_files(refs: DataFrame, folder: str, glob: str = "*", most: int = NAMED_FILES) -> DataFrame:
+    """Files of ``folder`` (``path, bytes, payload``) that ``refs`` (with ``path``) name.
+
+    First the folder is listed, without content, and joined with the paths; then only what is named is read.
+    """
+    spark = refs.sparkSession
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    plain = F.regexp_replace("path", "^file:/*", "/")
+    listed = found.select(F.col("path").alias("file"), plain.alias("path")).join(refs.select("path").distinct(), "path", "left_semi")
+    names = [r.file for r in listed.select("file").limit(most + 1).collect()]
+    if 0 < len(names) <= most:
+        found = spark.read.format("binaryFile").load([_escaped(n) for n in names])
+    elif not names:
+        found = found.limit(0)
+    return found.select(plain.alias("path"), F.col("length").alias("bytes"), F.col("content").alias("payload"))
+
+
+def payload_by_path(refs: DataFrame, folder: str, glob: str = "*", most: int = NAMED_FILES) -> DataFrame:
     """``refs`` (with ``uri``) joined to the files of ``folder`` on the normalised path (S2); ``error`` where there is none."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    files = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("bytes"), F.col("content").alias("payload"))
-    found = refs.withColumn("path", local_path(F.col("uri"))).join(files, "path", "left")
+    rows = refs.withColumn("path", local_path(F.col("uri")))
+    found = rows.join(referenced_files(rows, folder, glob, most), "path", "left")
     return found.withColumn("error", F.when(F.col("payload").isNull(), "no_file"))
 
 

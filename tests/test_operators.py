@@ -1,6 +1,8 @@
 """Hand-worked rows, properties, and batch against stream."""
 
 import random
+import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -205,7 +207,20 @@ def test_batch_inference(spark, sf):
 
 def test_payloads_and_sink(spark, sf, tmp_path):
     rows = QUERIES["payload_by_path"](spark, sf).collect()
-    assert {r.name for r in rows if r.error} == {"missing"} and all(r.bytes for r in rows if not r.error)
+    assert {r.name for r in rows if r.error} == {"missing"}
+    held = {n: Path(f"{sf}/{n}.parquet").read_bytes() for n in ("region", "nation", "customer")}
+    assert all((r.bytes, r.crc) == (len(held[r.name]), zlib.crc32(held[r.name])) for r in rows if not r.error)
+    # only what is named is read; beyond a bound the folder is joined, with equal results
+    odd = tmp_path / "files"
+    odd.mkdir()
+    for name in ("a[1].bin", "b{x}.bin", "c.bin", "d*.bin"):
+        (odd / name).write_bytes(name.encode() * 3)
+    refs = spark.createDataFrame([(f"file://{odd}/a[1].bin",), (f"{odd}/b{{x}}.bin",), (f"{odd}/none.bin",)], "uri string")
+    named = sources.referenced_files(refs.withColumn("path", sources.local_path(F.col("uri"))), f"file://{odd}")
+    assert len(named.inputFiles()) == 2
+    for most in (10, 1):
+        got = {r.uri: (r.bytes, bytes(r.payload) if r.payload else None, r.error) for r in sources.payload_by_path(refs, f"file://{odd}", most=most).collect()}
+        assert got == {f"file://{odd}/a[1].bin": (24, b"a[1].bin" * 3, None), f"{odd}/b{{x}}.bin": (24, b"b{x}.bin" * 3, None), f"{odd}/none.bin": (None, None, "no_file")}
     media_rows = QUERIES["media_by_modality"](spark, sf).where("modality IS NOT NULL")
     sources.write_by_modality(media_rows, f"file://{tmp_path}/out")
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == media_rows.count()
