@@ -26,12 +26,16 @@ LEAST_LETTERS = 7
 LEAST_USES = 2
 #: A form is used so many times as often as the word, at least.
 FORM_TIMES = 10
-#: Letter groups: code points modulo a prime, so common letters fall apart.
-GROUPS = 13
+#: Letter groups: code points modulo this, so common letters fall apart.
+GROUPS = 9
 #: Words of a shard that one task holds as a trie.
-SHARD_WORDS = 20_000
+SHARD_WORDS = 50_000
+#: Letters at either end of a word by which a leaf finds those to verify: one edit leaves one of the ends alone.
+ENDS = LEAST_LETTERS // 2
 #: Entries that a task counts before it hands them on.
 HELD = 300_000
+#: Rows of a result batch.
+CHUNK = 100_000
 #: One in so many runs loses a letter, by a checksum of document and run.
 NOISE = 31
 #: Latin-1 bytes to letters: A-Z lowered, what is no letter to spaces.
@@ -108,20 +112,42 @@ def reach(counts: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
                 yield (*more[:j], counts[j] - 1, *more[j + 1 :]), 0
 
 
+class Leaf:
+    """Words of equal counts, by their first and by their last letters."""
+
+    def __init__(self) -> None:
+        self.first: dict[str, list[tuple[str, int]]] = {}
+        self.last: dict[str, list[tuple[str, int]]] = {}
+
+    def add(self, word: str, n: int) -> None:
+        self.first.setdefault(word[:ENDS], []).append((word, n))
+        self.last.setdefault(word[-ENDS:], []).append((word, n))
+
+    def near(self, word: str) -> Iterator[tuple[str, int]]:
+        """Verified near words; the leaf's are as long as ``word`` or one longer."""
+        for held in self.first.get(word[:ENDS], ()):
+            if one_edit(word, held[0]):
+                yield held
+        for held in self.last.get(word[-ENDS:], ()):
+            if held[0][:ENDS] != word[:ENDS] and one_edit(word, held[0]):
+                yield held
+
+
 class Trie:
     """Words of a shard by their further counts."""
 
     def __init__(self) -> None:
         self.root: dict = {}
+        self.found: dict[tuple[str, int], list[tuple[Leaf, int]]] = {}
 
     def add(self, counts: tuple[int, ...], word: str, n: int) -> None:
         node = self.root
         for c in counts[:-1]:
             node = node.setdefault(c, {})
-        node.setdefault(counts[-1], []).append((word, n))
+        node.setdefault(counts[-1], Leaf()).add(word, n)
 
-    def search(self, counts: tuple[int, ...], budget: int) -> Iterator[tuple[list[tuple[str, int]], int]]:
-        """Leaves within the budget, with what is left of it."""
+    def search(self, counts: tuple[int, ...], budget: int) -> Iterator[tuple[Leaf, int]]:
+        """Leaves within the budget, depth first, with what is left of it."""
         depth, stack = len(counts), [(self.root, 0, budget)]
         while stack:
             node, k, left = stack.pop()
@@ -129,14 +155,34 @@ class Trie:
                 yield node, left
                 continue
             c = counts[k]
-            steps = [(c, left)]
+            if (child := node.get(c)) is not None:
+                stack.append((child, k + 1, left))
             if left == 2:
-                steps.append((c + 1, 1))
-            elif left == 1 and c:
-                steps.append((c - 1, 0))
-            for step, rest in steps:
-                if (child := node.get(step)) is not None:
-                    stack.append((child, k + 1, rest))
+                if (child := node.get(c + 1)) is not None:
+                    stack.append((child, k + 1, 1))
+            elif left == 1 and c and (child := node.get(c - 1)) is not None:
+                stack.append((child, k + 1, 0))
+
+    def leaves(self, counts: str, budget: int) -> list[tuple[Leaf, int]]:
+        """The same for counts as text, once for all words that share them."""
+        if (counts, budget) not in self.found:
+            self.found[counts, budget] = list(self.search(_counts(counts), budget))
+        return self.found[counts, budget]
+
+    def near(self, counts: str, budget: int, word: str) -> Iterator[tuple[str, int]]:
+        """Near words of ``word`` that are found from it; of equal counts, those that follow it."""
+        for leaf, left in self.leaves(counts, budget):
+            for held in leaf.near(word):
+                if left < 2 or word < held[0]:
+                    yield held
+
+
+def _counts(text: str) -> tuple[int, ...]:
+    return tuple(map(int, text.split(",")))
+
+
+def _text(counts: tuple[int, ...]) -> str:
+    return ",".join(map(str, counts))
 
 
 def _levels(found: DataFrame, shard_words: int) -> tuple[int, DataFrame]:
@@ -162,18 +208,27 @@ def near_words(found: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     large = cut(large)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked: dict[tuple[int, ...], tuple[list[str], list[int]]] = {}
         for part in batches:
-            out = []
+            out: tuple[list, ...] = ([], [], [], [], [])
             for word, n in zip(part["word"], part["n"]):
-                first = vector(word)[:level]
-                out.append((",".join(map(str, first)), -1, word, n))
-                out.extend((",".join(map(str, shard)), budget, word, n) for shard, budget in reach(first))
-            yield pd.DataFrame(out, columns=["key", "budget", "word", "n"])
-
-    rows = found.mapInPandas(deal, "key string, budget int, word string, n long")
+                counts = vector(word)
+                first, rest = counts[:level], _text(counts[level:])
+                if first not in asked:  # the word's own shard, then those that it asks in
+                    asked[first] = [_text(first), *(_text(shard) for shard, _ in reach(first))], [-1, *(budget for _, budget in reach(first))]
+                keys, budgets = asked[first]
+                for column, values in zip(out, (keys, budgets, [rest] * len(keys), [word] * len(keys), [n] * len(keys))):
+                    column.extend(values)
+                if len(out[0]) > CHUNK:
+                    yield pd.DataFrame(dict(zip(columns, out)))
+                    out = ([], [], [], [], [])
+            yield pd.DataFrame(dict(zip(columns, out)))
+
+    columns = ("key", "budget", "rest", "word", "n")
+    rows = found.mapInPandas(deal, "key string, budget int, rest string, word string, n long")
     if not large.isEmpty():
         blocks = F.when(F.col("budget") < 0, F.array(F.pmod(F.xxhash64("word"), F.col("nb")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
-        rows = rows.join(large, "key", "left").select("key", F.explode(F.when(F.col("nb").isNull(), F.array(F.lit(0))).otherwise(blocks)).alias("block"), "budget", "word", "n")
+        rows = rows.join(large, "key", "left").select("key", F.explode(F.when(F.col("nb").isNull(), F.array(F.lit(0))).otherwise(blocks)).alias("block"), "budget", "rest", "word", "n")
     else:
         rows = rows.withColumn("block", F.lit(0))
 
@@ -190,26 +245,22 @@ def near_words(found: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
             return rows
 
         for part in batches:
-            for key, block, budget, word, n in zip(part["key"], part["block"], part["budget"], part["word"], part["n"]):
+            for key, block, budget, rest, word, n in zip(part["key"], part["block"], part["budget"], part["rest"], part["word"], part["n"]):
                 if (key, block) != at:
                     trie, at = Trie(), (key, block)
-                rest = vector(word)[level:]
                 if budget < 0:
-                    trie.add(rest, word, n)
+                    trie.add(_counts(rest), word, n)
                     continue
-                for leaf, left in trie.search(rest, budget):
-                    for other, m in leaf:
-                        # equal counts meet from both sides, and from the word itself
-                        if (left < 2 or word < other) and one_edit(word, other):
-                            met(word, m, other)
-                            met(other, n, word)
-                if len(seen) > HELD:
-                    yield out()
+                for other, m in trie.near(rest, budget, word):
+                    met(word, m, other)
+                    met(other, n, word)
+            if len(seen) > HELD:
+                yield out()
         yield out()
 
     width = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(width, "key", "block").sortWithinPartitions("key", "block", "budget")
-    pairs = dealt.select("key", "block", "budget", "word", "n").mapInPandas(search, "word string, n_near long, form_n long, form string")
+    pairs = dealt.select("key", "block", "budget", "rest", "word", "n").mapInPandas(search, "word string, n_near long, form_n long, form string")
     best = F.min(F.struct((-F.col("form_n")).alias("m"), "form"))
     return pairs.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.m")).alias("form_n"), "b.form")
 

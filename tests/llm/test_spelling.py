@@ -112,6 +112,6 @@ def test_shards_and_search_reach_every_near_pair_once(words, level):
         shards.setdefault(spelling.vector(w)[:level], spelling.Trie()).add(spelling.vector(w)[level:], w, 1)
     for w in words:
         for shard, budget in spelling.reach(spelling.vector(w)[:level]):
-            for leaf, left in shards[shard].search(spelling.vector(w)[level:], budget) if shard in shards else ():
-                met.update(tuple(sorted((w, v))) for v, _ in leaf if (left < 2 or w < v) and spelling.one_edit(w, v))
+            if shard in shards:
+                met.update(tuple(sorted((w, v))) for v, _ in shards[shard].near(spelling._text(spelling.vector(w)[level:]), budget, w))
     assert met == Counter({tuple(sorted((a, b))): 1 for i, a in enumerate(words) for b in words[:i] if edited(a, b)})
