@@ -55,7 +55,10 @@ def split(text: bytes | str | None) -> list[bytes]:
 
 
 def anchors(words: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a document's anchors: in every window, its phrase of the smallest hash, the first of equals."""
+    """Places and hashes of a document's anchors: in every window, a phrase of its smallest hash.
+
+    That is the first of equals, but a phrase that repeats itself in close steps is taken only as often as windows ask.
+    """
     if len(words) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     own = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -72,6 +75,14 @@ def anchors(words: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray
         least[less] = h[j : j + n - AROUND][less]
         at[less] = np.flatnonzero(less) + j
     at = np.unique(at)
+    if (h[at[1:]] == h[at[:-1]]).any():
+        kept, hashed = [at[0]], h[at]
+        for k in range(1, len(at)):
+            # between two equal phrases that every window over this one meets
+            spare = k + 1 < len(at) and hashed[k] == h[kept[-1]] and hashed[k] == hashed[k + 1] and at[k + 1] - kept[-1] <= AROUND + 1
+            if not spare:
+                kept.append(at[k])
+        at = np.array(kept)
     return at, h[at]
 
 

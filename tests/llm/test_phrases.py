@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera.llm import phrases
@@ -92,3 +93,5 @@ def test_every_window_holds_an_anchor():
         at, h = phrases.anchors(words, phrases._Hashes())
         assert all(((at >= s) & (at <= s + 6)).any() for s in range(len(words) - 12))
         assert len(at) == len(h) == len(set(at.tolist()))
+    at, _ = phrases.anchors([b"a"] * 7000, phrases._Hashes())
+    assert len(at) <= 1001 and np.diff(at).max() <= 7
