@@ -9,13 +9,14 @@ such, written as ``~`` and 16 hex digits: different short texts stay different.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+import json
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 8
@@ -79,6 +80,16 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def _chunk(bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` lie below ``key``, by a search in two steps: whole blocks, then one of them."""
+    size = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[k : k + size] for k in range(0, len(bounds), size)]
+    below = lambda listed: F.size(F.filter(listed, lambda b: b < F.col("key")))
+    whole = below(F.from_json(F.lit(json.dumps([b[-1] for b in blocks])), "array<bigint>"))
+    held = F.try_element_at(F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>"), whole + 1)
+    return F.least(whole * size + F.coalesce(below(held), F.lit(0)), F.lit(len(bounds)))  # the last block may be shorter
+
+
 def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows in chunks of the id order, each chunk followed by a copy (``carry`` 1) of the first row of the next one.
 
@@ -89,8 +100,7 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = rows.withColumn("key", F.coalesce("id", F.lit(_FIRST)))
     bounds = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 10 * n).alias("b")).first()["b"] or []
-    ends = F.array(*[F.lit(int(b)).cast("long") for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
-    rows = rows.withColumn("chunk", F.size(F.filter(ends, lambda b: b < F.col("key"))))
+    rows = rows.withColumn("chunk", _chunk(sorted({int(b) for b in bounds})))
     firsts = rows.groupBy("chunk").agg(F.min("key").alias("first"))
     order = Window.orderBy("chunk")
     last = F.max("chunk").over(Window.partitionBy())
@@ -106,6 +116,9 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, fraction_bits: int = FRACTION_BITS) -> DataFrame:
     """Per document its sketch, that of its edited text (see :func:`edited`) and how alike they and the next one's are.
 
+    ``compared_edited`` and ``compared_next`` are the hashes of the smaller sketch of each comparison. One alone says
+    whether short texts are equal, not whether one holds the other; a likeness of 0 is then no evidence against it.
+
     The next document is the next row in ascending id order, rows that share an id by their text, the first after
     the last; a table of one row is its own next. Null texts are empty. Rows without an id come first.
     """
@@ -121,9 +134,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     text = edited(t0, t)
                     s1 = sketch(text, width, fraction_bits)
                     digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((i0, len(t0), digest, to_text(s0), to_text(s1), likeness(s0, s1), likeness(s0, new[2])))
+                    out.append((i0, len(t0), digest, to_text(s0), to_text(s1), likeness(s0, s1), likeness(s0, new[2]), min(len(s0), len(s1)), min(len(s0), len(new[2]))))
                 held, chunk = (None if carry else new), c
-            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"id": "Int64", "n_chars": "int64"})
+            yield pd.DataFrame(out, columns=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "compared_edited", "compared_next"]).astype({"id": "Int64", "n_chars": "int64"})
 
-    shape = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    shape = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, compared_edited long, compared_next long"
     return _dealt(docs, id_col, text_col).mapInPandas(run, shape).withColumnRenamed("id", id_col)

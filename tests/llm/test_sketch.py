@@ -13,7 +13,7 @@ def plain(rows):
         half = len(t) // 2
         text = t[: len(t) - half] + after[:half]
         a, b, c = (S.sketch(x) for x in (t, text, after))
-        out.append((i, len(t), hashlib.sha256(text.encode()).hexdigest(), S.to_text(a), S.to_text(b), S.likeness(a, b), S.likeness(a, c)))
+        out.append((i, len(t), hashlib.sha256(text.encode()).hexdigest(), S.to_text(a), S.to_text(b), S.likeness(a, b), S.likeness(a, c), min(len(a), len(b)), min(len(a), len(c))))
     return out
 
 
@@ -57,3 +57,11 @@ def test_short_texts_differ():
     assert all(S.likeness(S.sketch(a), S.sketch(b)) == (a == b) for a in texts for b in texts)
     long = S.to_text(S.sketch("a longer text " * 3 + "with many words in it, all of them kept or not"))
     assert S.merge(prints["abc"], long) == long and S.merge(prints["abc"], prints["abc"]) == prints["abc"]
+
+
+def test_chunks_equal_a_count_of_bounds(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 100):
+        bounds = sorted({int(x) for x in rng.integers(-50, 50, n)})
+        keys = spark.createDataFrame([(k,) for k in range(-52, 53)], "key long")
+        assert all(r.c == sum(b < r.key for b in bounds) for r in keys.select("key", S._chunk(bounds).alias("c")).collect())
