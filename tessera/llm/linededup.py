@@ -2,7 +2,7 @@
 
 A line is lower-cased and trimmed. Lines are alike where the Jaccard index of their ``SHINGLE``-character shingles
 reaches a threshold. Signatures hold minima over hashes of shingles that the content itself picks: those that begin at
-an anchor, a character whose last UTF-8 byte is 1 modulo ``ANCHOR_MOD`` (about one in eight, in any script), each
+an anchor, a character whose last UTF-8 byte is 1 modulo ``ANCHOR_MOD`` (about one in six, in any script), each
 taken from the end of the one before. A line with few anchors has minima over all its shingles instead, and one in
 between has both, so that lines of about the threshold always have a kind in common. One hash of a shingle serves all
 minima: the k-th minimum is that of the hash XOR a constant. Rows of minima make bands; lines that share a band, and
