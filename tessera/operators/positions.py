@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import expr as E
 from tessera.operators.layout import _before, _upto, positions_text, time_chunks
+from tessera.plans.session import cut
 
 #: Names of the special ids that the parse reads.
 IDS = {"vision_start": 90001, "audio_start": 90006, "image": 90003, "video": 90004, "audio": 90005}
@@ -100,11 +101,12 @@ def positions_from_ids(tokens: DataFrame, grids: DataFrame | None, audios: DataF
         rows = positions_text(tokens)
         return rows.select("sample_id", F.col("pos").cast("long").alias("pos"), *[F.col("position").alias(a) for a in "thw"], "delta", F.lit(None).cast("string").alias("error"))
     rows = _island_rows(tokens, ids, audio_in_video)
-    islands = _measured(_islands(rows, ids, audio_in_video), grids, audios, clock, merge)
+    # a row for each island, read several times below: written once
+    islands = cut(_measured(_islands(rows, ids, audio_in_video), grids, audios, clock, merge))
     w = Window.partitionBy("sample_id").orderBy("island")
     if audio_in_video:
         av = islands.where("kind = 'av' AND error IS NULL")
-        mixed = _interleaved(av, clock, int(clock * seconds_per_chunk))
+        mixed = cut(_interleaved(av, clock, int(clock * seconds_per_chunk)))
         steps = mixed.groupBy("sample_id", "island").agg(F.max("step").alias("step"), F.max("top").alias("top"))
         islands = islands.join(steps, ["sample_id", "island"], "left")
         # the second of two starts and of two ends stands where the first does
