@@ -61,7 +61,7 @@ def test_close_pairs_in_a_loose_family(spark, monkeypatch):
     def near_prints(docs, id_col, text_col, segments, **more):
         # equal but for the last fingerprint, so every bucket that holds B and C holds A too
         last = f"CASE id WHEN 1 THEN 0L WHEN 2 THEN 4294967295L ELSE -4294967296L END AS fp{segments - 1}"
-        return docs.selectExpr("id", "id AS whole", *[f"0L AS fp{k}" for k in range(segments - 1)], last)
+        return docs.selectExpr("id", "id AS whole", "0L AS sk", *[f"0L AS fp{k}" for k in range(segments - 1)], last)
 
     monkeypatch.setattr(simhash, "fingerprints", near_prints)
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
