@@ -86,6 +86,16 @@ def anchors(words: list[bytes], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray
     return at, h[at]
 
 
+def once(places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int] | None]]:
+    """A document's anchors as ``(hashes, first places, further places)``, so that each is one row of the document."""
+    order = np.argsort(hashes, kind="stable")
+    held, first, n = np.unique(hashes[order], return_index=True, return_counts=True)
+    again: list[list[int] | None] = [None] * len(held)
+    for k in np.flatnonzero(n > 1).tolist():
+        again[k] = places[order[first[k] + 1 : first[k] + n[k]]].tolist()
+    return held, places[order[first]], again
+
+
 def stretches(places: list[int], n: int) -> Iterator[tuple[int, int, list[int]]]:
     """The words around anchors as ``(start, stop, places)``, overlapping ones together; places count from the start."""
     start = stop = -1
@@ -151,16 +161,18 @@ def _anchored(rows: DataFrame) -> DataFrame:
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _Hashes()
         for part in batches:
-            found = [anchors(split(t), hashes) for t in part["t"]]
-            n = [len(p) for p, _ in found]
+            found = [once(*anchors(split(t), hashes)) for t in part["t"]]
+            n = [len(p) for p, _, _ in found]
             if sum(n):
-                places, g = (np.concatenate(x) for x in zip(*found))
-                yield pd.DataFrame({"g": g.view(np.int64), "id": np.repeat(part["id"].to_numpy(np.int64), n), "p": places.astype(np.int32)})
+                g, places = (np.concatenate(x) for x in list(zip(*found))[:2])
+                again = [x for _, _, more in found for x in more]
+                yield pd.DataFrame({"g": g.view(np.int64), "id": np.repeat(part["id"].to_numpy(np.int64), n), "p": places.astype(np.int32), "again": pd.Series(again, dtype=object)})
 
-    found = rows.where("named").select("id", "t").mapInPandas(find, "g long, id long, p int")
+    found = rows.where("named").select("id", "t").mapInPandas(find, "g long, id long, p int, again array<int>")
     same = Window.partitionBy("g")
-    found = found.select("g", "id", "p", F.min(F.struct("id", "p")).over(same).alias("home"), F.max("id").over(same).alias("last")).where("home.id < last")
+    found = found.select("g", "id", "p", "again", F.min(F.struct("id", "p")).over(same).alias("home"), F.max("id").over(same).alias("last")).where("home.id < last")
     by_home = F.xxhash64(F.col("home.id"), F.floor(F.col("home.p") / HOME_PLACES))
+    found = found.select("id", "home", F.explode(F.concat(F.array("p"), F.coalesce("again", F.array().cast("array<int>")))).alias("p"))
     one = F.struct("p", by_home.alias("home"), (F.col("id") == F.col("home.id")).alias("own"))
     lists = found.select("id", one.alias("x")).groupBy("id").agg(F.sort_array(F.collect_set("x")).alias("x"))
     return lists.select("id", F.col("x.p").alias("places"), F.col("x.home").alias("homes"), F.col("x.own").alias("own"))

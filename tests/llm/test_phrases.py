@@ -93,5 +93,8 @@ def test_every_window_holds_an_anchor():
         at, h = phrases.anchors(words, phrases._Hashes())
         assert all(((at >= s) & (at <= s + 6)).any() for s in range(len(words) - 12))
         assert len(at) == len(h) == len(set(at.tolist()))
+        g, first, again = phrases.once(at, h)
+        assert sorted([p for p in first.tolist()] + [p for x in again if x for p in x]) == at.tolist() and len(set(g.tolist())) == len(g)
+        assert all(h[at.tolist().index(p)] == g[k] for k in range(len(g)) for p in [first[k], *(again[k] or [])])
     at, _ = phrases.anchors([b"a"] * 7000, phrases._Hashes())
     assert len(at) <= 1001 and np.diff(at).max() <= 7
