@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written and read again as the next one's input.
+
+All stages but the last return the columns of ``documents``, any others beside them untouched, whatever their names.
+Null and empty texts are clean and hold no line and no item; near-dedup takes texts without words for copies of one
+another, of which the smallest id stays. Rows without an id are never dropped as copies. Rows that repeat an id and
+its text are one document to line and near-dedup and are judged alike elsewhere. An empty table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -106,3 +106,29 @@ def test_recall_of_candidates():
         prints = [simhash.fingerprint(" ".join(t), segments=simhash.SEGMENTS) for t in (a, b)]
         found += any((p ^ q).bit_count() <= simhash.ACCEPT and any((p ^ q) & m == 0 for m in tables) for p, q in zip(*prints))
     assert found >= 0.9 * tried
+
+
+def test_stages_take_nulls_empties_and_columns_of_their_own_names(spark, sf):
+    """Each stage keeps the columns, whatever their names, and what is clean; an empty table stays empty."""
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    long = text(12_000)
+    rows = [(1, None), (2, ""), (3, "   \n \n"), (None, text(30)), (None, None), (4, text(40)), (5, long), (6, text(1)), (7, "tab\tand\nline")]
+    names = "id long, t string, th long, node long, y int, component long, sk long, whole string, key long, c long, item long, n int"
+    extra = (1, "t", 2, 3, 1, 4, 5, "w", 6, 7, 8, 9)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *extra) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, sf)
+            if name == "packing":
+                assert out.count() == table.count()
+                break
+            got = out.collect()
+            assert out.columns == docs.columns, name
+            if table is docs:
+                held = {r.doc_id for r in got}
+                # texts without words are copies of one another
+                assert held == ({None, 1, 4, 5, 6, 7} if name == "simhash_near_dedup" else {None, *range(1, 8)}), name
+                assert {r.text for r in got if r.doc_id == 5} == {long}, name
+            else:
+                assert got == [], name
