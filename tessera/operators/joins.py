@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a dimension is broadcast; larger ones are joined as Spark sees fit.
-SMALL_DIMENSION = 100_000
-
-
-def small(dimension: DataFrame, rows: int = SMALL_DIMENSION) -> DataFrame:
-    """``dimension`` marked for broadcast if it is counted and small."""
-    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
+#: Rows and bytes up to which a dimension is broadcast; larger ones are joined as Spark sees fit.
+SMALL_DIMENSION, SMALL_BYTES = 100_000, 16 << 20
+
+
+def small(dimension: DataFrame, rows: int = SMALL_DIMENSION, size: int = SMALL_BYTES) -> DataFrame:
+    """``dimension`` marked for broadcast if its rows and bytes are counted and small; nested columns never are."""
+    kinds = [f.dataType.typeName() for f in dimension.schema]
+    if any(k in ("array", "map", "struct", "variant") for k in kinds):
+        return dimension
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if k in ("string", "binary", "varchar", "char") else F.lit(16) for c, k in zip(dimension.columns, kinds)), F.lit(0).cast("long"))
+    seen = dimension.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes")).first()
+    return F.broadcast(dimension) if seen.n <= rows and (seen.bytes or 0) <= size else dimension
 
 
 #: Rows of a sample that one task numbers.

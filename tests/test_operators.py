@@ -293,3 +293,10 @@ def test_mix_takes_all_caps_in_one_pass(spark):
     assert {r.dataset: r["count"] for r in both.groupBy("dataset").count().collect()} == {"d0": 10, "d1": 400, "d2": 400, "d3": 400, "d0_multi": 100, "d1_multi": 100, "d2_multi": 100, "d3_multi": 3}
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_what_is_broadcast_is_small_in_rows_and_bytes(spark):
+    rows = spark.createDataFrame([(str(i) * 50, i) for i in range(100)], "name string, n long")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(joins.small(rows)) and not hinted(joins.small(rows, rows=99)) and not hinted(joins.small(rows, size=5000))
+    assert not hinted(joins.small(rows.select(F.array("n").alias("a")))) and hinted(joins.small(rows.limit(0)))
