@@ -222,7 +222,8 @@ def near_words(found: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
                 if len(out[0]) > CHUNK:
                     yield pd.DataFrame(dict(zip(columns, out)))
                     out = ([], [], [], [], [])
-            yield pd.DataFrame(dict(zip(columns, out)))
+            if out[0]:  # a frame of empty lists is one of floats, which Arrow does not take for strings
+                yield pd.DataFrame(dict(zip(columns, out)))
 
     columns = ("key", "budget", "rest", "word", "n")
     rows = found.mapInPandas(deal, "key string, budget int, rest string, word string, n long")

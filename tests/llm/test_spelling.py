@@ -91,6 +91,12 @@ def test_small_shards_and_blocks_give_the_same(spark, rows, shard_words):
     assert variants(spark, rows, shard_words=shard_words) == plain(rows)
 
 
+def test_a_batch_of_words_that_ends_with_a_result_batch(spark, rows, monkeypatch):
+    """Each word fills a result batch, so nothing is left when the batch of words ends."""
+    monkeypatch.setattr(spelling, "CHUNK", 0)
+    assert variants(spark, rows) == plain(rows)
+
+
 def test_empty_table(spark):
     assert variants(spark, []) == set()
 
