@@ -15,6 +15,7 @@ bucket's largest component is compared with all lines of other components, in pa
 left out unless it is joined already. Lines of crowded buckets are compared there by parity sketches of all their
 shingles first. Two sketches differ in at most as many bits as the sets differ in shingles, so a pair that differs in
 more bits than the threshold allows shingles cannot be alike: the sketch passes over such pairs and never over a link.
+Only lines whose code is like another's in a crowded bucket get a sketch.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("d"), text.alias("t"))
     rows = rows.select("d", F.xxhash64("t").alias("th"), F.posexplode(F.split("t", "\n")).alias("pos", "raw"))
-    rows = rows.select("d", "th", "pos", normal(F.col("raw")).alias("line")).where("line <> ''")
+    rows = rows.where(F.trim("raw") != "").select("d", "th", "pos", normal(F.col("raw")).alias("line"))  # lowered once
     return rows.select("d", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "line")
 
 
@@ -145,25 +146,44 @@ def _remainder(held: DataFrame, linked: DataFrame, lines: DataFrame, similarity:
     """
     width = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = held.join(linked.select(F.col("node").alias("a"), "component"), "a", "left").select("key", "a", "code", F.coalesce("component", "a").alias("c"))
-    rows = cut(rows.repartition(width, "key"))
-    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key")
-    sizes = sizes.agg(F.count(F.lit(1)).alias("k"), F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("c", F.struct("m", "c")).alias("big")).where("k > 1")
+    bucket = Window.partitionBy("key")
+    # one shuffle and one sort for all counts of a bucket
+    rows = rows.repartition(width, "key").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key", "c")))
+    rows = rows.select("key", "a", "code", "c", F.count(F.lit(1)).over(bucket).alias("n"), F.min("c").over(bucket).alias("low"), F.max("c").over(bucket).alias("high"), F.max(F.struct("m", "c")).over(bucket).alias("most"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sizes = sizes.select("key", "big", (F.col("n") > CROWD).alias("crowd"), blocks(F.col("n") - F.col("most")).alias("ni"), blocks(F.col("n")).alias("nj"))
-    dealt = cut(rows.join(sizes, "key"))
-    sketches = cut(_sketches(dealt.where("crowd").select(F.col("a").alias("h1")).distinct(), lines))
-    crowded = dealt.where("crowd").join(sketches, "a")
+    sizes = [F.col("most.c").alias("big"), (F.col("n") > CROWD).alias("crowd"), blocks(F.col("n") - F.col("most.m")).alias("ni"), blocks(F.col("n")).alias("nj")]
+    dealt = cut(rows.where("low <> high").select("key", "a", "code", "c", *sizes))
+    found = [_met(dealt.where("NOT crowd")).select("a", "b")]
+    # sketches only for lines that have like codes with another one in a crowded bucket
+    crowded = dealt.where("crowd")
+    asked = cut(_met(crowded, "left_semi").select("a").unionByName(_met(crowded, "left_semi", True).select(F.col("b").alias("a"))).distinct())
+    keys = crowded.join(asked, "a").groupBy("a").agg(F.collect_set("key").alias("keys"))
+    sketches = cut(_sketches(asked.select(F.col("a").alias("h1")), lines).join(keys, "a"))
+    # a pair is given in the first bucket that it shares
+    first = F.col("key") == F.array_min(F.array_intersect("keys", "bkeys"))
+    found.append(_met(crowded.join(sketches, "a"), possible=_possible(similarity) & first).select("a", "b"))
+    return found[0].unionByName(found[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _met(dealt: DataFrame, how: str = "inner", back: bool = False, possible: Column | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of a bucket's lines of different components, ``a`` outside of the largest, with like codes; each in one order.
+
+    A semi join gives the ``a`` that have such a ``b``, with ``back`` the ``b`` that have such an ``a``. Columns of
+    ``dealt`` beside those that :func:`_remainder` makes serve ``possible``; those of ``b`` begin
+    with a b, words of sketches with a t.
+    """
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+    more = [c for c in dealt.columns if c not in ("key", "a", "code", "c", "big", "crowd", "ni", "nj")]
+    left = dealt.where("c <> big").select("key", mine("ni").alias("i"), each("nj").alias("j"), "a", "code", "c", "big", *more)
+    right = dealt.select("key", each("ni").alias("i"), mine("nj").alias("j"), F.col("a").alias("b"), F.col("code").alias("bcode"), F.col("c").alias("bc"), *[F.col(c).alias(f"t{c[1:]}" if c[1:].isdigit() else f"b{c}") for c in more])
     once = (F.col("bc") == F.col("big")) | (F.col("a") < F.col("b"))
-    found = []
-    for rows, names, possible in ((dealt.where("NOT crowd"), [], F.lit(True)), (crowded, ["m", *[f"s{k}" for k in range(SKETCH_WORDS)]], _possible(similarity))):
-        others = [F.col(n).alias(f"b{n}" if n == "m" else f"t{n[1:]}") for n in names]
-        left = rows.where("c <> big").select("key", mine("ni").alias("i"), each("nj").alias("j"), "a", "code", "c", "big", *names)
-        right = rows.select("key", each("ni").alias("i"), mine("nj").alias("j"), F.col("a").alias("b"), F.col("code").alias("bcode"), F.col("c").alias("bc"), *others)
-        near = left.join(right.hint("merge"), ["key", "i", "j"]).where((F.col("c") != F.col("bc")) & once & _alike(F.col("code"), F.col("bcode")) & possible)
-        found.append(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    return found[0].unionByName(found[1]).distinct()
+    near = (F.col("c") != F.col("bc")) & once & _alike(F.col("code"), F.col("bcode"))
+    for k in ("key", "i", "j"):
+        right = right.withColumnRenamed(k, f"b_{k}")
+    near = (F.col("key") == F.col("b_key")) & (F.col("i") == F.col("b_i")) & (F.col("j") == F.col("b_j")) & near
+    near = near if possible is None else near & possible
+    return right.join(left.hint("merge"), near, how) if back else left.join(right.hint("merge"), near, how)
 
 
 def components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -90,6 +90,22 @@ def test_crowded_buckets(spark, monkeypatch):
     assert sum(g == w for g, w in zip(order(got), order(want))) >= 239  # bands miss a pair at 0.97 with a chance under 1 in 1,000
 
 
+def test_few_lines_of_crowded_buckets_have_sketches(spark, monkeypatch):
+    """Of lines that share boilerplate, only those with a like code are sketched, and a pair of theirs is given once."""
+    asked, pairs, sketches, verified = [], [], L._sketches, L._verified
+    monkeypatch.setattr(L, "_sketches", lambda ids, lines: asked.append(ids.count()) or sketches(ids, lines))
+    monkeypatch.setattr(L, "_verified", lambda p, *rest: pairs.append(p.count()) or verified(p, *rest))
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    shared, rows = [word() for _ in range(40)], []
+    for k in range(300):
+        rows.append((k, " ".join(shared + [word() for _ in range(60)])))
+    rows += [(300 + k, t.replace("a", "b", 1)) for k, (_, t) in enumerate(rows[-3:])]
+    got = [tuple(r) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(t == "" for _, t in got) == 3
+    assert 1 <= asked[0] < 150 and len(pairs) == 2
+
+
 def test_lines_without_spaces(spark):
     """Identifiers, addresses and Khmer that differ in their first characters are found like any others."""
     rng = random.Random(8)
