@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
@@ -142,26 +142,46 @@ def _pairs(fps: np.ndarray, nodes: np.ndarray, labels: np.ndarray, split: int, r
             yield np.stack([np.minimum(ends, nodes[i]), np.maximum(ends, nodes[i])], axis=1)
 
 
-def links(fps: DataFrame, radius: int = RADIUS, accept: int | None = None, block: int = BLOCK, every: bool = False) -> DataFrame:
-    """``(src, dst)`` links between ``node``s that join all whose ``fp`` (of one segment ``seg``) differ in ``radius`` bits.
+def buckets(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(node, fp, .., v, key)`` of all rows of ``fps`` (``node, fp, seg``) that share a covering table's bucket with another.
 
-    With ``accept`` over ``radius``, colliding pairs of up to ``accept`` bits are linked too. A bucket over ``block``
-    rows is cut into blocks and each pair of blocks is a group of its own, so no task holds more than two blocks; a
-    group returns a spanning forest. Nodes are distinct in a segment. With ``every``, a group returns not a forest but
-    all its pairs whose ``label`` (a column of ``fps`` then) differs, each pair in the first table of a segment in which
-    it meets. Where ``fps`` has sketches ``sk``, pairs that differ by more than ``SKETCH_BITS`` of them are left out.
+    Nodes are distinct in a segment. Of all rows by tables, which go through one shuffle, few share a bucket; other columns
+    of ``fps`` go with them.
     """
-    accept = radius if accept is None else accept
     covering = masks(radius)
     mask = F.element_at(F.array(*[F.lit(m) for m in covering]), F.pmod(F.col("v"), F.lit(len(covering))) + 1)
-    key, label = F.col("fp").bitwiseAND(mask), "c" if every else "node"
+    key, more = F.col("fp").bitwiseAND(mask), [c for c in fps.columns if c not in ("node", "fp", "seg")]
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one shuffle serves the counts and the join with them; it carries neither the key nor a label that is the node
+    # the shuffle carries no key
     tables = F.transform(F.sequence(F.lit(0), F.lit(len(covering) - 1)), lambda k: (F.col("seg") * len(covering) + k).cast("int"))
-    extra = ["sk"] if "sk" in fps.columns else []
-    rows = fps.select("node", "fp", *extra, *[F.col("label").alias("c")] * every, F.explode(tables).alias("v"))
-    rows = rows.repartition(width, F.col("v"), key).select("node", "fp", *extra, F.col(label).alias("c"), "v", key.alias("key"))
-    full = rows.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1 AND low <> high").drop("low", "high")
+    rows = fps.select("node", "fp", *more, F.explode(tables).alias("v"))
+    rows = rows.repartition(width, F.col("v"), key).select("node", "fp", *more, "v", key.alias("key"))
+    bucket = Window.partitionBy("v", "key").orderBy("node")
+    rows = rows.select("*", F.lag("node").over(bucket).alias("before"), F.lead("node").over(bucket).alias("next"))
+    return rows.where("before IS NOT NULL OR next IS NOT NULL").drop("before", "next")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, accept: int | None = None, block: int = BLOCK, every: bool = False) -> DataFrame:
+    """``(src, dst)`` links between ``node``s that join all whose ``fp`` (of one segment ``seg``) differ in ``radius`` bits:
+    :func:`compared` over the :func:`buckets`."""
+    return compared(cut(buckets(fps, radius)), radius, accept, block, every)
+
+
+def compared(rows: DataFrame, radius: int = RADIUS, accept: int | None = None, block: int = BLOCK, every: bool = False) -> DataFrame:
+    """``(src, dst)`` links between nodes of one bucket of ``rows``, a written table of :func:`buckets`.
+
+    With ``accept`` over ``radius``, colliding pairs of up to ``accept`` bits are linked too. A bucket over ``block``
+    rows is cut into blocks and each pair of blocks is a group of its own, so no task holds more than two blocks; a
+    group returns a spanning forest. With ``every``, a group returns not a forest but all its pairs whose ``label`` (a
+    column of ``rows`` then) differs, each pair in the first table of a segment in which it meets. Where ``rows`` have
+    sketches ``sk``, pairs that differ by more than ``SKETCH_BITS`` of them are left out.
+    """
+    accept = radius if accept is None else accept
+    covering, label = masks(radius), "label" if every else "node"
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    extra = ["sk"] if "sk" in rows.columns else []
+    rows = rows.select("node", "fp", *extra, F.col(label).alias("c"), "v", "key")
+    full = rows.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").drop("low", "high")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     dealt = rows.join(full, ["v", "key"]).withColumn("nb", blocks).withColumn("me", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least(k, F.col("me")).alias("i"), F.greatest(k, F.col("me")).alias("j"))))
@@ -261,14 +281,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fps = fingerprints(rows, "id", "t", segments, whole=True).groupBy("id").agg(F.min(F.struct(*names, "whole", "sk")).alias("f"), F.min("whole").alias("low"), F.max("whole").alias("high"))
     fps = cut(fps.where("low = high").select("id", "f.*"))
     reps = cut(fps.groupBy("whole", *names).agg(F.min("id").alias("node"), F.min("sk").alias("sk")))
-    segs = reps.select("node", "sk", F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), F.col(n).alias("fp")) for k, n in enumerate(names)])).alias("x"))
-    segs = cut(segs.select("node", "sk", "x.seg", "x.fp"))
-    near = cut(links(segs, RADIUS, accept))
+    segs = reps.select("node", F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), F.col(n).alias("fp")) for k, n in enumerate(names)])).alias("x"))
+    # all tables are met once; sketches join what shares a bucket
+    held = cut(buckets(segs.select("node", "x.seg", "x.fp")).join(reps.select("node", "sk"), "node"))
+    near = cut(compared(held, RADIUS, accept))
     sure = cut(_similar(rows, near, similarity, verify_words))
     # a forest's edge that fails leaves pairs behind it unseen: all colliding pairs of different components follow
     joined = connected_components(sure)
-    open_ = segs.join(joined, "node", "left").select("node", "sk", "seg", "fp", F.coalesce("component", "node").alias("label"))
-    rest = cut(links(open_, RADIUS, accept, every=True).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    open_ = held.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    rest = cut(compared(open_, RADIUS, accept, every=True).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     comp = connected_components(sure.unionByName(_similar(rows, rest, similarity, verify_words))).where("node <> component")
     kept = reps.join(comp, "node", "left_anti").select(F.col("node").alias("id"))
     drop = cut(fps.select("id").join(kept, "id", "left_anti").select(F.col("id").alias(id_col)))

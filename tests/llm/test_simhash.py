@@ -131,3 +131,18 @@ def test_every_pair_is_given_in_its_first_table(spark):
     rows = [(i, 0, 0, fp - (1 << 64) if fp >> 63 else fp, i) for i, fp in enumerate(fps)]
     got = simhash.links(spark.createDataFrame(rows, "node long, sk long, seg int, fp long, label long"), 3, every=True)
     assert got.count() == got.distinct().count() == sum((a ^ b).bit_count() <= 3 for i, a in enumerate(fps) for b in fps[:i])
+
+
+def test_tables_are_met_once(spark, monkeypatch):
+    """All documents go through the covering tables in one pass, of which only what shares a bucket is held."""
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(300)]
+    rows = list(enumerate([*texts, *(t + " more" for t in texts[:20])]))
+    met, buckets = [], simhash.buckets
+    monkeypatch.setattr(simhash, "buckets", lambda *a: met.append(buckets(*a)) or met[-1])
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(300))
+    assert len(met) == 1 and met[0].columns == ["node", "fp", "v", "key"]
+    held = {r.node for r in met[0].select("node").distinct().collect()}
+    assert {*range(20), *range(300, 320)} <= held and len(held) < 100
+    assert met[0]._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
