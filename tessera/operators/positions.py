@@ -19,16 +19,18 @@ from tessera.plans.session import cut
 #: Names of the special ids that the parse reads.
 IDS = {"vision_start": 90001, "audio_start": 90006, "image": 90003, "video": 90004, "audio": 90005}
 CLOCK, SECONDS_PER_CHUNK = 25, 2.0
+#: Rows that one task sorts, for windows over samples and for joins of them. A sample is not cut.
+TASK_ROWS = 1 << 19
 
 
 def _island_rows(tokens: DataFrame, ids: Mapping[str, int], in_video: bool) -> DataFrame:
-    """Unpadded rows with ``i`` (place among them), ``kind`` and ``island``; with ``in_video``, audio and video rows that
+    """Rows of ``tokens`` (unpadded) with ``i`` (place among them), ``kind`` and ``island``; with ``in_video``, audio and video rows that
     stand together are one island, which its first row names."""
     w = Window.partitionBy("sample_id").orderBy("pos")
     kind = F.lit("text")
     for name in ("image", "video", "audio"):
         kind = F.when(F.col("token_id") == ids[name], name).otherwise(kind)
-    rows = tokens.where("mask = 1").select("sample_id", "pos", "token_id", kind.alias("kind"), (F.row_number().over(w) - 1).cast("long").alias("i"))
+    rows = tokens.select("sample_id", "pos", "token_id", kind.alias("kind"), (F.row_number().over(w) - 1).cast("long").alias("i"))
     both = F.when(F.col("kind").isin("video", "audio"), "av").otherwise(F.col("kind")) if in_video else F.col("kind")
     before = F.lag("both").over(w)
     rows = rows.withColumn("both", both).withColumn("turn", F.when(before.isNull() | (before != F.col("both")), 1).otherwise(0))
@@ -100,7 +102,11 @@ def positions_from_ids(tokens: DataFrame, grids: DataFrame | None, audios: DataF
     if grids is None:
         rows = positions_text(tokens)
         return rows.select("sample_id", F.col("pos").cast("long").alias("pos"), *[F.col("position").alias(a) for a in "thw"], "delta", F.lit(None).cast("string").alias("error"))
-    rows = _island_rows(tokens, ids, audio_in_video)
+    # written once, as it is read three times. Its rows are few bytes and much work: shuffles of a size in bytes would
+    # leave more of them to a task as the input grows
+    tokens = cut(tokens.select("sample_id", "pos", "token_id", "mask"))
+    width = max(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tokens.count() // TASK_ROWS))
+    rows = _island_rows(tokens.where("mask = 1").repartition(width, "sample_id"), ids, audio_in_video)
     # a row for each island, read several times below: written once
     islands = cut(_measured(_islands(rows, ids, audio_in_video), grids, audios, clock, merge))
     w = Window.partitionBy("sample_id").orderBy("island")

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import positions
 from tessera.operators.positions import positions_from_ids
 
 VS, AS, EOS, IMG, VID, AUD = 90001, 90006, 90002, 90003, 90004, 90005
@@ -152,3 +154,14 @@ def test_without_grids_rows_count(spark):
     tokens, _, audios = tables(spark, {1: (2, [("text", 3)], 0)})
     got = [(r.pos, r.t, r.h, r.w, r.delta) for r in positions_from_ids(tokens, None, audios).orderBy("pos").collect()]
     assert got == [(0, 1, 1, 1, 0), (1, 1, 1, 1, 0), (2, 0, 0, 0, 0), (3, 1, 1, 1, 0), (4, 2, 2, 2, 0)]
+
+
+@pytest.mark.parametrize("paired", [False, True])
+def test_tasks_hold_no_more_rows_as_the_input_grows(spark, monkeypatch, paired):
+    """Rows are dealt by their number, not by the bytes of a shuffle, of which a few hundred samples would be one task."""
+    monkeypatch.setattr(positions, "TASK_ROWS", 100, raising=False)
+    samples = {s: (1, [("text", 2), ("image", 1, 4, 4, 1.0), ("text", 5)], 0) for s in range(200)}
+    done = positions_from_ids(*tables(spark, samples), audio_in_video=paired)
+    rows = done.where("pos > 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(rows) > 12 and max(r["count"] for r in rows) < 500
+    assert {(r.sample_id, r.pos): (r.t, r.h, r.w, r.delta, r.error) for r in done.collect()} == expected(samples, paired)
