@@ -5,6 +5,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,21 @@ def test_batches_of_like_length_over_the_whole_table(spark):
     assert infer.batch_inference(prompts, load_echo, batch=64, batch_tokens=1000).where("width > 400").count() == 0
 
 
+def test_batches_go_to_spark_in_few_frames(spark, monkeypatch):
+    """A task gives back many batches in one frame, and a new one only after so many ids."""
+    rows = [(i, [1 + i % 9] * (1 + i % 5)) for i in range(2000)]
+    prompts, tasks = spark.createDataFrame(rows, "sample_id long, ids array<long>"), []
+    monkeypatch.setattr(type(prompts), "mapInPandas", lambda self, run, kind: tasks.append(run) or self.selectExpr("sample_id", "ids AS out", "1 AS n", "1 AS width"))
+    infer.batch_inference(prompts, load_echo, batch=8)
+    parts = [pd.DataFrame(rows[k : k + 500], columns=["sample_id", "ids"]) for k in range(0, 2000, 500)]
+    for most, frames in ((infer.FRAME_TOKENS, [2000]), (1, [8] * 250)):
+        monkeypatch.setattr(infer, "FRAME_TOKENS", most)
+        made = list(tasks[0](iter(parts)))
+        assert [len(f) for f in made] == frames
+        got = [(r.sample_id, list(r.out[r.width :]), r.n) for f in made for r in f.itertuples()]
+        assert got == [(i, [sum(ids) % 1000 + 5, len(ids) + 3], len(ids)) for i, ids in rows]
+
+
 def test_batch_inference(spark, sf):
     got = QUERIES["batch_inference"](spark, sf).collect()
     lists = {}
