@@ -49,8 +49,8 @@ def normal(line: Column) -> Column:
 
 def _shingles(line: Column) -> Column:
     """Hashes of all windows of SHINGLE characters; a shorter line is one. UTF-32 makes a window a slice of bytes."""
-    last = lambda u: F.greatest(F.shiftright(F.length(u), 2) - SHINGLE, F.lit(0))
-    hashes = lambda u: F.transform(F.sequence(F.lit(0), last(u)), lambda i: F.xxhash64(F.substring(u, i * 4 + 1, F.lit(4 * SHINGLE))))
+    last = lambda u: F.greatest(F.length(u) - 4 * SHINGLE, F.lit(0)) + 1
+    hashes = lambda u: F.transform(F.sequence(F.lit(1), last(u), F.lit(4)), lambda at: F.xxhash64(F.substring(u, at, F.lit(4 * SHINGLE))))
     return F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), hashes), 1)
 
 
@@ -58,7 +58,9 @@ def _anchored(line: Column) -> Column:
     """Windows that begin at an anchor, from the UTF-8 bytes; a first character is known by its last byte."""
     anchor = "".join(f"\\x{b:02x}" for b in (*range(128), *range(128, 192)) if b % ANCHOR_MOD == 1)
     character = r"[\x00-\x7f\xc0-\xff][\x80-\xbf]*+"
-    return F.regexp_extract_all(F.decode(line.cast("binary"), "ISO-8859-1"), F.lit(f"(?s)[{anchor}]" + character * (SHINGLE - 1)), F.lit(0))
+    # most windows are ASCII, which takes no search for last bytes
+    rest = f"(?:[\\x00-\\x7f]{{{SHINGLE - 1}}}|{character * (SHINGLE - 1)})"
+    return F.regexp_extract_all(F.decode(line.cast("binary"), "ISO-8859-1"), F.lit(f"(?s)[{anchor}]{rest}"), F.lit(0))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,8 +88,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     rows = lines.select("h1", "line", F.explode(F.array(_anchored(F.col("line")))).alias("w"))
     some = F.when(F.size("w") >= LEAST_ANCHORS, F.transform("w", lambda s: F.xxhash64(s)))
     few = F.when(F.size("w") <= FEW_ANCHORS, _shingles(F.col("line")))
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), some.alias("s")), F.struct(F.lit(1).alias("kind"), few.alias("s"))))
-    rows = rows.select("h1", kinds.alias("x")).select("h1", "x.kind", F.explode("x.s").alias("s")).select("h1", "kind", F.hash("s").alias("v"))
+    # a column of its own for the array, which would else stand in every row that comes from it
+    rows = rows.select("h1", F.posexplode(F.array(some, few)).alias("kind", "s"))
+    rows = rows.select("h1", "kind", F.explode("s").alias("s")).select("h1", "kind", F.hash("s").alias("v"))
     minima = rows.groupBy("h1", "kind").agg(F.count(F.lit(1)).alias("weight"), *[F.min(F.col("v").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_constants())])
     keys = [F.xxhash64(F.lit(b), "kind", *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     code = F.lit(0).cast("long")

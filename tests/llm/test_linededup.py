@@ -170,3 +170,18 @@ def test_recall_near_the_threshold(spark):
 
     found = sum(any(p & q and agree(c, d) for p, c in sig[2 * k] for q, d in sig[2 * k + 1]) for k in range(len(pairs)))
     assert found >= 0.9 * len(pairs), found / len(pairs)
+
+
+def test_no_row_of_a_shingle_holds_its_line_again(spark):
+    """The rows of a line's shingles do not carry the array that they come from, which would cost its square."""
+    lines = spark.createDataFrame([(1, "some words of a line " * 9)], "h1 long, line string")
+    plan = L.signatures(lines)._jdf.queryExecution().optimizedPlan()
+    found, at = [], [plan]
+    while at:
+        node = at.pop()
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        if node.nodeName() == "Generate":
+            out, gone = node.requiredChildOutput(), node.generator().toString()
+            found.append((gone[:8], {out.apply(k).dataType().typeName() for k in range(out.size())}))
+        at += children
+    assert len(found) == 3 and found[0][1] <= {"long", "bigint", "integer", "int"}, found
