@@ -12,7 +12,7 @@ distributed union-find joins what is verified. Of each component the first line
 Within a band's bucket every line is compared first with the one that stands most often in the corpus, which variants
 of a line have in common, so groups of near-copies fall together for n comparisons. Then each line outside of the
 bucket's largest component is compared with all lines of other components, in pairs of blocks: no pair of a bucket is
-left out unless it is joined already. Lines of crowded buckets are compared there by parity sketches of all their
+left out unless it is joined already. That first line takes no part in it, so a bucket of two is done. Lines of crowded buckets are compared there by parity sketches of all their
 shingles first. Two sketches differ in at most as many bits as the sets differ in shingles, so a pair that differs in
 more bits than the threshold allows shingles cannot be alike: the sketch passes over such pairs and never over a link.
 Only lines whose code is like another's in a crowded bucket get a sketch.
@@ -58,9 +58,11 @@ def _anchored(line: Column) -> Column:
     """Windows that begin at an anchor, from the UTF-8 bytes; a first character is known by its last byte."""
     anchor = "".join(f"\\x{b:02x}" for b in (*range(128), *range(128, 192)) if b % ANCHOR_MOD == 1)
     character = r"[\x00-\x7f\xc0-\xff][\x80-\xbf]*+"
-    # most windows are ASCII, which takes no search for last bytes
+    # most lines are ASCII, and most windows of others, which takes no search for last bytes
     rest = f"(?:[\\x00-\\x7f]{{{SHINGLE - 1}}}|{character * (SHINGLE - 1)})"
-    return F.regexp_extract_all(F.decode(line.cast("binary"), "ISO-8859-1"), F.lit(f"(?s)[{anchor}]{rest}"), F.lit(0))
+    plain = F.regexp_extract_all(line, F.lit(f"(?s)[{anchor}]{'.' * (SHINGLE - 1)}"), F.lit(0))
+    other = F.regexp_extract_all(F.decode(line.cast("binary"), "ISO-8859-1"), F.lit(f"(?s)[{anchor}]{rest}"), F.lit(0))
+    return F.when(F.octet_length(line) == F.char_length(line), plain).otherwise(other)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,8 +87,8 @@ def signatures(lines: DataFrame) -> DataFrame:
     Minima are grouped in the task that reads the line before any shuffle.
     """
     # explode of one element holds a column that is used more than once, so that it is worked out once
-    rows = lines.select("h1", "line", F.explode(F.array(_anchored(F.col("line")))).alias("w"))
-    some = F.when(F.size("w") >= LEAST_ANCHORS, F.transform("w", lambda s: F.xxhash64(s)))
+    rows = lines.select("h1", "line", F.explode(F.array(F.transform(_anchored(F.col("line")), lambda s: F.xxhash64(s)))).alias("w"))
+    some = F.when(F.size("w") >= LEAST_ANCHORS, F.col("w"))
     few = F.when(F.size("w") <= FEW_ANCHORS, _shingles(F.col("line")))
     # a column of its own for the array, which would else stand in every row that comes from it
     rows = rows.select("h1", F.posexplode(F.array(some, few)).alias("kind", "s"))
@@ -119,15 +121,16 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     width = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.repartition(width, "a", "b")  # few bytes and much work a row: a small table would end in one task
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("lb")), "b")
-    sets = F.struct(F.array_distinct(_shingles(F.col("la"))).alias("p"), F.array_distinct(_shingles(F.col("lb"))).alias("q"))
-    both = both.select("a", "b", "la", "lb", F.explode(F.array(sets)).alias("x"))
-    good = both.where(F.size(F.array_intersect("x.p", "x.q")) * (1 + similarity) >= similarity * (F.size("x.p") + F.size("x.q")))
-    return good.select("a", "b", F.xxhash64(F.lit(1), "la").alias("a2"), F.xxhash64(F.lit(1), "lb").alias("b2"))
+    both = both.select("a", "b", F.xxhash64(F.lit(1), "la").alias("a2"), F.xxhash64(F.lit(1), "lb").alias("b2"), F.explode(F.array(F.struct(_shingles(F.col("la")).alias("p"), _shingles(F.col("lb")).alias("q")))).alias("x"))
+    # sets are made in a step of their own, which has no lambda and so is compiled as a whole
+    both = both.select("a", "b", "a2", "b2", F.explode(F.array(F.struct(F.array_distinct("x.p").alias("p"), F.array_distinct("x.q").alias("q")))).alias("x"))
+    enough = lambda common: common * (1 + similarity) >= similarity * (F.size("x.p") + F.size("x.q"))
+    return both.where(enough(F.least(F.size("x.p"), F.size("x.q"))) & enough(F.size(F.array_intersect("x.p", "x.q")))).select("a", "b", "a2", "b2")
 
 
 def _sketches(ids: DataFrame, lines: DataFrame) -> DataFrame:
     """Per line id the number ``m`` of its shingles and ``s0, s1, ..``, the parities of the shingles that fall on each bit."""
-    rows = _texts(ids, lines).select("h1", F.explode(F.array_distinct(_shingles(F.col("line")))).alias("s"))
+    rows = _texts(ids, lines).select("h1", F.explode(F.array(_shingles(F.col("line")))).alias("s")).select("h1", F.explode(F.array_distinct("s")).alias("s"))
     rows = rows.select("h1", F.pmod("s", F.lit(SKETCH_WORDS)).alias("k"), F.expr(f"shiftleft(1L, cast(pmod(s div {SKETCH_WORDS}, 64) as int))").alias("bit"))
     words = [F.coalesce(F.bit_xor(F.when(F.col("k") == k, F.col("bit"))), F.lit(0)).alias(f"s{k}") for k in range(SKETCH_WORDS)]
     return rows.groupBy(F.col("h1").alias("a")).agg(F.count(F.lit(1)).alias("m"), *words)
@@ -141,31 +144,34 @@ def _possible(similarity: float) -> Column:
     return sizes & (apart * (1 + similarity) <= (1 - similarity) * (F.col("m") + F.col("bm")) + slack)
 
 
-def _remainder(held: DataFrame, linked: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` that share a bucket, have like codes, may be alike and are not yet joined by ``linked``.
+def _remainder(held: DataFrame, linked: DataFrame, pairs: DataFrame, lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` that share a bucket, have like codes, may be alike, are not yet joined by ``linked`` nor among ``pairs``.
 
-    One end of each is outside of the largest component of its bucket. Buckets are dealt out as pairs of blocks of
-    ``BLOCK`` lines, so no group grows with its bucket.
+    ``held`` has no bucket's first line, which all others of it have been compared with, and so none of buckets of two;
+    ``n`` counts it. One end of each pair is outside of the largest component of its bucket. Buckets are dealt out as
+    pairs of blocks of ``BLOCK`` lines, so no group grows with its bucket. The second table has the pairs' lines.
     """
     width = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = held.join(linked.select(F.col("node").alias("a"), "component"), "a", "left").select("key", "a", "code", F.coalesce("component", "a").alias("c"))
+    rows = held.join(linked.select(F.col("node").alias("a"), "component"), "a", "left").select("key", "a", "code", "n", F.coalesce("component", "a").alias("c"))
     bucket = Window.partitionBy("key")
     # one shuffle and one sort for all counts of a bucket
     rows = rows.repartition(width, "key").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key", "c")))
-    rows = rows.select("key", "a", "code", "c", F.count(F.lit(1)).over(bucket).alias("n"), F.min("c").over(bucket).alias("low"), F.max("c").over(bucket).alias("high"), F.max(F.struct("m", "c")).over(bucket).alias("most"))
+    rows = rows.select("key", "a", "code", "c", "n", F.min("c").over(bucket).alias("low"), F.max("c").over(bucket).alias("high"), F.max(F.struct("m", "c")).over(bucket).alias("most"))
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sizes = [F.col("most.c").alias("big"), (F.col("n") > CROWD).alias("crowd"), blocks(F.col("n") - F.col("most.m")).alias("ni"), blocks(F.col("n")).alias("nj")]
+    sizes = [F.col("most.c").alias("big"), (F.col("n") > CROWD).alias("crowd"), blocks(F.col("n") - 1 - F.col("most.m")).alias("ni"), blocks(F.col("n") - 1).alias("nj")]
     dealt = cut(rows.where("low <> high").select("key", "a", "code", "c", *sizes))
-    found = [_met(dealt.where("NOT crowd")).select("a", "b")]
+    new = lambda met: met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    small = cut(new(_met(dealt.where("NOT crowd"))))
     # sketches only for lines that have like codes with another one in a crowded bucket
     crowded = dealt.where("crowd")
     asked = cut(_met(crowded, "left_semi").select("a").unionByName(_met(crowded, "left_semi", True).select(F.col("b").alias("a"))).distinct())
+    texts = _texts(asked.unionByName(small.select("a")).unionByName(small.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "h1"), lines)
     keys = crowded.join(asked, "a").groupBy("a").agg(F.collect_set("key").alias("keys"))
-    sketches = cut(_sketches(asked.select(F.col("a").alias("h1")), lines).join(keys, "a"))
+    sketches = cut(_sketches(asked.select(F.col("a").alias("h1")), texts).join(keys, "a"))
     # a pair is given in the first bucket that it shares
     first = F.col("key") == F.array_min(F.array_intersect("keys", "bkeys"))
-    found.append(_met(crowded.join(sketches, "a"), possible=_possible(similarity) & first).select("a", "b"))
-    return found[0].unionByName(found[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    large = new(_met(crowded.join(sketches, "a"), possible=_possible(similarity) & first))
+    return small.unionByName(large).distinct(), texts
 
 
 def _met(dealt: DataFrame, how: str = "inner", back: bool = False, possible: Column | None = None) -> DataFrame:
@@ -197,14 +203,16 @@ def components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     sig = signatures(lines)
     width = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sig.select("a", "code", "weight", F.explode("keys").alias("key")).repartition(width, "key")
-    bucket = Window.partitionBy("key").orderBy(F.desc("weight"), "a")  # variants gather round the line that stands most often
-    held = rows.select("key", "a", "code", F.first("a").over(bucket).alias("b"), F.first("code").over(bucket).alias("bcode"), F.lead("a").over(bucket).alias("next"))
-    held = cut(held.where("a <> b OR next IS NOT NULL").drop("next"))
-    near = held.where((F.col("a") != F.col("b")) & _alike(F.col("code"), F.col("bcode")))
+    # most lines are alone in a bucket and go before the rest is sorted
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1")
+    bucket = Window.partitionBy("key").orderBy(F.desc("weight"), "a").rowsBetween(Window.unboundedPreceding, 0)  # variants gather round the line that stands most often
+    held = rows.select("key", "a", "code", "n", F.first("a").over(bucket).alias("b"), F.first("code").over(bucket).alias("bcode"))
+    held = cut(held.where("a <> b"))
+    near = held.where(_alike(F.col("code"), F.col("bcode")))
     pairs = cut(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = cut(_verified(pairs, lines, similarity))
-    rest = cut(_remainder(held.select("key", "a", "code"), connected_components(links, "a", "b"), lines, similarity))
-    links = cut(links.unionByName(_verified(rest.join(pairs, ["a", "b"], "left_anti"), lines, similarity)))
+    rest, texts = _remainder(held.where("n > 2").select("key", "a", "code", "n"), connected_components(links, "a", "b"), pairs, lines, similarity)
+    links = cut(links.unionByName(_verified(cut(rest), texts, similarity)))
     seconds = links.select("a", "a2").union(links.select("b", "b2")).distinct()
     return connected_components(links, "a", "b").join(seconds, F.col("node") == F.col("a")).select(F.col("a").alias("h1"), F.col("a2").alias("h2"), "component")
 
@@ -217,22 +225,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text are treated alike, as one document. Ids must be integers or spell integers. Columns and their order stay as
     they are, whatever their names. An empty table gives an empty one.
     """
-    lines = cut(_lines(docs, id_col, text_col), "zstd")  # read four times; text is split and lowered once
+    lines = cut(_lines(docs, id_col, text_col), "zstd")  # text is split and lowered once
     comp = components(lines, similarity)
-    where = F.struct("d", "th", "pos")
-    seen = lines.select("h1", "h2", where.alias("w")).groupBy("h1", "h2").agg(F.min("w").alias("w"), F.count(F.lit(1)).alias("n"))
+    seen = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     joined = seen.join(comp, ["h1", "h2"], "left").where("n > 1 OR component IS NOT NULL")
     # a component has the number of one of its lines; the second hash keeps apart lines of their own with that number
     own = F.when(F.col("component").isNull(), F.col("h2"))
-    joined = cut(joined.select("h1", "h2", "w", F.coalesce("component", "h1").alias("c"), own.alias("o")))
-    first = joined.groupBy("c", "o").agg(F.min("w").alias("keep"))
-    same = joined["c"].eqNullSafe(first["c"]) & joined["o"].eqNullSafe(first["o"])
-    plural = cut(joined.join(first, same).select("h1", "h2", "keep"))
-    drops = lines.select("d", "th", "pos", "h1", "h2").join(plural, ["h1", "h2"]).where(where != F.col("keep"))
+    joined = joined.select("h1", "h2", F.coalesce("component", "h1").alias("c"), own.alias("o"))
+    places = cut(lines.select("d", "th", "pos", "h1", "h2").join(joined, ["h1", "h2"]).select("c", "o", "d", "th", "pos"))
+    where = F.struct("d", "th", "pos")
+    first = cut(places.groupBy("c", "o").agg(F.min(where).alias("keep")))
+    same = places["c"].eqNullSafe(first["c"]) & places["o"].eqNullSafe(first["o"])
+    drops = places.join(first, same).where(where != F.col("keep"))
     d, th, drop = (_fresh(docs, n) for n in ("d", "th", "drop"))
     drops = drops.groupBy(F.col("d").alias(d), F.col("th").alias(th)).agg(F.collect_set("pos").alias(drop))
     rows = docs.withColumns({d: F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), th: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    rows = rows.join(drops, [d, th], "left")
+    rows = rows.join(drops.hint("shuffle_hash"), [d, th], "left")  # no sort of whole texts
     pieces = F.split(F.col(text_col), "\n")
     left = F.concat_ws("\n", F.filter(pieces, lambda x, i: ~F.array_contains(F.col(drop), i)))
     return rows.select(*[F.when(F.col(drop).isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

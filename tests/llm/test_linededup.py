@@ -185,3 +185,38 @@ def test_no_row_of_a_shingle_holds_its_line_again(spark):
             found.append((gone[:8], {out.apply(k).dataType().typeName() for k in range(out.size())}))
         at += children
     assert len(found) == 3 and found[0][1] <= {"long", "bigint", "integer", "int"}, found
+
+
+def test_buckets_of_two_are_done_with_their_first_line(spark, monkeypatch):
+    """What a bucket's first line was compared with is not compared with it again: of buckets of two nothing is left."""
+    left, remainder = [], L._remainder
+    monkeypatch.setattr(L, "_remainder", lambda held, *rest: left.append(held.count()) or remainder(held, *rest))
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for k in range(40):
+        words = [word() for _ in range(40)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:20], "other", *words[21:]]))]
+    got = [tuple(r) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert order(got) == order(plain(rows)) and sum(t == "" for _, t in got) == 40
+    assert left == [0]
+
+
+def test_anchors_of_ascii_and_other_lines(spark):
+    """Windows of ASCII lines take a pattern of their own and are those that bytes give."""
+    lines = ["some words of a line, 7 and more ]^\\-+ MSGAY", "\tags\t\x00 \x01 a\x07bcdefg", "é some wörds of a line, 7 ខគឃ and more", "", "gab"]
+
+    def windows(line):
+        found, at = [], 0
+        while at + L.SHINGLE <= len(line):
+            if line[at].encode()[-1] % L.ANCHOR_MOD == 1 and line[at].encode()[-1] < 192:
+                found.append(line[at].encode()[-1:] + line[at + 1 : at + L.SHINGLE].encode())  # the first character is known by its last byte
+                at += L.SHINGLE
+            else:
+                at += 1
+        return found
+
+    table = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, line string")
+    got = table.select("line", L._anchored(F.col("line")).alias("w")).collect()
+    assert {r.line: [w.encode("latin-1") for w in r.w] for r in got} == {x: windows(x) for x in lines}
+    assert all(windows(x) for x in lines[:3])
