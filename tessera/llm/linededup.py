@@ -161,7 +161,7 @@ def _remainder(held: DataFrame, linked: DataFrame, pairs: DataFrame, lines: Data
     sizes = [F.col("most.c").alias("big"), (F.col("n") > CROWD).alias("crowd"), blocks(F.col("n") - 1 - F.col("most.m")).alias("ni"), blocks(F.col("n") - 1).alias("nj")]
     dealt = cut(rows.where("low <> high").select("key", "a", "code", "c", *sizes))
     new = lambda met: met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    small = cut(new(_met(dealt.where("NOT crowd"))))
+    small = cut(new(_met(dealt.where("NOT crowd"), blocks=False)))
     # sketches only for lines that have like codes with another one in a crowded bucket
     crowded = dealt.where("crowd")
     asked = cut(_met(crowded, "left_semi").select("a").unionByName(_met(crowded, "left_semi", True).select(F.col("b").alias("a"))).distinct())
@@ -174,15 +174,15 @@ def _remainder(held: DataFrame, linked: DataFrame, pairs: DataFrame, lines: Data
     return small.unionByName(large).distinct(), texts
 
 
-def _met(dealt: DataFrame, how: str = "inner", back: bool = False, possible: Column | None = None) -> DataFrame:
+def _met(dealt: DataFrame, how: str = "inner", back: bool = False, possible: Column | None = None, blocks: bool = True) -> DataFrame:
     """Pairs ``(a, b)`` of a bucket's lines of different components, ``a`` outside of the largest, with like codes; each in one order.
 
     A semi join gives the ``a`` that have such a ``b``, with ``back`` the ``b`` that have such an ``a``. Columns of
     ``dealt`` beside those that :func:`_remainder` makes serve ``possible``; those of ``b`` begin
-    with a b, words of sketches with a t.
+    with a b, words of sketches with a t. Small buckets take no ``blocks``: each is one.
     """
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)) if blocks else F.lit(0)
+    mine = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int") if blocks else F.lit(0)
     more = [c for c in dealt.columns if c not in ("key", "a", "code", "c", "big", "crowd", "ni", "nj")]
     left = dealt.where("c <> big").select("key", mine("ni").alias("i"), each("nj").alias("j"), "a", "code", "c", "big", *more)
     right = dealt.select("key", each("ni").alias("i"), mine("nj").alias("j"), F.col("a").alias("b"), F.col("code").alias("bcode"), F.col("c").alias("bc"), *[F.col(c).alias(f"t{c[1:]}" if c[1:].isdigit() else f"b{c}") for c in more])
