@@ -12,8 +12,8 @@ distributed union-find joins what is verified. Of each component the first line
 Within a band's bucket every line is compared first with the one that stands most often in the corpus, which variants
 of a line have in common, so groups of near-copies fall together for n comparisons. Then each line outside of the
 bucket's largest component is compared with all lines of other components, in pairs of blocks: no pair of a bucket is
-left out unless it is joined already. That first line takes no part in it, so a bucket of two is done. Lines of crowded buckets are compared there by parity sketches of all their
-shingles first. Two sketches differ in at most as many bits as the sets differ in shingles, so a pair that differs in
+left out unless it is joined already. That first line takes no part in it, so a bucket of two is done. Lines of crowded
+buckets are compared there by parity sketches of all their shingles first. Two sketches differ in at most as many bits as the sets differ in shingles, so a pair that differs in
 more bits than the threshold allows shingles cannot be alike: the sketch passes over such pairs and never over a link.
 Only lines whose code is like another's in a crowded bucket get a sketch.
 """
@@ -36,8 +36,9 @@ ANCHOR_MOD = 6
 LEAST_ANCHORS, FEW_ANCHORS = 7, 10
 #: Line ids (8 bytes each) that are broadcast to find candidates' texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Lines of a bucket's block; each pair of blocks is a group of its own.
-BLOCK = 256
+#: A bucket is cut into ``ceil(sqrt(n / BLOCK))`` blocks, and each pair of blocks is a group of its own. A comparison takes
+#: nanoseconds and a row dealt out far more, so lines are dealt out by the root of their bucket, not by its size.
+BLOCK = 1024
 #: Buckets of more lines than this have parity sketches, of so many 64-bit words.
 CROWD, SKETCH_WORDS = 16, 16
 _NO_ID = -(2**63)
@@ -148,8 +149,9 @@ def _remainder(held: DataFrame, linked: DataFrame, pairs: DataFrame, lines: Data
     """Pairs ``(a, b)`` that share a bucket, have like codes, may be alike, are not yet joined by ``linked`` nor among ``pairs``.
 
     ``held`` has no bucket's first line, which all others of it have been compared with, and so none of buckets of two;
-    ``n`` counts it. One end of each pair is outside of the largest component of its bucket. Buckets are dealt out as
-    pairs of blocks of ``BLOCK`` lines, so no group grows with its bucket. The second table has the pairs' lines.
+    ``n`` counts it. One end of each pair is outside of the largest component of its bucket. Buckets of more than ``BLOCK``
+    lines are dealt out as pairs of blocks, so rows and groups grow with no more than the root of their bucket beside its
+    lines. The second table has the pairs' lines.
     """
     width = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = held.join(linked.select(F.col("node").alias("a"), "component"), "a", "left").select("key", "a", "code", "n", F.coalesce("component", "a").alias("c"))
@@ -157,14 +159,18 @@ def _remainder(held: DataFrame, linked: DataFrame, pairs: DataFrame, lines: Data
     # one shuffle and one sort for all counts of a bucket
     rows = rows.repartition(width, "key").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key", "c")))
     rows = rows.select("key", "a", "code", "c", "n", F.min("c").over(bucket).alias("low"), F.max("c").over(bucket).alias("high"), F.max(F.struct("m", "c")).over(bucket).alias("most"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    blocks = lambda n: F.ceil(F.sqrt(n / F.lit(BLOCK))).cast("int")
     sizes = [F.col("most.c").alias("big"), (F.col("n") > CROWD).alias("crowd"), blocks(F.col("n") - 1 - F.col("most.m")).alias("ni"), blocks(F.col("n") - 1).alias("nj")]
     dealt = cut(rows.where("low <> high").select("key", "a", "code", "c", *sizes))
     new = lambda met: met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     small = cut(new(_met(dealt.where("NOT crowd"), blocks=False)))
     # sketches only for lines that have like codes with another one in a crowded bucket
     crowded = dealt.where("crowd")
-    asked = cut(_met(crowded, "left_semi").select("a").unionByName(_met(crowded, "left_semi", True).select(F.col("b").alias("a"))).distinct())
+    found = cut(_met(crowded, "left_semi").select("key", "a").distinct())
+    # the way back begins at what was found and stays in its buckets, which are few
+    within = crowded.join(found.select("key").distinct(), "key", "left_semi")
+    partners = _met(within, "left_semi", True, asking=within.join(found, ["key", "a"], "left_semi"))
+    asked = cut(found.select("a").unionByName(partners.select(F.col("b").alias("a"))).distinct())
     texts = _texts(asked.unionByName(small.select("a")).unionByName(small.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "h1"), lines)
     keys = crowded.join(asked, "a").groupBy("a").agg(F.collect_set("key").alias("keys"))
     sketches = cut(_sketches(asked.select(F.col("a").alias("h1")), texts).join(keys, "a"))
@@ -174,18 +180,24 @@ def _remainder(held: DataFrame, linked: DataFrame, pairs: DataFrame, lines: Data
     return small.unionByName(large).distinct(), texts
 
 
-def _met(dealt: DataFrame, how: str = "inner", back: bool = False, possible: Column | None = None, blocks: bool = True) -> DataFrame:
+def _dealt(rows: DataFrame, n: str, block: str) -> DataFrame:
+    """Each row once for each of ``n`` blocks, numbered in ``block``; rows of one block stay as they are."""
+    many = rows.where(F.col(n) > 1).withColumn(block, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    return rows.where(F.col(n) <= 1).withColumn(block, F.lit(0)).unionByName(many)
+
+
+def _met(dealt: DataFrame, how: str = "inner", back: bool = False, possible: Column | None = None, blocks: bool = True, asking: DataFrame | None = None) -> DataFrame:
     """Pairs ``(a, b)`` of a bucket's lines of different components, ``a`` outside of the largest, with like codes; each in one order.
 
-    A semi join gives the ``a`` that have such a ``b``, with ``back`` the ``b`` that have such an ``a``. Columns of
-    ``dealt`` beside those that :func:`_remainder` makes serve ``possible``; those of ``b`` begin
+    A semi join gives the ``a`` that have such a ``b``, with ``back`` the ``b`` that have such an ``a``. The ``a`` are
+    lines of ``asking``, all of ``dealt`` if it is not given. Columns of ``dealt`` beside those that :func:`_remainder` makes serve ``possible``; those of ``b`` begin
     with a b, words of sketches with a t. Small buckets take no ``blocks``: each is one.
     """
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)) if blocks else F.lit(0)
+    each = lambda rows, n, block: _dealt(rows, n, block) if blocks else rows.withColumn(block, F.lit(0))
     mine = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int") if blocks else F.lit(0)
     more = [c for c in dealt.columns if c not in ("key", "a", "code", "c", "big", "crowd", "ni", "nj")]
-    left = dealt.where("c <> big").select("key", mine("ni").alias("i"), each("nj").alias("j"), "a", "code", "c", "big", *more)
-    right = dealt.select("key", each("ni").alias("i"), mine("nj").alias("j"), F.col("a").alias("b"), F.col("code").alias("bcode"), F.col("c").alias("bc"), *[F.col(c).alias(f"t{c[1:]}" if c[1:].isdigit() else f"b{c}") for c in more])
+    left = each((dealt if asking is None else asking).where("c <> big"), "nj", "j").select("key", mine("ni").alias("i"), "j", "a", "code", "c", "big", *more)
+    right = each(dealt, "ni", "i").select("key", "i", mine("nj").alias("j"), F.col("a").alias("b"), F.col("code").alias("bcode"), F.col("c").alias("bc"), *[F.col(c).alias(f"t{c[1:]}" if c[1:].isdigit() else f"b{c}") for c in more])
     once = (F.col("bc") == F.col("big")) | (F.col("a") < F.col("b"))
     near = (F.col("c") != F.col("bc")) & once & _alike(F.col("code"), F.col("bcode"))
     for k in ("key", "i", "j"):

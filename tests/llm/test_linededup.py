@@ -220,3 +220,27 @@ def test_anchors_of_ascii_and_other_lines(spark):
     got = table.select("line", L._anchored(F.col("line")).alias("w")).collect()
     assert {r.line: [w.encode("latin-1") for w in r.w] for r in got} == {x: windows(x) for x in lines}
     assert all(windows(x) for x in lines[:3])
+
+
+def test_rows_of_crowded_buckets_grow_by_their_root(spark, monkeypatch):
+    """A bucket's lines are dealt out to as many blocks as the root of its size asks for, and those of one block to none;
+    partners are looked for only from lines that have one."""
+    monkeypatch.setattr(L, "BLOCK", 16, raising=False)
+    met, calls = L._met, []
+    monkeypatch.setattr(L, "_met", lambda dealt, *a, **k: calls.append((dealt, a, k)) or met(dealt, *a, **k))
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    shared, rows = [word() for _ in range(40)], []
+    for k in range(300):
+        rows.append((k, " ".join(shared + [word() for _ in range(60)])))
+    rows += [(300 + k, t.replace("a", "b", 1)) for k, (_, t) in enumerate(rows[-3:])]
+    got = [tuple(r) for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert order(got) == order(plain(rows)) and sum(t == "" for _, t in got) == 3
+    first = next(d for d, a, _ in calls if a == ("left_semi",))
+    sizes = first.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("ni").alias("ni"), F.max("nj").alias("nj")).collect()
+    assert max(r.n for r in sizes) > 64
+    assert all(max(r.ni, r.nj) <= (r.n / 16) ** 0.5 + 1 for r in sizes), sizes
+    back, more = next((d, k) for d, a, k in calls if a == ("left_semi", True))
+    assert 0 < more.get("asking", back).where("c <> big").count() < first.where("c <> big").count()
+    dealt = L._dealt(spark.createDataFrame([(1, 1), (2, 3)], "a int, n int"), "n", "i")
+    assert sorted(tuple(r) for r in dealt.collect()) == [(1, 1, 0), (2, 3, 0), (2, 3, 1), (2, 3, 2)]
